@@ -20,16 +20,18 @@ from flowguard.sources.tables import (
     FLOW_ROW_FEATURES, dirty_rows, event_flows, flow_rows, json_flows, labelled_docs, scored, table,
 )
 
-DAY_SCHEMA = T.StructType.fromDDL("flow_id bigint, duration double, n_events double, Label string")
+DAY_SCHEMA = T.StructType([
+    T.StructField("flow_id", T.LongType()), T.StructField("duration", T.DoubleType()),
+    T.StructField("n_events", T.DoubleType()), T.StructField("Label", T.StringType()),
+])
 
 
 def _write_days(spark: SparkSession, d: str) -> str:
-    """Event days 1-3 as CSV folders with blanks in the header, as raw captures have."""
-    ev = table(spark, d, "events").where(F.dayofmonth("ts") <= 3)
-    raw = ev.select(
+    """All events as one CSV folder per weekday, with blanks in the header, as raw captures have."""
+    raw = table(spark, d, "events").select(
         F.col("event_id").alias("flow_id"), F.col("value").alias(" duration"),
         F.col("user_id").cast("double").alias(" n_events"), F.col("event_type").alias(" Label"),
-        F.dayofmonth("ts").alias("day"),
+        F.dayofweek("ts").alias("day"),
     )
     path = work_folder(spark, "days")
     raw.write.partitionBy("day").option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
@@ -37,21 +39,21 @@ def _write_days(spark: SparkSession, d: str) -> str:
 
 
 @query("day_file_union", """
-select event_id as flow_id, value as duration, user_id::double as n_events, event_type as Label
-from events where day(ts) <= 3""")
+select event_id as flow_id, value as duration, user_id::double as n_events, event_type as Label from events""")
 def day_file_union(spark: SparkSession, d: str) -> DataFrame:
     path = _write_days(spark, d)
-    days = [f"{path}/day=1", f"{path}/day=2", f"{path}/day=2", f"{path}/day=3"]
-    return files.read_day_files(spark, days, DAY_SCHEMA)
+    train, test = range(1, 6), range(4, 8)  # the pools overlap; every day is still read once
+    return files.read_day_files(spark, [f"{path}/day={i}" for i in [*train, *test]], DAY_SCHEMA)
 
 
 @query("mixed_schema_union", """
-select event_id as flow_id, value as duration, null::double as n_events, null::varchar as Label from events where day(ts) = 1
-union all select event_id, value, user_id::double, event_type from events where day(ts) = 2""")
+select event_id as flow_id, value as duration,
+  case when dayofweek(ts) >= 5 then null else user_id::double end as n_events,
+  case when dayofweek(ts) >= 5 then null else event_type end as Label from events""")
 def mixed_schema_union(spark: SparkSession, d: str) -> DataFrame:
     path = _write_days(spark, d)
-    short = T.StructType.fromDDL("flow_id bigint, duration double")
-    return files.read_mixed_days(spark, {f"{path}/day=2": DAY_SCHEMA, f"{path}/day=1": short})
+    short = T.StructType(DAY_SCHEMA.fields[:2])
+    return files.read_mixed_days(spark, {f"{path}/day={i}": DAY_SCHEMA if i <= 5 else short for i in range(1, 8)})
 
 
 @query("header_trim", "select l_orderkey as order_id, l_quantity as duration from lineitem")
@@ -200,7 +202,7 @@ def feedback_log_sink(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("scenario_documents", """
-select event_type as label, case when event_type = 'error' then 'high' else 'high' end as risk, count(*) as n_docs,
+select event_type as label, 'high' as risk, count(*) as n_docs,
   max(event_id) as last_index
 from events where event_id % 4 <> 3 and event_id % 5 <> 0 group by 1""")
 def scenario_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -346,21 +348,30 @@ def label_set_filter(spark: SparkSession, d: str) -> DataFrame:
 # --- joins and sets ---------------------------------------------------------------------------
 
 
-@query("known_class_rows", with_views(SCORED) + """
-select flow_id, class_true from scored where flow_id % 2 = 1 and class_true in (select class_pred from scored where flow_id % 2 = 0 and class_pred <> 'Bot')""")
+_POOLS = """pools as (select flow_id, class_true, class_pred, case when day(ts) <= 20 then 'train' else 'test' end as split from scored)"""
+
+
+def _pools(spark: SparkSession, d: str) -> DataFrame:
+    s = scored(spark, d).withColumn("day_no", F.dayofmonth("ts"))
+    return split.source_split(s, "day_no", list(range(21, 32)))
+
+
+@query("known_class_rows", with_views(SCORED, _POOLS) + """
+select flow_id, class_true from pools where split = 'test'
+  and class_true in (select class_pred from pools where split = 'train' and class_pred <> 'Bot')""")
 def known_class_rows(spark: SparkSession, d: str) -> DataFrame:
-    s = scored(spark, d)
-    seen = s.where("flow_id % 2 = 0 and class_pred <> 'Bot'").select(F.col("class_pred").alias("class_true"))
-    return joins.known_classes(s.where("flow_id % 2 = 1").select("flow_id", "class_true"), "class_true", seen)
+    s = _pools(spark, d)
+    seen = s.where("split = 'train' and class_pred <> 'Bot'").select(F.col("class_pred").alias("class_true"))
+    return joins.known_classes(s.where("split = 'test'").select("flow_id", "class_true"), "class_true", seen)
 
 
-@query("unseen_class_counts", with_views(SCORED) + """
-select class_true, count(*) as n_rows from scored where flow_id % 2 = 1
-  and class_true not in (select class_pred from scored where flow_id % 2 = 0 and class_pred in ('DDoS', 'PortScan')) group by 1""")
+@query("unseen_class_counts", with_views(SCORED, _POOLS) + """
+select class_true, count(*) as n_rows from pools where split = 'test'
+  and class_true not in (select class_pred from pools where split = 'train' and class_pred in ('DDoS', 'PortScan')) group by 1""")
 def unseen_class_counts(spark: SparkSession, d: str) -> DataFrame:
-    s = scored(spark, d)
-    seen = s.where("flow_id % 2 = 0 and class_pred in ('DDoS', 'PortScan')").select(F.col("class_pred").alias("class_true"))
-    return joins.unseen_classes(s.where("flow_id % 2 = 1"), "class_true", seen)
+    s = _pools(spark, d)
+    seen = s.where("split = 'train' and class_pred in ('DDoS', 'PortScan')").select(F.col("class_pred").alias("class_true"))
+    return joins.unseen_classes(s.where("split = 'test'"), "class_true", seen)
 
 
 @query("label_encoding", with_views(SCORED) + """
@@ -380,11 +391,11 @@ def feature_label_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("pool_union", """
-select user_id, event_type from events where day(ts) <= 20 union all select user_id, event_type from events where day(ts) > 25""")
+select user_id, event_type from events where day(ts) <= 20 union all select user_id, event_type from events where day(ts) > 20""")
 def pool_union(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events")
     train = ev.where(F.dayofmonth("ts") <= 20).select("user_id", "event_type")
-    test = ev.where(F.dayofmonth("ts") > 25).select("event_type", "user_id")
+    test = ev.where(F.dayofmonth("ts") > 20).select("event_type", "user_id")
     return train.unionByName(test)
 
 

@@ -154,8 +154,8 @@ def _brackets(values: DataFrame, keys: list[str], probs: list[float], rule: str,
             )
         )
         most = counts.agg(F.max("inside")).first()[0] or 0
-        # No progress means the rest are copies of few values; the count by value absorbs those.
-        if most <= one_task_rows or most == last_inside:
+        # Little progress means the rest are copies of few values; the count by value absorbs those.
+        if most <= one_task_rows or (last_inside is not None and most > last_inside / 2):
             return counts
         last_inside = most
         narrowed = (
@@ -201,9 +201,9 @@ def order_quantiles(
     values = unpivot(df, by, cols).where(F.col("value").isNotNull())
     if small:
         counted = values.groupBy(*keys, "value").agg(F.count("*").alias("cnt"))
-        n = F.sum("cnt").over(W.partitionBy(*keys))
+        counted = counted.withColumn("n", F.sum("cnt").over(W.partitionBy(*keys)))
         counted = counted.select(
-            *keys, "value", "cnt", n.alias("n"), F.lit(0).alias("below"),
+            *keys, "value", "cnt", "n", F.lit(0).alias("below"),
             F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"),
         )
     else:

@@ -1,4 +1,10 @@
 """All named queries; importing a module registers what it defines."""
 
-from flowguard.plans import decision_queries, ingest_queries  # noqa: F401
+from flowguard.plans import (  # noqa: F401
+    decision_queries,
+    ingest_queries,
+    metric_queries,
+    report_queries,
+    selection_queries,
+)
 from flowguard.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -4,6 +4,8 @@ from flowguard.plans import (  # noqa: F401
     decision_queries,
     ingest_queries,
     metric_queries,
+    model_queries,
+    neighbour_queries,
     report_queries,
     selection_queries,
 )

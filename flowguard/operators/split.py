@@ -38,7 +38,8 @@ def stratified_split(
         .when(mine <= F.col("cut_val"), F.lit("val"))
         .otherwise(F.lit("train"))
     )
-    return df.join(cuts, strata).select(*df.columns, split.alias("split"))
+    # Left join: a row without a stratum stays, as training data.
+    return df.join(cuts, strata, "left").select(*df.columns, split.alias("split"))
 
 
 def hashed_split(

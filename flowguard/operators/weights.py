@@ -18,7 +18,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def with_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Weight of its class beside every row; no shuffle while the class list is small."""
     weights = class_weights(df, label).select(label, F.col("weight").alias(name))
-    return df.join(sized_side(weights), label)
+    return df.join(sized_side(weights), label, "left")
 
 
 def neighbour_count(df: DataFrame, label: str, most: int = 5) -> DataFrame:

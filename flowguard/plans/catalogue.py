@@ -8,5 +8,6 @@ from flowguard.plans import (  # noqa: F401
     neighbour_queries,
     report_queries,
     selection_queries,
+    stream_queries,
 )
 from flowguard.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -40,20 +40,6 @@ FLOW_ROW_FEATURES = ["duration", "bytes", "rate", "flag", "bytes_per_unit"]
 FLOW_ROW_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "duration", "bytes"]
 
 
-def event_label() -> Column:
-    """Label of a flow from the kinds of events in it, worst first."""
-
-    def seen(kind: str) -> Column:
-        return F.max(F.when(F.col("event_type") == kind, 1).otherwise(0)) == 1
-
-    return (
-        F.when(seen("error"), F.lit("DDoS"))
-        .when(seen("signup"), F.lit("PortScan"))
-        .when(seen("purchase"), F.lit("Infiltration"))
-        .otherwise(F.lit("BENIGN"))
-    )
-
-
 def event_flows(spark: SparkSession, folder: str) -> DataFrame:
     """One flow per user and day, with timing, volume and rate features."""
     ev = table(spark, folder, "events").withColumn(
@@ -112,7 +98,11 @@ def class_scores(id_col: str) -> list[Column]:
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Events with a deterministic attack score and class-probability map."""
-    ev = table(spark, folder, "events")
+    return scored_columns(table(spark, folder, "events"))
+
+
+def scored_columns(ev: DataFrame) -> DataFrame:
+    """Score columns from event columns, row by row."""
     s = class_scores("event_id")
     total = s[0] + s[1] + s[2] + s[3] + s[4]
     entries = [x for name, v in zip(ATTACK_NAMES, s) for x in (F.lit(name), F.round(v / total, 6))]

@@ -94,3 +94,79 @@ def flow_rate_columns() -> list[Column]:
         F.col("n_types"),
         F.when(span > 0, F.col("n_events") / duration).otherwise(F.lit(INF)).alias("events_per_s"),
     ]
+
+
+# --- event-time windows, the same plan for streams and batches -------------------------
+
+
+def window_flow_features(
+    events: DataFrame, key: str, ts: str, value: str, window: str = "5 seconds", step: str = "100 milliseconds",
+    delay: str = "10 seconds",
+) -> DataFrame:
+    """Flow features per key and tumbling window, built-in functions only.
+
+    Two chained window aggregations: a short step keeps the list of event times small, the window
+    then merges its step summaries in time order. On a stream, windows appear once the watermark
+    has passed their end, and later rows are dropped.
+    """
+    timed = events.withColumn("_t", micros(ts)).withWatermark(ts, delay)
+    steps = (
+        timed.groupBy(key, F.window(ts, step).alias("_step"))
+        .agg(F.array_sort(F.collect_list("_t")).alias("_ts"), F.sum(value).alias("_v"))
+        .select(key, F.window_time("_step").alias("_at"), _step_summary("_ts").alias("_s"), "_v")
+    )
+    merged = (
+        steps.groupBy(key, F.window("_at", window).alias("w"))
+        .agg(F.array_sort(F.collect_list("_s")).alias("_steps"), F.sum("_v").alias("value_sum"))
+    )
+    return merged.select(key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *_merged_columns())
+
+
+def _gaps(times: Column) -> Column:
+    later, earlier = F.slice(times, F.lit(2), F.size(times) - 1), F.slice(times, F.lit(1), F.size(times) - 1)
+    return F.when(F.size(times) > 1, F.zip_with(later, earlier, lambda a, b: a - b)).otherwise(
+        F.array().cast("array<bigint>")
+    )
+
+
+def _sum_squares(gaps: Column) -> Column:
+    return F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g.cast("double") * g.cast("double"))
+
+
+def _step_summary(times: str) -> Column:
+    t = F.col(times)
+    gaps = _gaps(t)
+    return F.struct(
+        F.get(t, F.lit(0)).alias("first"), F.element_at(t, -1).alias("last"), F.size(t).cast("bigint").alias("n"),
+        _sum_squares(gaps).alias("sq"), F.array_min(gaps).alias("gmin"), F.array_max(gaps).alias("gmax"),
+    )
+
+
+def _merged_columns() -> list[Column]:
+    s = F.col("_steps")
+    firsts, lasts = F.transform(s, lambda e: e["first"]), F.transform(s, lambda e: e["last"])
+    jumps = F.when(
+        F.size(s) > 1,
+        F.zip_with(F.slice(firsts, F.lit(2), F.size(s) - 1), F.slice(lasts, F.lit(1), F.size(s) - 1), lambda a, b: a - b),
+    ).otherwise(F.array().cast("array<bigint>"))
+    n = F.aggregate(s, F.lit(0).cast("bigint"), lambda acc, e: acc + e["n"])
+    sq = F.aggregate(s, F.lit(0.0), lambda acc, e: acc + e["sq"]) + _sum_squares(jumps)
+    span = F.element_at(lasts, -1) - F.get(firsts, F.lit(0))
+    pairs = n - 1
+    mean = F.try_divide(span / F.lit(SECOND), pairs)
+    var = F.try_divide(sq / F.lit(SECOND * SECOND), pairs) - mean * mean
+    return [
+        n.alias("n_events"),
+        (span / F.lit(SECOND)).alias("duration_s"),
+        mean.alias("iat_mean"),
+        F.sqrt(F.greatest(var, F.when(pairs > 0, F.lit(0.0)))).alias("iat_std"),
+        (F.least(F.array_min(F.transform(s, lambda e: e["gmin"])), F.array_min(jumps)) / F.lit(SECOND)).alias("iat_min"),
+        (F.greatest(F.array_max(F.transform(s, lambda e: e["gmax"])), F.array_max(jumps)) / F.lit(SECOND)).alias("iat_max"),
+        F.try_divide(n, span / F.lit(SECOND)).alias("events_per_s"),
+        F.col("value_sum"),
+    ]
+
+
+def complete_windows(features: DataFrame, latest, delay: str) -> DataFrame:
+    """Batch counterpart of the watermark: only windows that ended ``delay`` before ``latest``."""
+    return features.where(F.col("window_end") <= F.lit(latest) - F.expr(f"interval {delay}"))

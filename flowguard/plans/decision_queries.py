@@ -16,6 +16,7 @@ from flowguard.operators.scale import fit_scaler
 from flowguard.plans.cascade import decide, flat_decisions
 from flowguard.plans.fixture_sql import EVENT_FLOWS, POLICY, PROBA_LONG, SCORED, with_views
 from flowguard.plans.registry import query
+from flowguard.session import write_through
 from flowguard.sources.tables import EVENT_FLOW_FEATURES, event_flows, scored
 
 # --- the flagship: flows → repair → scale → score → trust → action → mix ----------
@@ -52,7 +53,8 @@ flow_decisions as (
 
 def scored_flows(spark: SparkSession, d: str) -> DataFrame:
     """Repaired and scaled event flows with an attack score in closed form."""
-    flows = event_flows(spark, d).select("flow_id", *EVENT_FLOW_FEATURES)
+    # Medians, scaler and scoring each read the flows: built once, then read column-pruned.
+    flows = write_through(event_flows(spark, d).select("flow_id", *EVENT_FLOW_FEATURES), "flows")
     fixed = clean.repair(flows, EVENT_FLOW_FEATURES)
     z = fit_scaler(fixed, EVENT_FLOW_FEATURES).transform(fixed)
     p = F.round(1 / (1 + F.exp(-(F.col("value_mean") + F.col("n_events")))), 4)
@@ -306,7 +308,7 @@ def probability_spectrum(spark: SparkSession, d: str) -> DataFrame:
 , long as (select flow_id, unnest(['duration_s', 'iat_mean', 'iat_std', 'n_events', 'n_types', 'value_mean', 'value_sum']) as name,
     unnest([-coalesce(duration_s, 0), coalesce(iat_mean, 0), coalesce(iat_std, 0), n_events, n_types, -value_mean, value_sum]) as v from event_flows),
 r as (select *, row_number() over (partition by flow_id order by abs(v) desc, name) as rank from long)
-select flow_id, rank::int as rank, name, round(v, 4) as v from r where rank <= 5""")
+select flow_id, rank::int as rank, name, round(v, 9) as v from r where rank <= 5""")
 def key_signals(spark: SparkSession, d: str) -> DataFrame:
     f = event_flows(spark, d)
     m = F.create_map(
@@ -316,7 +318,7 @@ def key_signals(spark: SparkSession, d: str) -> DataFrame:
         F.lit("value_sum"), F.col("value_sum"),
     )
     top = f.select("flow_id", F.posexplode(P.key_signals(m)).alias("pos", "e"))
-    return top.select("flow_id", (F.col("pos") + 1).alias("rank"), "e.name", F.round("e.value", 4).alias("v"))
+    return top.select("flow_id", (F.col("pos") + 1).alias("rank"), "e.name", F.round("e.value", 9).alias("v"))
 
 
 @query("zero_vector_guard", """

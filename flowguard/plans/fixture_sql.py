@@ -24,11 +24,11 @@ merged as (
   from gaps group by flow_id),
 event_flows as (
   select flow_id, n_events,
-    round(span / 1e6, 3) as duration_s,
-    round(case when n_events > 1 then span / 1e6 / (n_events - 1) end, 3) as iat_mean,
+    round(span / 1e6, 6) as duration_s,
+    round(case when n_events > 1 then span / 1e6 / (n_events - 1) end, 9) as iat_mean,
     round(gap_std / 1e6, 3) as iat_std,
-    round(gap_min / 1e6, 3) as iat_min,
-    round(gap_max / 1e6, 3) as iat_max,
+    round(gap_min / 1e6, 6) as iat_min,
+    round(gap_max / 1e6, 6) as iat_max,
     round(value_sum, 4) as value_sum,
     round(value_sum / n_events, 6) as value_mean,
     n_types,

@@ -11,7 +11,7 @@ from flowguard.operators import models, selection
 from flowguard.plans import training
 from flowguard.plans.fixture_sql import LABELLED_DOCS, with_views
 from flowguard.plans.registry import query
-from flowguard.session import work_folder
+from flowguard.session import work_folder, write_through
 from flowguard.sources.tables import (
     DOC_FEATURES, EVENT_FLOW_FEATURES, VEC_FEATURES, event_flows, labelled_docs, vec_rows,
 )
@@ -22,7 +22,8 @@ SMALL = dict(num_trees=10, depth=6)
 def docs(spark: SparkSession, d: str) -> DataFrame:
     """Labelled texts as two-class rows; the attack classes are the kinds of bad text."""
     kind = F.when(F.col("quality") == 1, F.lit("BENIGN")).when(F.col("toxic") == 1, F.lit("Bot")).otherwise(F.lit("PortScan"))
-    return labelled_docs(spark, d).withColumn("label", kind).withColumn("binary", F.when(F.col("quality") == 1, 0).otherwise(1))
+    # The fits below read the rows many times; the text is scanned once.
+    return write_through(labelled_docs(spark, d), "docs").withColumn("label", kind).withColumn("binary", F.when(F.col("quality") == 1, 0).otherwise(1))
 
 
 @query("tree_importance")

@@ -70,8 +70,8 @@ _WINDOWED = """g as (
   from events),
 wf as (select * from (
   select user_id, w::timestamp as window_start, count(*) as n_events,
-    round(date_diff('microsecond', min(ts), max(ts)) / 1e6, 3) as duration_s,
-    round(avg(gap), 3) as iat_mean, round(stddev_pop(gap), 2) as iat_std, round(min(gap), 3) as iat_min, round(max(gap), 3) as iat_max,
+    round(date_diff('microsecond', min(ts), max(ts)) / 1e6, 6) as duration_s,
+    round(case when count(*) > 1 then date_diff('microsecond', min(ts), max(ts)) / 1e6 / (count(*) - 1) end, 9) as iat_mean, round(stddev_pop(gap), 2) as iat_std, round(min(gap), 6) as iat_min, round(max(gap), 6) as iat_max,
     round(case when count(*) > 1 then count(*) / (date_diff('microsecond', min(ts), max(ts)) / 1e6) end, 6) as events_per_s,
     round(sum(value), 4) as value_sum
   from g group by user_id, w) where window_start + interval '12 hours' <= (select max(ts) from events) - interval '1 hour')"""
@@ -80,7 +80,8 @@ wf as (select * from (
 def _rounded_windows(f: DataFrame) -> DataFrame:
     return f.select(
         "user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n_events",
-        *[F.round(c, 3).alias(c) for c in ("duration_s", "iat_mean", "iat_min", "iat_max")],
+        *[F.round(c, 6).alias(c) for c in ("duration_s", "iat_min", "iat_max")],
+        F.round("iat_mean", 9).alias("iat_mean"),
         F.round("iat_std", 2).alias("iat_std"), F.round("events_per_s", 6).alias("events_per_s"),
         F.round("value_sum", 4).alias("value_sum"),
     )

@@ -10,6 +10,7 @@ from flowguard.streaming.flows import flow_features
 
 ATTACK_NAMES = ["Bot", "DDoS", "Heartbleed", "Infiltration", "PortScan"]
 VEC_DIMS = 64
+EVENT_KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,12 +46,10 @@ def event_flows(spark: SparkSession, folder: str) -> DataFrame:
     ev = table(spark, folder, "events").withColumn(
         "flow_id", F.col("user_id") * 1000 + F.dayofyear("ts")
     )
-    kinds = ["error", "signup", "purchase"]
-    marks = {k: F.max(F.when(F.col("event_type") == k, 1).otherwise(0)) for k in kinds}
     flows = flow_features(
-        ev, key="flow_id", ts="ts", order="event_id", slice_seconds=60, value="value", kind="event_type",
-        extra={**{f"has_{k}": (m, F.max) for k, m in marks.items()},
-               "source_day": (F.min(F.date_trunc("day", F.col("ts"))), F.min)},
+        ev, key="flow_id", ts="ts", order="event_id", slice_seconds=60, value="value",
+        kind="event_type", kinds=EVENT_KINDS,
+        extra={"source_day": (F.min(F.date_trunc("day", F.col("ts"))), F.min)},
     )
     label = (
         F.when(F.col("has_error") == 1, F.lit("DDoS"))
@@ -60,11 +59,11 @@ def event_flows(spark: SparkSession, folder: str) -> DataFrame:
     )
     return flows.select(
         "flow_id", "n_events",
-        F.round("duration_s", 3).alias("duration_s"),
-        F.round("iat_mean", 3).alias("iat_mean"),
+        F.round("duration_s", 6).alias("duration_s"),
+        F.round("iat_mean", 9).alias("iat_mean"),
         F.round("iat_std", 3).alias("iat_std"),
-        F.round("iat_min", 3).alias("iat_min"),
-        F.round("iat_max", 3).alias("iat_max"),
+        F.round("iat_min", 6).alias("iat_min"),
+        F.round("iat_max", 6).alias("iat_max"),
         F.round("value_sum", 4).alias("value_sum"),
         F.round("value_mean", 6).alias("value_mean"),
         "n_types",

@@ -19,6 +19,9 @@ def micros(ts: Column | str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), ts.cast("timestamp_ntz"))
 
 
+LOW_BITS = 1 << 20
+
+
 def flow_features(
     events: DataFrame,
     key: str,
@@ -27,71 +30,87 @@ def flow_features(
     slice_seconds: int,
     value: str,
     kind: str,
+    kinds: list[str],
     extra: dict[str, tuple[Column, Callable[[Column], Column]]] | None = None,
 ) -> DataFrame:
-    """Per ``key``: counts, duration, gaps between events, value sums and rates.
+    """Per ``key``: counts, duration, gaps between events, value sums, kinds seen and rates.
 
     A busy key is split into time slices first: gaps inside a slice come from a window over
     ``(key, slice)``, gaps between slices from a window over the few slice rows of the key. So no
     task ever sorts all events of one key. Both levels aggregate on the partitioning their window
     already made, which leaves two shuffles, the second one over slice rows only.
 
-    ``extra`` maps a column name to (aggregate over events, function merging slice values).
+    ``kinds`` is the domain of ``kind``; ``has_<kind>`` flags come out for each. ``extra`` maps a
+    column name to (aggregate over events, function merging slice values).
     """
     extra = extra or {}
-    t = micros(ts)
-    base = events.withColumn("_t", t).withColumn("_slice", F.floor(F.col("_t") / F.lit(slice_seconds * 1_000_000)))
+    base = events.withColumn("_t", micros(ts))
+    base = base.withColumn("_slice", F.floor(F.col("_t") / F.lit(slice_seconds * 1_000_000)))
     inside = W.partitionBy(key, "_slice").orderBy("_t", order)
     gaps = base.withColumn("_gap", F.col("_t") - F.lag("_t").over(inside))
-    # Exact decimals: squares of microsecond gaps leave the BIGINT range.
-    square = F.col("_gap").cast("decimal(19,0)") * F.col("_gap").cast("decimal(19,0)")
     slices = gaps.groupBy(key, "_slice").agg(
         F.count("*").alias("_n"),
         F.min("_t").alias("_first"),
         F.max("_t").alias("_last"),
-        F.sum(square).alias("_sq"),
+        *_square_sums("_gap", "_in"),
         F.min("_gap").alias("_gmin"),
         F.max("_gap").alias("_gmax"),
         F.sum(value).alias("_vsum"),
-        F.collect_set(kind).alias("_kinds"),
+        *[F.max(F.when(F.col(kind) == k, 1).otherwise(0)).alias(f"has_{k}") for k in kinds],
         *[agg.alias(name) for name, (agg, _) in extra.items()],
     )
     across = W.partitionBy(key).orderBy("_slice")
     joined = slices.withColumn("_jump", F.col("_first") - F.lag("_last").over(across))
-    jump_sq = F.col("_jump").cast("decimal(19,0)") * F.col("_jump").cast("decimal(19,0)")
     flows = joined.groupBy(key).agg(
         F.sum("_n").alias("n_events"),
         F.min("_first").alias("_first"),
         F.max("_last").alias("_last"),
-        (F.coalesce(F.sum("_sq"), F.lit(0)) + F.coalesce(F.sum(jump_sq), F.lit(0))).alias("_sq"),
+        *[F.sum(f"_in{i}").alias(f"_in{i}") for i in range(3)],
+        *_square_sums("_jump", "_ju"),
         F.least(F.min("_gmin"), F.min("_jump")).alias("_gmin"),
         F.greatest(F.max("_gmax"), F.max("_jump")).alias("_gmax"),
         F.sum("_vsum").alias("value_sum"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("_kinds")))).cast("bigint").alias("n_types"),
+        *[F.max(f"has_{k}").alias(f"has_{k}") for k in kinds],
         *[merge(F.col(name)).alias(name) for name, (_, merge) in extra.items()],
     )
-    return flows.select(key, *flow_rate_columns(), *extra)
+    n_types = F.lit(0).cast("bigint")
+    for k in kinds:
+        n_types = n_types + F.col(f"has_{k}")
+    return flows.select(key, *flow_rate_columns(), n_types.alias("n_types"), *[f"has_{k}" for k in kinds], *extra)
+
+
+def _square_sums(gap: str, name: str) -> list[Column]:
+    """Exact sum of squared gaps as three BIGINT sums.
+
+    A microsecond gap squared leaves the BIGINT range, and decimals are slow to add per row; with
+    g = a·2^20 + b the sums of a², ab and b² stay in range and are put together once per key.
+    """
+    high, low = F.floor(F.col(gap) / F.lit(LOW_BITS)), F.pmod(F.col(gap), F.lit(LOW_BITS))
+    parts = [high * high, high * low, low * low]
+    return [F.coalesce(F.sum(p), F.lit(0)).alias(f"{name}{i}") for i, p in enumerate(parts)]
 
 
 def flow_rate_columns() -> list[Column]:
     """Final feature columns from the merged counters."""
     span = F.col("_last") - F.col("_first")
     pairs = F.col("n_events") - 1
-    duration = span / SECOND
+    duration = span / F.lit(SECOND)
     mean = F.when(pairs > 0, duration / pairs)
+    part = [(F.col(f"_in{i}") + F.col(f"_ju{i}")).cast("decimal(19,0)") for i in range(3)]
+    unit = F.lit(LOW_BITS).cast("decimal(7,0)")
+    squares = ((part[0] * unit + 2 * part[1]) * unit + part[2]).cast("decimal(26,0)")
     wide = span.cast("decimal(19,0)")
-    spread = pairs.cast("decimal(12,0)") * F.col("_sq").cast("decimal(26,0)") - wide * wide
-    std = F.when(pairs > 0, F.sqrt(F.greatest(spread.cast("double"), F.lit(0.0))) / pairs / SECOND)
+    spread = pairs.cast("decimal(12,0)") * squares - wide * wide
+    std = F.when(pairs > 0, F.sqrt(F.greatest(spread.cast("double"), F.lit(0.0))) / pairs / F.lit(SECOND))
     return [
         F.col("n_events"),
         duration.alias("duration_s"),
         mean.alias("iat_mean"),
         std.alias("iat_std"),
-        (F.col("_gmin") / SECOND).alias("iat_min"),
-        (F.col("_gmax") / SECOND).alias("iat_max"),
+        (F.col("_gmin") / F.lit(SECOND)).alias("iat_min"),
+        (F.col("_gmax") / F.lit(SECOND)).alias("iat_max"),
         F.col("value_sum"),
         (F.col("value_sum") / F.col("n_events")).alias("value_mean"),
-        F.col("n_types"),
         F.when(span > 0, F.col("n_events") / duration).otherwise(F.lit(INF)).alias("events_per_s"),
     ]
 

@@ -106,9 +106,10 @@ def _visits(pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, k: int):
 
 def _block_search(k: int):
     def run(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"vid": [], "d2": [], "ids": []})
         if not len(queries) or not len(data):
-            return empty
+            return pd.DataFrame({
+                "vid": np.array([], "int64"), "d2": np.array([], "float64"), "ids": np.array([], "object"),
+            })
         data = data.sort_values("vid", kind="stable")
         ids, dx = data["ids"].to_numpy(), np.stack(data["x"].to_numpy())
         take = min(k + 1, len(data))
@@ -135,7 +136,8 @@ def _whole_group(k: int):
         ids, x = b["id"].to_numpy(), np.stack(b["x"].to_numpy())
         take = min(k, len(b) - 1)
         if take < 1:
-            return pd.DataFrame({"id": [], "rank": [], "neighbour": [], "d2": []})
+            return pd.DataFrame({c: np.array([], t) for c, t in (
+                ("id", "int64"), ("rank", "int32"), ("neighbour", "int64"), ("d2", "float64"))})
         parts = []
         for at in range(0, len(b), 512):
             d2 = squared_distances(x[at:at + 512], x)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from flowguard.session import sized_side
 
-ONE_TASK_ROWS = 500_000
+ONE_TASK_ROWS = 500_000  # rows one task may sort
+IN_MEMORY_CELLS = 4_000_000  # values Spark's percentile may keep in one task's memory
 SKETCH_ACCURACY = 10_000
 
 
@@ -183,14 +184,16 @@ def order_quantiles(
 ) -> DataFrame:
     """Exact quantiles as rows ``by, feature, p, value``; missing values are left out.
 
-    Tables counted to be small use Spark's own ``percentile``. Larger ones are narrowed: a sketch
-    gives an interval around each wanted rank, one scan counts what lies below and inside it, and
-    only the values inside are sorted. Works the same for one global group as for a hot label.
+    Tables counted to be small use Spark's own ``percentile``, or a running count over the distinct
+    values of each feature if one task can sort them. Larger ones are narrowed: a sketch gives an
+    interval around each wanted rank, one scan counts what lies below and inside it, and only the
+    values inside are sorted. Works the same for one global group as for a hot label.
     """
     by = by or []
     keys = [*by, "feature"]
-    small = df.count() <= one_task_rows
-    if small and rule == "inclusive":
+    n_rows = df.count()
+    small = n_rows <= one_task_rows
+    if small and rule == "inclusive" and n_rows * len(cols) <= IN_MEMORY_CELLS:
         cells = [F.percentile(F.col(c).cast("double"), [float(p) for p in probs]).alias(f"_q{i}") for i, c in enumerate(cols)]
         wide = df.groupBy(*by).agg(*cells)
         rows = F.array(*[

@@ -15,6 +15,7 @@ class Scaler:
     features: list[str]
     mean: list[float]
     scale: list[float]
+    constant: frozenset = frozenset()
 
     def z(self, feature: str) -> Column:
         i = self.features.index(feature)
@@ -39,4 +40,5 @@ def fit_scaler(df: DataFrame, features: list[str]) -> Scaler:
     row = df.agg(*cells).first()
     mean = [row[2 * i] for i in range(len(features))]
     scale = [row[2 * i + 1] or 1.0 for i in range(len(features))]
-    return Scaler(list(features), mean, scale)
+    constant = frozenset(f for i, f in enumerate(features) if not row[2 * i + 1])
+    return Scaler(list(features), mean, scale, constant)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowguard.constants import SELECTION_DEFAULTS
+from flowguard.operators.scale import fit_scaler
 from flowguard.operators.split import balanced_sample, row_sample
 
 PAIRWISE_COLUMNS = 12
@@ -32,20 +33,28 @@ def keep_by_variance(df: DataFrame, cols: list[str], threshold: float = 0.01) ->
 
 
 def correlation_table(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Absolute Pearson correlation of each column pair, earlier column first.
+    """Absolute Pearson correlation of each column pair, earlier column first; null for a constant.
 
-    Few columns: all pairs in one generated aggregate. Many: one Gram-matrix pass; only the k×k
-    result comes to the driver.
+    Expects repaired columns. Few columns: mean products of the standardised columns, one generated
+    aggregate after the scaler's. Many: one Gram-matrix pass; only the k×k result comes to the
+    driver.
     """
     pairs = [(i, j) for j in range(len(cols)) for i in range(j)]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "i int, j int, first string, second string, r double")
     if len(cols) <= PAIRWISE_COLUMNS:
-        return _rows(df, [
+        scaler = fit_scaler(df, cols)
+        z = scaler.transform(df.select(*cols))
+        product = z.agg(*[F.avg(F.col(cols[i]) * F.col(cols[j])).alias(f"r{k}") for k, (i, j) in enumerate(pairs)])
+        flat = scaler.constant
+        cells = [
             F.struct(
                 F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("first"), F.lit(cols[j]).alias("second"),
-                F.abs(F.corr(cols[i], cols[j])).alias("r"),
+                (F.lit(None).cast("double") if {cols[i], cols[j]} & flat else F.abs(f"r{k}")).alias("r"),
             )
-            for i, j in pairs
-        ])
+            for k, (i, j) in enumerate(pairs)
+        ]
+        return product.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
     vec = VectorAssembler(inputCols=cols, outputCol="_x").transform(df.select(*cols)).select("_x")
     m = Correlation.corr(vec, "_x").head()[0].toArray()
     rows = [(i, j, cols[i], cols[j], abs(float(m[i, j]))) for i, j in pairs]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def get_session(app: str = "flowguard", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,7 +63,9 @@ def sized_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     Up to ``max_rows`` rows the side becomes a local table with a broadcast hint; beyond that the
     side is returned as it is, and the join is shuffled with adaptive skew handling.
     """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
+    head = df.limit(max_rows + 1).collect()
+    if len(head) > max_rows:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
+    # All fields nullable: a null struct may have fields that were never null in the input.
+    schema = T.StructType.fromJson(json.loads(df.schema.json().replace('"nullable":false', '"nullable":true')))
+    return F.broadcast(df.sparkSession.createDataFrame(head, schema=schema))

@@ -15,12 +15,14 @@ def parse_flows(df: DataFrame, payload: str) -> DataFrame:
     empty map, a value that is no number.
     """
     text = F.col(payload)
-    root = F.from_json(text, RAW_MAP, {"mode": "PERMISSIVE"})
-    inner = F.get_json_object(text, "$.features")
-    raw = F.when(inner.isNotNull(), F.from_json(inner, RAW_MAP)).otherwise(root)
-    is_object = F.ltrim(text).startswith("{") & raw.isNotNull()
-    numbers = F.transform_values(raw, lambda _, v: v.try_cast("double"))
-    staged = df.withColumn("_raw", F.when(is_object, raw)).withColumn("_num", F.when(is_object, numbers))
+    # A nested object comes out of the outer map as its text; it is parsed only where it exists.
+    outer = df.withColumn("_root", F.when(F.ltrim(text).startswith("{"), F.from_json(text, RAW_MAP)))
+    inner = F.try_element_at("_root", F.lit("features"))
+    staged = outer.withColumn(
+        "_raw",
+        F.when(F.map_contains_key("_root", "features"), F.when(inner.startswith("{"), F.from_json(inner, RAW_MAP)))
+        .otherwise(F.col("_root")),
+    ).withColumn("_num", F.transform_values("_raw", lambda _, v: v.try_cast("double")))
     bad_value = F.exists(F.map_values("_num"), lambda v: v.isNull())
     reason = (
         F.when(F.col("_raw").isNull(), F.lit("invalid json"))
@@ -28,8 +30,8 @@ def parse_flows(df: DataFrame, payload: str) -> DataFrame:
         .when(bad_value, F.lit("invalid value"))
     )
     return staged.withColumn("reject_reason", reason).withColumn(
-        "features", F.when(reason.isNull(), F.col("_num"))
-    ).drop("_raw", "_num")
+        "features", F.when(F.col("reject_reason").isNull(), F.col("_num"))
+    ).drop("_root", "_raw", "_num")
 
 
 def explode_batch(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowguard.constants import BEHAVIOUR_GROUPS
 from flowguard.functions.numbers import sum_of
 from flowguard.operators.ordered import order_quantiles
 from flowguard.operators.scale import fit_scaler
@@ -27,8 +28,11 @@ def anomaly_indicators(df: DataFrame, baseline: DataFrame, cols: list[str], most
     return df.withColumn("indicators", F.slice(F.array_compact(F.array(*marks)), 1, most))
 
 
-def fingerprint(df: DataFrame, baseline: DataFrame, groups: dict[str, list[str]], keep: list[str]) -> DataFrame:
-    """Mean z-score per behaviour group against the baseline rows."""
+def fingerprint(
+    df: DataFrame, baseline: DataFrame, groups: dict[str, list[str]] | None = None, keep: list[str] | None = None
+) -> DataFrame:
+    """Mean z-score per behaviour group against the baseline rows; six groups of flow features by default."""
+    groups, keep = groups or BEHAVIOUR_GROUPS, keep or []
     scaler = fit_scaler(baseline, [f for fs in groups.values() for f in fs])
     return df.select(*keep, *[
         F.round(sum_of([scaler.z(f) for f in fs]) / len(fs), 6).alias(name) for name, fs in groups.items()

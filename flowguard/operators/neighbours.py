@@ -237,23 +237,3 @@ def _pivot_search(df: DataFrame, id_col: str, features: list[str], k: int, block
     return joined.select("id", F.posexplode(others).alias("_p", "_e")).select(
         "id", (F.col("_p") + 1).alias("rank"), F.col("_e.neighbour").alias("neighbour"), F.col("_e.d2").alias("d2")
     )
-
-
-def approximate_neighbours(
-    df: DataFrame, id_col: str, features: list[str], k: int, reach: float, bucket: float, tables: int = 4, seed: int = 42
-) -> DataFrame:
-    """Neighbours within ``reach`` by random-projection hashing, for sets where exact search prunes little.
-
-    May miss neighbours; offered as a choice of the caller, never switched to silently.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
-
-    vec = VectorAssembler(inputCols=features, outputCol="_x").transform(df).select(F.col(id_col).alias("id"), "_x")
-    model = BucketedRandomProjectionLSH(
-        inputCol="_x", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=seed
-    ).fit(vec)
-    pairs = model.approxSimilarityJoin(vec, vec, reach, "_d").select(
-        F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("neighbour"), (F.col("_d") * F.col("_d")).alias("d2")
-    ).where("id <> neighbour")
-    w = W.partitionBy("id").orderBy("d2", "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -118,3 +118,14 @@ def layered_action(
         hit = (as_col(class_key) == name) & (as_col(class_confidence) > above)
         decided = decided.when(hit, F.lit(action))
     return decided.otherwise(as_col(list_action))
+
+
+def policy_strategy(policy: DataFrame) -> DataFrame:
+    """One row: list sizes and what they say about the strategy."""
+    deny, hold = F.count_if(F.col("action") == "DENY"), F.count_if(F.col("action") == "QUARANTINE")
+    strategy = (
+        F.when(deny < 2, F.lit("Limited high-risk coverage"))
+        .when(hold > deny, F.lit("Conservative Strategy"))
+        .otherwise(F.lit("Aggressive Blocking"))
+    )
+    return policy.agg(deny.alias("n_deny"), hold.alias("n_quarantine"), strategy.alias("strategy"))

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowguard.constants import FEEDBACK_RATE
+from flowguard.constants import FEEDBACK_RATE, TEST_DAY_FILES, TRAIN_DAY_FILES
 from flowguard.functions.labels import safe_name
 from flowguard.functions.numbers import scatter
 from flowguard.operators.clean import clean_table, feature_columns, normalise_labels, numeric_columns, strip_headers
 from flowguard.operators.clean import with_binary, zero_fill_absent
+from flowguard.operators.split import source_split
 
 SPLITS = ("train", "val", "test")
 
@@ -45,6 +46,12 @@ def with_source_file(df: DataFrame, name: str = "source_file") -> DataFrame:
     return df.withColumn(name, F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
+def day_pools(df: DataFrame, source: str = "source_file") -> DataFrame:
+    """Rows of the train and test capture days, with ``split``; other files are left out."""
+    known = df.where(F.col(source).isin([*TRAIN_DAY_FILES, *TEST_DAY_FILES]))
+    return source_split(known, source, TEST_DAY_FILES)
+
+
 def build_clean_table(raw: DataFrame) -> DataFrame:
     """Training table from raw rows: trimmed headers, no copies, repaired numbers, binary label."""
     df = strip_headers(raw)

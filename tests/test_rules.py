@@ -9,7 +9,7 @@ from flowguard.functions import decision as D
 from flowguard.functions import narrative as N
 from flowguard.functions import proba as P
 from flowguard.functions import trust as T
-from flowguard.operators.policy import with_policy
+from flowguard.operators.policy import policy_strategy, policy_table, with_policy
 from flowguard.operators.report import imbalance_flag, macro_grade, separation_grade
 
 NAN, INF = float("nan"), float("inf")
@@ -115,3 +115,12 @@ def test_confidence_is_probability_of_the_called_class(spark):
     got = values(spark, D.binary_confidence("b", "p"), [(1, 0.8), (0, 0.8), (1, 1.7), (0, -1.0)], "b int, p double")
     assert got == pytest.approx([0.8, 0.2, 1.0, 1.0])
     assert math.isnan(values(spark, D.binary_confidence("b", "p"), [(1, NAN)], "b int, p double")[0])
+
+
+def test_policy_strategy(spark):
+    def name(**lists):
+        return policy_strategy(policy_table(spark, **lists)).first().strategy
+
+    assert name() == "Aggressive Blocking"
+    assert name(deny=["a"]) == "Limited high-risk coverage"
+    assert name(deny=["a", "b"], quarantine=["c", "d", "e"]) == "Conservative Strategy"

@@ -111,3 +111,11 @@ def test_median_fit_on_other_rows(spark):
     train = spark.createDataFrame([(10.0,), (20.0,)], "a double")
     assert [r.a for r in clean.repair(df, ["a"], fit_on=train).orderBy("id").collect()] == [15.0, 4.0]
     assert df.where(F.col("a").isNull()).count() == 1
+
+
+def test_day_pools(spark):
+    from flowguard.constants import TEST_DAY_FILES, TRAIN_DAY_FILES
+
+    df = spark.createDataFrame([(f,) for f in [*TRAIN_DAY_FILES, *TEST_DAY_FILES, "other.csv"]], "source_file string")
+    got = {r.split: r["count"] for r in files.day_pools(df).groupBy("split").count().collect()}
+    assert got == {"train": 3, "test": 2}

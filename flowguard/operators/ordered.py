@@ -120,6 +120,11 @@ def _pick(counted: DataFrame, keys: list[str], rule: str) -> DataFrame:
     )
 
 
+def _per_key(table: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """One row per key with its intervals as an array ordered by ``p``, so rows are not multiplied."""
+    return table.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", *fields))).alias("_br"))
+
+
 def _brackets(values: DataFrame, keys: list[str], probs: list[float], rule: str, one_task_rows: int) -> DataFrame:
     """``keys, p, n, lo, hi, below``: intervals that hold the wanted ranks and few other rows."""
     eps = 5.0 / SKETCH_ACCURACY
@@ -133,16 +138,21 @@ def _brackets(values: DataFrame, keys: list[str], probs: list[float], rule: str,
     ])
     table = first.select(*keys, "n", F.explode(parts).alias("_p")).select(*keys, "_p.p", "n", "_p.lo", "_p.hi")
     low, _ = _position(F.col("p"), F.col("n"), rule)
+    ps = sorted({float(p) for p in probs})
     last_inside = None
     while True:
         table = sized_side(table)
         v = F.col("value")
-        counts = (
-            values.join(table, keys)
-            .groupBy(*keys, "p", "n", "lo", "hi")
-            .agg(F.count_if(v < F.col("lo")).alias("below"),
-                 F.count_if((v >= F.col("lo")) & (v <= F.col("hi"))).alias("inside"))
-        )
+        wide = sized_side(_per_key(table, keys, ["n", "lo", "hi"]))
+        cells = []
+        for i in range(len(ps)):
+            b = F.col("_br")[i]
+            cells += [F.count_if(v < b["lo"]).alias(f"_b{i}"), F.count_if((v >= b["lo"]) & (v <= b["hi"])).alias(f"_i{i}")]
+        found = F.explode(F.array(*[
+            F.struct(F.lit(p).alias("p"), F.col(f"_b{i}").alias("below"), F.col(f"_i{i}").alias("inside")) for i, p in enumerate(ps)
+        ]))
+        counts = values.join(wide, keys).groupBy(*keys).agg(*cells).select(*keys, found.alias("_f"))
+        counts = counts.select(*keys, "_f.*").join(table, [*keys, "p"])
         held = (F.col("below") <= low) & (F.least(low + 1, F.col("n") - 1) < F.col("below") + F.col("inside"))
         # A sketch that missed its rank gives way to the open interval: exact, only slower.
         counts = sized_side(
@@ -190,6 +200,7 @@ def order_quantiles(
     values inside are sorted. Works the same for one global group as for a hot label.
     """
     by = by or []
+    probs = sorted({float(p) for p in probs})
     keys = [*by, "feature"]
     n_rows = df.count()
     small = n_rows <= one_task_rows
@@ -211,10 +222,12 @@ def order_quantiles(
         )
     else:
         brackets = _brackets(values, keys, probs, rule, one_task_rows)
+        wide = sized_side(_per_key(brackets, keys, ["n", "lo", "hi", "below"]))
+        near = F.filter("_br", lambda b: (F.col("value") >= b["lo"]) & (F.col("value") <= b["hi"]))
         counted = (
-            values.join(sized_side(brackets), keys)
-            .where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
-            .groupBy(*keys, "p", "n", "below", "value")
+            values.join(wide, keys)
+            .select(*keys, "value", F.explode(near).alias("_f"))
+            .groupBy(*keys, "_f.p", "_f.n", "_f.below", "value")
             .agg(F.count("*").alias("cnt"))
         )
     return _pick(counted, keys, rule)

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowguard.functions.numbers import scatter
-from flowguard.session import sized_side, write_through
+from flowguard.session import write_through
 
 BLOCK_ROWS = 2000
 MAX_PIVOTS = 4096
@@ -229,10 +229,11 @@ def _pivot_search(df: DataFrame, id_col: str, features: list[str], k: int, block
         near.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k + 1)
         .groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("d2", "neighbour"))).alias("near"))
     )
-    per_vector = lists.join(vectors.select("vid", "x"), "vid").select("x", "near")
+    # Written, so the search runs once; the size of the files then decides about a broadcast below.
+    per_vector = write_through(lists.join(vectors.select("vid", "x"), "vid").select("x", "near"), "knn-lists")
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), _as_vector(features).alias("x"))
-    # A vector with very many copies makes one hot key here; the small side then is split-joined.
-    joined = rows.join(sized_side(per_vector, 20_000), "x")
+    # A vector with very many copies makes one hot key here; adaptive skew handling splits it.
+    joined = rows.join(per_vector, "x")
     others = F.slice(F.filter("near", lambda e: e["neighbour"] != F.col("id")), 1, k)
     return joined.select("id", F.posexplode(others).alias("_p", "_e")).select(
         "id", (F.col("_p") + 1).alias("rank"), F.col("_e.neighbour").alias("neighbour"), F.col("_e.d2").alias("d2")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowguard.llm import mixing
+from flowguard.llm import hilbert, mixing
+from flowguard.llm.hilbert_sql import shard_sql
 from flowguard.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +61,9 @@ from placed group by doc_id, source, source_size, target
 @query("op9_source_mix", MIX_SQL)
 def op9_source_mix(spark, folder):
     return mixing.document_shares(table(spark, folder, "documents"))
+
+
+@query("op8_hilbert_shards", shard_sql())
+def op8_hilbert_shards(spark, folder):
+    return hilbert.shard_documents(table(spark, folder, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

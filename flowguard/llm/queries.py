@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import hilbert, mixing
+from flowguard.llm import hilbert, mixing, warc
 from flowguard.llm.hilbert_sql import shard_sql
 from flowguard.llm.tables import table
 
@@ -67,3 +67,20 @@ def op9_source_mix(spark, folder):
 def op8_hilbert_shards(spark, folder):
     return hilbert.shard_documents(table(spark, folder, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op4_warc_revisits", r"""
+with p as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as h from pages
+), d as (
+  select page_id, payload_bytes, translate(concat(
+    """ + ", ".join(f"lpad(to_base(('0x' || substr(h, {1 + 5 * i}, 5))::bigint, 32), 4, '0')" for i in range(8)) + r"""
+  ), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest from p
+)
+select page_id, payload_bytes, payload_digest,
+       case when page_id = max(page_id) over w then 'response' else 'revisit' end as record_type,
+       case when page_id <> max(page_id) over w then max(page_id) over w end as refers_to
+from d window w as (partition by payload_digest)
+""")
+def op4_warc_revisits(spark, folder):
+    return warc.archive_round_trip(spark, table(spark, folder, "pages"))

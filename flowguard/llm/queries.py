@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import hilbert, mixing, warc
+from flowguard.llm import hilbert, mixing, packing, warc
 from flowguard.llm.hilbert_sql import shard_sql
 from flowguard.llm.tables import table
 
@@ -84,3 +84,8 @@ from d window w as (partition by payload_digest)
 """)
 def op4_warc_revisits(spark, folder):
     return warc.archive_round_trip(spark, table(spark, folder, "pages"))
+
+
+@query("op10_packed_tokens")
+def op10_packed_tokens(spark, folder):
+    return packing.pack_documents(table(spark, folder, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import hilbert, mixing, packing, warc
+from flowguard.llm import decontam, hilbert, mixing, packing, warc
 from flowguard.llm.hilbert_sql import shard_sql
 from flowguard.llm.tables import table
 
@@ -89,3 +89,8 @@ def op4_warc_revisits(spark, folder):
 @query("op10_packed_tokens")
 def op10_packed_tokens(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"))
+
+
+@query("op2_benchmark_leaks")
+def op2_benchmark_leaks(spark, folder):
+    return decontam.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import decontam, hilbert, mixing, packing, warc
+from flowguard.llm import decontam, hilbert, jaccard_join, mixing, packing, warc
 from flowguard.llm.hilbert_sql import shard_sql
 from flowguard.llm.tables import table
 
@@ -94,3 +94,23 @@ def op10_packed_tokens(spark, folder):
 @query("op2_benchmark_leaks")
 def op2_benchmark_leaks(spark, folder):
     return decontam.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op3_jaccard_components", r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+         else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from words
+), tokens as (select doc_id, len(s) as n, unnest(s) as t from sets
+), links as (
+  select a.doc_id as a, b.doc_id as b from tokens a join tokens b on a.t = b.t and a.doc_id <> b.doc_id
+  group by 1, 2, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach as (
+  select doc_id as d, doc_id as r from documents union select links.b, reach.r from reach join links on links.a = reach.d
+)
+select s.doc_id, len(s)::bigint as n_shingles, (select min(r) from reach where d = s.doc_id) as component_id from sets s
+""")
+def op3_jaccard_components(spark, folder):
+    return jaccard_join.near_duplicates(table(spark, folder, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import decontam, hilbert, jaccard_join, mixing, packing, warc
+from flowguard.llm import decontam, hilbert, jaccard_join, mixing, packing, toxicity, warc
 from flowguard.llm.hilbert_sql import shard_sql
 from flowguard.llm.tables import table
 
@@ -114,3 +114,12 @@ select s.doc_id, len(s)::bigint as n_shingles, (select min(r) from reach where d
 """)
 def op3_jaccard_components(spark, folder):
     return jaccard_join.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op6_toxicity_votes")
+def op6_toxicity_votes(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, toxicity.training_labels(table(spark, folder, "labels")))
+    return toxicity.score(docs, model).select(
+        "doc_id", (toxicity.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= toxicity.CUTOFF).cast("int").alias("predicted"), "evidence")

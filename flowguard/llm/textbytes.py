@@ -19,6 +19,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LETTER = np.zeros(256, dtype=bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
@@ -81,9 +83,10 @@ def pieces(batch: pa.RecordBatch, text_col: str, limit: int = PIECE_BYTES) -> It
 class Words:
     """Words of some texts: byte ``start`` and ``end``, ``hash``, and ``first[d]``, the first word of text d."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: Powers):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: Powers, letters: bool = False):
+        """With ``letters`` a word is a run of ASCII letters and bytes above 0x7F."""
         n = len(data)
-        inside = ~_SPACE[data]
+        inside = LETTER[data] if letters else ~_SPACE[data]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         cuts = offsets[:-1][(offsets[:-1] < n)]
@@ -95,8 +98,16 @@ class Words:
         up, down = table.upto(n + 1)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_VALUE[_LOWER[data]] * up[:n], out=sums[1:])
+        self.sums, self.down = sums, down
         self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
 
+    def byte_grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the word and hash of every run of ``k`` bytes inside a word, lower-cased."""
+        count = np.maximum(self.end - self.start - k + 1, 0)
+        word = np.repeat(np.arange(len(count)), count)
+        at = np.repeat(self.start - (np.cumsum(count) - count), count) + np.arange(len(word))
+        return word, mix((self.sums[at + k] - self.sums[at]) * self.down[at] + np.uint64(k))
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the ``k`` words from each word on, and whether they lie in one text.
 

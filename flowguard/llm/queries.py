@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import decontam, hilbert, jaccard_join, mixing, packing, toxicity, warc
+from flowguard.llm import decontam, hilbert, jaccard_join, langid, mixing, packing, toxicity, warc
 from flowguard.llm.hilbert_sql import shard_sql
 from flowguard.llm.tables import table
 
@@ -123,3 +123,11 @@ def op6_toxicity_votes(spark, folder):
     return toxicity.score(docs, model).select(
         "doc_id", (toxicity.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
         (F.col("score") >= toxicity.CUTOFF).cast("int").alias("predicted"), "evidence")
+
+
+@query("op1_byte_language")
+def op1_byte_language(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    net, languages = langid.fit(docs.filter(toxicity.fold(F.col("doc_id"), 3) != 1))
+    return langid.predict(docs, net, languages).select(
+        "doc_id", (toxicity.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")

@@ -59,8 +59,8 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
 
 
-def records(pages: DataFrame, resolved: DataFrame) -> DataFrame:
-    """One string per record, without the ending blank lines; ``pages`` and ``resolved`` are one table."""
+def records(pages: DataFrame) -> DataFrame:
+    """One string per record, without the blank lines at its end."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     is_revisit = F.col("record_type") == "revisit"
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -84,13 +84,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes:
     headers = written(full.select("page_id", "payload_bytes", "payload_digest"), "warc-headers")
     total = headers.agg(F.sum("payload_bytes"), F.count(F.lit(1))).first()
     files = max(1, -(-((total[0] or 0) + 500 * total[1]) // file_bytes))
-    # Only the revisits and the responses they point to differ from a plain response, one row per id.
-    marks = resolve_revisits(headers, min_bytes).filter("record_type = 'revisit'").select(
-        F.col("page_id").alias("_id"), "refers_to", "record_type").distinct()
-    joined = full.join(marks, F.col("page_id").eqNullSafe(F.col("_id")), "left").withColumn(
-        "record_type", F.coalesce("record_type", F.lit("response")))
-    rows = joined.withColumn("record_type", F.when(F.col("payload_bytes") >= min_bytes, F.col("record_type")).otherwise("response"))
-    records(rows, rows).repartition(files).write.option("lineSep", END).option("compression", "gzip").text(path)
+    # Payloads move once: dealt to the files by id, which is also how the revisit marks are joined.
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("_key")
+    marks = resolve_revisits(headers, min_bytes).filter("record_type = 'revisit'").select(key, "refers_to", "record_type").distinct()
+    dealt = full.select("*", key).repartition(files, "_key")
+    joined = dealt.join(marks, "_key", "left").withColumn(
+        "record_type", F.when(F.col("payload_bytes") >= min_bytes, F.coalesce("record_type", F.lit("response"))).otherwise("response"))
+    records(joined).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def _parse(data: bytes):

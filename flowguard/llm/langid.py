@@ -51,6 +51,23 @@ def symbols_at(data, start, low, high) -> np.ndarray:
     return out
 
 
+def _softsign(a: np.ndarray) -> np.ndarray:
+    """``a / (1 + |a|)`` in place of tanh: the same shape at a fraction of its cost."""
+    d = np.abs(a)
+    d += 1
+    a /= d
+    return a
+
+
+def _gate(a: np.ndarray, table: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """A gate between 0 and 1 from state and symbol."""
+    a += np.take(table, symbols, axis=0, mode="clip")
+    a = _softsign(a)
+    a += 1
+    a *= 0.5
+    return a
+
+
 class ByteGru:
     """Weights of both directions and of the output layer."""
 
@@ -65,22 +82,16 @@ class ByteGru:
     def _run(self, symbols: np.ndarray, d: str, keep: bool):
         """States after each symbol ``(time, window, hidden)``; with ``keep`` what the way back needs."""
         h_n, x, u = self.hidden, self.p["x" + d], self.p["u" + d]
-        # sigmoid(a) = (1 + tanh(a / 2)) / 2, so all three gates are one kind of call.
-        xg, xc = np.ascontiguousarray(x[:, : 2 * h_n]) * 0.5, np.ascontiguousarray(x[:, 2 * h_n:])
-        ug, uc = np.ascontiguousarray(u[:, : 2 * h_n]) * 0.5, np.ascontiguousarray(u[:, 2 * h_n:])
+        xz, xr, xc = (np.ascontiguousarray(x[:, i * h_n: (i + 1) * h_n]) for i in range(3))
+        uz, ur, uc = (np.ascontiguousarray(u[:, i * h_n: (i + 1) * h_n]) for i in range(3))
         h = np.zeros((symbols.shape[1], h_n), np.float32)
         states, kept = np.empty((len(symbols), *h.shape), np.float32), []
         for t, s in enumerate(symbols):
-            g = h @ ug
-            g += np.take(xg, s, axis=0)
-            np.tanh(g, out=g)
-            g += 1
-            g *= 0.5
-            z, r = g[:, :h_n], g[:, h_n:]
+            z, r = _gate(h @ uz, xz, s), _gate(h @ ur, xr, s)
             hc = h @ uc
             c = r * hc
-            c += np.take(xc, s, axis=0)
-            np.tanh(c, out=c)
+            c += np.take(xc, s, axis=0, mode="clip")
+            c = _softsign(c)
             if keep:
                 kept.append((h, z, r, c, hc))
             h = h + z * (c - h)
@@ -134,9 +145,9 @@ class ByteGru:
             h, z, r, c, hc = kept[t]
             if first <= t < first + CORE:
                 dh = dh + from_output[t - first]
-            ac = dh * z * (1 - c * c)
-            az = dh * (c - h) * z * (1 - z)
-            ar = ac * hc * r * (1 - r)
+            ac = dh * z * (1 - np.abs(c)) ** 2
+            az = dh * (c - h) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
+            ar = ac * hc * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
             da = da_all[t]
             da[:, :h_n], da[:, h_n: 2 * h_n], da[:, 2 * h_n:] = az, ar, ac
             back = np.concatenate([az, ar, ac * r], axis=1)

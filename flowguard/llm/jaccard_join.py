@@ -2,9 +2,8 @@
 
 A text's tokens are its distinct shingles of five words. Tokens are put in one global order: by the
 number of times their rarest word occurs in the corpus, then by hash. Words outside the table of the
-``FREQUENT_WORDS`` most frequent ones, or with fewer than ``FREQUENT_FROM`` occurrences, count as 0, so
-a token is *rare* if it holds such a word and *frequent* otherwise; the table has a fixed largest size
-and is broadcast.
+``FREQUENT_WORDS`` most frequent ones count as 0; the table has this fixed largest size and is broadcast.
+A token is *frequent* if its rarest word occurs at least ``FREQUENT_FROM`` times, else *rare*.
 
 Two sets of Jaccard similarity ``t`` share at least ``ceil(t n)`` tokens of either, so their first
 ``n - ceil(t n) + k`` tokens have at least ``k`` in common. Rare tokens are indexed singly. Frequent ones
@@ -28,16 +27,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowguard.llm.components import components
-from flowguard.llm.tables import written
+from flowguard.llm.tables import release, written
 from flowguard.llm.textbytes import Powers, Words, mix, pieces
 
 SHINGLE = 5
 SIMILARITY_PERCENT = 80
-FREQUENT_WORDS = 1 << 17
+FREQUENT_WORDS = 1 << 20
 FREQUENT_FROM = 64
 #: Tokens of a size class per part of its frequent tokens.
 PART_TOKENS = 32
@@ -68,10 +67,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, most: int = FREQUENT_WORDS, least: int = FREQUENT_FROM):
-    """The most frequent words as sorted hashes and their counts, at most ``most``."""
-    rows = word_counts(docs).filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).toPandas()
-    word, n = rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+def frequent_words(docs: DataFrame, most: int = FREQUENT_WORDS):
+    """Sorted hashes and counts of all words from the least count on that keeps them at ``most``."""
+    counted = written(word_counts(docs).filter("n > 1"), "jaccard-words")
+    least = F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
+    # One row per different count, of which there are few.
+    levels = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("_to", least).filter(F.col("_to") <= most)
+    lowest = levels.agg(F.min("n")).first()[0]
+    rows = counted.filter(F.col("n") >= (lowest if lowest is not None else 1 << 62)).toArrow()
+    word, n = rows.column("word").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(word)
     return word[order], n[order]
 
@@ -84,7 +88,7 @@ def prefix_length(n: int, k: int) -> int:
     return min(n, n - (n * SIMILARITY_PERCENT + 99) // 100 + k)
 
 
-def signatures(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def signatures(tokens: np.ndarray, counts: np.ndarray, frequent_from: int = FREQUENT_FROM) -> np.ndarray:
     """Signatures of one set: its distinct ``tokens`` with the count of each token's rarest word."""
     n = len(tokens)
     g = size_class(n)
@@ -92,7 +96,7 @@ def signatures(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     longest = prefix_length(n, 1 + max(m for _, m in bands))
     order = np.lexsort((tokens, counts))[:longest]
     tokens, counts = tokens[order], counts[order]
-    rare = int(np.searchsorted(counts, 1))
+    rare = int(np.searchsorted(counts, frequent_from))
     out = [tokens[:rare]]
     for band, parts in bands:
         some = tokens[rare: prefix_length(n, 1 + parts)]
@@ -138,7 +142,7 @@ def token_sets(words: Words, table=None):
             yield tokens, np.full(len(tokens), count[a:b].min() if b > a else 0)
 
 
-def postings(docs: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, frequent_from: int = FREQUENT_FROM) -> DataFrame:
     """Rows ``(sig, node, n)`` of all signatures, and one row per document with ``sig`` null and its id."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_words(docs))
 
@@ -149,7 +153,7 @@ def postings(docs: DataFrame) -> DataFrame:
             for a, b, data, offsets in pieces(batch, "text"):
                 sigs, lengths, nodes, sizes = [], [], [], []
                 for tokens, counts in token_sets(Words(data, offsets, powers), shared.value):
-                    own = np.unique(signatures(tokens, counts)) if len(tokens) else tokens
+                    own = np.unique(signatures(tokens, counts, frequent_from)) if len(tokens) else tokens
                     sigs.append(own)
                     lengths.append(len(own))
                     nodes.append(set_hash(tokens))
@@ -171,6 +175,20 @@ def _small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def _squeeze(batches):
+    """Texts compressed, as each goes through the shuffles of the check several times."""
+    codec = pa.Codec("zstd", compression_level=1)
+    for batch in batches:
+        packed = [len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in (x.as_buffer() if x.is_valid else pa.py_buffer(b"") for x in batch.column("text").cast(pa.binary()))]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "text"])
+
+
+def _unsqueeze(batch: pa.RecordBatch) -> pa.RecordBatch:
+    codec = pa.Codec("zstd")
+    texts = [codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in (v.as_py() for v in batch.column("text"))]
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string())], names=["text"])
+
+
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The candidate ``pairs`` (``a, b``) of nodes that are linked, decided on their whole texts.
 
@@ -181,8 +199,9 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = written(pairs.join(many, "a").select(
         "a", "b", F.pmod(F.xxhash64("b"), F.col("_groups").cast("long")).alias("g")), "jaccard-pairs")
     wanted = dealt.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = written(nodes.join(wanted, "node").withColumnRenamed("doc_id", "_id"), "jaccard-wanted")
-    texts = written(docs.join(_small(ids, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text"), "jaccard-texts")
+    ids = written(nodes.join(wanted, "node").select("node", F.col("doc_id").alias("_id")), "jaccard-wanted")
+    found = docs.join(_small(ids, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+    texts = written(found.mapInArrow(_squeeze, "node long, text binary"), "jaccard-texts")
     member = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "g", "b", "text")
     head = dealt.select("a", "g").distinct().join(texts.withColumnRenamed("node", "a"), "a").select(
         "a", "g", F.lit(None).cast("long").alias("b"), "text")
@@ -193,7 +212,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             a, g, b = (batch.column(c).to_pylist() for c in ("a", "g", "b"))
             left, right = [], []
-            for lo, _, data, offsets in pieces(batch, "text"):
+            for lo, _, data, offsets in pieces(_unsqueeze(batch), "text"):
                 for i, (tokens, _) in enumerate(token_sets(Words(data, offsets, powers)), lo):
                     if (a[i], g[i]) != key:
                         key, own = (a[i], g[i]), None
@@ -216,44 +235,51 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return both > 0 and 100 * both >= SIMILARITY_PERCENT * (len(x) + len(y) - both)
 
 
-def fitting(x: str, y: str) -> str:
-    """Sizes that can reach the similarity at all."""
-    return f"100L * least({x}, {y}) >= {SIMILARITY_PERCENT}L * greatest({x}, {y})"
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent_from: int = FREQUENT_FROM
+) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row per row of ``docs``."""
+    spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    index = written(postings(given), "jaccard-index")
+    index = written(postings(given, frequent_from), "jaccard-index")
     documents = index.filter("sig is null").select("doc_id", "node", "n")
     # One document stands for its node.
-    nodes = documents.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    listed = index.filter("sig is not null").select("sig", "node", "n")
-    stars = written(
-        listed.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("_p"), F.max("node").alias("_last"))
-        .filter("_p.node <> _last").select("sig", F.col("_p.node").alias("pivot"), F.col("_p.n").alias("pn")), "jaccard-stars")
+    nodes = written(documents.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "jaccard-nodes")
+    listed = index.filter("sig is not null").select("sig", "node")
+    stars = written(listed.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"))
+                    .filter("pivot <> _last").select("sig", "pivot"), "jaccard-stars")
+    release(spark)
     shared = written(listed.join(stars, "sig").distinct(), "jaccard-shared")
-    first = shared.filter("node <> pivot").filter(fitting("n", "pn")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    release(spark)
+    first = _fitting(shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), nodes)
     links = written(verify(first, nodes, given), "jaccard-links")
+    release(spark)
     label = components(links)
     # What is still apart: sets of a signature outside the pivot's component, against all others there.
-    named = shared.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = written(named, "jaccard-named")
+    named = written(shared.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-named")
     pivots = named.filter("node = pivot").select("sig", F.col("component").alias("pc"))
-    apart = named.join(pivots, "sig").filter("component <> pc").select(
-        "sig", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    second = written(apart.join(named.filter("node <> pivot").select("sig", "node", "n", "component"), "sig").filter("component <> xc").filter(
-        fitting("n", "xn")).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(), "jaccard-second")
+    apart = named.join(pivots, "sig").filter("component <> pc").select("sig", F.col("node").alias("x"), F.col("component").alias("xc"))
+    others = named.filter("node <> pivot").select("sig", "node", "component")
+    second = written(_fitting(apart.join(others, "sig").filter("component <> xc").select(
+        F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(), nodes), "jaccard-second")
+    release(spark)
     if not second.isEmpty():
         label = components(links.unionByName(verify(second, nodes, given)))
-    joined = documents.join(label, "node", "left").withColumn("_c", F.coalesce("component", "node"))
-    joined = written(joined, "jaccard-labelled")
+        release(spark)
+    joined = written(documents.join(label, "node", "left").withColumn("_c", F.coalesce("component", "node")), "jaccard-labelled")
     least = joined.filter("n > 0").groupBy("_c").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("_size")).filter("_size > 1")
     least = written(least.select(F.col("_c").alias("_k"), "component_id"), "jaccard-names")
     return joined.join(least, (F.col("_c") == F.col("_k")) & (F.col("n") > 0), "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs whose sizes can reach the similarity at all."""
+    size = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"_{end}"))
+    fits = F.least("_a", "_b") * 100 >= F.greatest("_a", "_b") * SIMILARITY_PERCENT
+    return pairs.join(size("a"), "a").join(size("b"), "b").filter(fits).select("a", "b")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component the document with the smallest id, with all its columns.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import decontam, hilbert, jaccard_join, langid, mixing, packing, toxicity, warc
+from flowguard.llm import decontam, hilbert, jaccard_join, langid, mixing, packing, toxicity, warc, winnow
 from flowguard.llm.hilbert_sql import shard_sql
 from flowguard.llm.tables import table
 
@@ -131,3 +131,8 @@ def op1_byte_language(spark, folder):
     net, languages = langid.fit(docs.filter(toxicity.fold(F.col("doc_id"), 3) != 1))
     return langid.predict(docs, net, languages).select(
         "doc_id", (toxicity.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_winnowed_fingerprints")
+def op5_winnowed_fingerprints(spark, folder):
+    return winnow.edited_likeness(table(spark, folder, "documents"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +25,12 @@ def word_count(text: Column) -> Column:
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table in the shared folder, so that later passes neither repeat nor lose it."""
     return write_through(df, f"llm-{purpose}")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of results that are written and no longer referenced.
+
+    Its cleaner acts when the driver's JVM collects garbage, which a quiet driver may not do for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

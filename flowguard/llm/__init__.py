@@ -1 +1,10 @@
-"""Operators of a training-data pipeline; nothing else in the library imports this folder."""
+"""Operators of a training-data pipeline; nothing else in the library imports this folder.
+
+Functions that run in Python workers are sent by value, so workers need not be able to import the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -239,10 +239,7 @@ def document_probabilities(net: ByteGru, data: np.ndarray, offsets: np.ndarray)
 
 def predict(docs: DataFrame, net: ByteGru | None, languages: list[str]) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row of ``docs`` (``doc_id, text``)."""
-    shared = docs.sparkSession.sparkContext.broadcast((net, languages))
-
     def run(batches):
-        net, languages = shared.value
         names = np.array([*languages, UNDETERMINED], dtype=object)
         for batch in batches:
             letters = pc.fill_null(pc.match_substring_regex(batch.column("text"), r"\p{L}"), False).to_numpy(zero_copy_only=False)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import decontam, hilbert, jaccard_join, langid, mixing, packing, toxicity, warc, winnow
+from flowguard.llm import decontam, hilbert, jaccard_join, langid, mixing, packing, repeats, toxicity, warc, winnow
 from flowguard.llm.hilbert_sql import shard_sql
 from flowguard.llm.tables import table
 
@@ -136,3 +136,8 @@ def op1_byte_language(spark, folder):
 @query("op5_winnowed_fingerprints")
 def op5_winnowed_fingerprints(spark, folder):
     return winnow.edited_likeness(table(spark, folder, "documents"))
+
+
+@query("op7_repeated_strings")
+def op7_repeated_strings(spark, folder):
+    return repeats.remove_repeats(table(spark, folder, "documents")).drop("kept")

@@ -43,6 +43,9 @@ def brute(docs, items):
             if not it:
                 continue
             k = min(5, len(it))
+            grams = {tuple(it[p: p + k]) for p in range(len(it) - k + 1)}
+            if not any(tuple(ws[p: p + k]) in grams for p in range(len(ws) - k + 1)):
+                continue
             best = max((similarity(ws[p: p + len(it)], it, k) for p in range(max(1, len(ws) - k + 1))), default=0)
             if best >= 0.8:
                 found[d, i] = best

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from flowguard.llm.tables import written
 
 GRAM, WINDOW = 12, 32
-BLOCK = 2048
+BLOCK = 256
 #: Ids of one bucket of the successor search; each bucket holds at most so many different ids.
 BUCKET_IDS = 2048
 #: Bucket borders up to this count are broadcast, more of them are joined by a shuffle.

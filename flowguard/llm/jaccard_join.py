@@ -14,7 +14,10 @@ the two bands it belongs to. The number of pairs per set stays below its number
 
 Sets with the same signature are first all compared with the smallest one (a star, not all pairs).
 Links give components; only sets of a signature that are still in different components are then
-compared with each other, so no component misses a link. Each comparison is exact, on the whole texts.
+compared, first with the largest one, then with each other, so no component misses a link. Candidates
+whose overlap cannot suffice go early: the tokens of a set are counted in ``BOUND_BUCKETS`` hash buckets,
+and the sum of the smaller counts bounds the overlap of two sets. The rest is decided exactly, on the
+whole texts.
 
 Equal sets are one node, named by a 64-bit hash of the set.
 
@@ -42,6 +45,8 @@ FREQUENT_FROM = 64
 PART_TOKENS = 32
 #: Texts compared with one text in one group of the exact check.
 GROUP_TEXTS = 512
+#: Buckets of the token counts that bound an overlap from above.
+BOUND_BUCKETS = 256
 #: Candidate texts up to this count are found by a broadcast of their ids, beyond it by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -151,23 +156,25 @@ def postings(docs: DataFrame, frequent_from: int = FREQUENT_FROM) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False) if not batch.column("doc_id").null_count else batch.column("doc_id").to_pylist()
             for a, b, data, offsets in pieces(batch, "text"):
-                sigs, lengths, nodes, sizes = [], [], [], []
+                sigs, lengths, nodes, sizes, bounds = [], [], [], [], []
                 for tokens, counts in token_sets(Words(data, offsets, powers), shared.value):
                     own = np.unique(signatures(tokens, counts, frequent_from)) if len(tokens) else tokens
                     sigs.append(own)
                     lengths.append(len(own))
                     nodes.append(set_hash(tokens))
                     sizes.append(len(tokens))
+                    bucket = (tokens % np.uint64(BOUND_BUCKETS)).astype(np.int64)
+                    bounds.append(np.minimum(np.bincount(bucket, minlength=BOUND_BUCKETS), 255).astype(np.uint8).tobytes())
                 node = np.array(nodes, dtype=np.uint64).view(np.int64)
                 size = np.array(sizes, dtype=np.int32)
                 total = int(sum(lengths))
-                yield _rows(np.concatenate(sigs).view(np.int64), np.repeat(node, lengths), np.repeat(size, lengths), pa.nulls(total, pa.int64()))
-                yield _rows(pa.nulls(b - a, pa.int64()), node, size, pa.array(ids[a:b], pa.int64()))
+                yield _rows(np.concatenate(sigs).view(np.int64), np.repeat(node, lengths), np.repeat(size, lengths), pa.nulls(total, pa.int64()), pa.nulls(total, pa.binary()))
+                yield _rows(pa.nulls(b - a, pa.int64()), node, size, pa.array(ids[a:b], pa.int64()), pa.array(bounds, pa.binary()))
 
-    def _rows(sig, node, size, doc):
-        return pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(node), pa.array(size), doc], names=["sig", "node", "n", "doc_id"])
+    def _rows(sig, node, size, doc, bound):
+        return pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(node), pa.array(size), doc, bound], names=["sig", "node", "n", "doc_id", "bound"])
 
-    return docs.mapInArrow(run, "sig long, node long, n int, doc_id long")
+    return docs.mapInArrow(run, "sig long, node long, n int, doc_id long, bound binary")
 
 
 def _small(df: DataFrame, most: int) -> DataFrame:
@@ -244,28 +251,35 @@ def near_duplicates(
     index = written(postings(given, frequent_from), "jaccard-index")
     documents = index.filter("sig is null").select("doc_id", "node", "n")
     # One document stands for its node.
-    nodes = written(documents.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "jaccard-nodes")
+    nodes = written(index.filter("sig is null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.any_value("bound").alias("bound")), "jaccard-nodes")
     listed = index.filter("sig is not null").select("sig", "node")
     stars = written(listed.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"))
-                    .filter("pivot <> _last").select("sig", "pivot"), "jaccard-stars")
+                    .filter("pivot <> _last"), "jaccard-stars")
     release(spark)
     shared = written(listed.join(stars, "sig").distinct(), "jaccard-shared")
     release(spark)
-    first = _fitting(shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), nodes)
+    first = written(_fitting(shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), nodes), "jaccard-first")
     links = written(verify(first, nodes, given), "jaccard-links")
     release(spark)
     label = components(links)
-    # What is still apart: sets of a signature outside the pivot's component, against all others there.
-    named = written(shared.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-named")
-    pivots = named.filter("node = pivot").select("sig", F.col("component").alias("pc"))
-    apart = named.join(pivots, "sig").filter("component <> pc").select("sig", F.col("node").alias("x"), F.col("component").alias("xc"))
-    others = named.filter("node <> pivot").select("sig", "node", "component")
-    second = written(_fitting(apart.join(others, "sig").filter("component <> xc").select(
-        F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(), nodes), "jaccard-second")
-    release(spark)
-    if not second.isEmpty():
-        label = components(links.unionByName(verify(second, nodes, given)))
+    # What is still apart, against the other end of its signature, then against all others.
+    for against in ("_last", "all"):
+        named = written(shared.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-named")
+        ends = named.filter("node = pivot").select("sig", F.col("component").alias("pc"))
+        if against == "_last":
+            last = named.filter("node = _last").select("sig", F.col("component").alias("lc"))
+            more = named.join(last, "sig").filter("component <> lc").select(F.col("_last").alias("a"), F.col("node").alias("b"))
+        else:
+            apart = named.join(ends, "sig").filter("component <> pc").select("sig", F.col("node").alias("x"), F.col("component").alias("xc"))
+            others = named.filter("node <> pivot and node <> _last").select("sig", "node", "component")
+            more = apart.join(others, "sig").filter("component <> xc").select(
+                F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+        more = written(_fitting(more.distinct(), nodes), "jaccard-more")
         release(spark)
+        if not more.isEmpty():
+            links = written(links.unionByName(verify(more, nodes, given)), "jaccard-links")
+            label = components(links)
+            release(spark)
     joined = written(documents.join(label, "node", "left").withColumn("_c", F.coalesce("component", "node")), "jaccard-labelled")
     least = joined.filter("n > 0").groupBy("_c").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("_size")).filter("_size > 1")
     least = written(least.select(F.col("_c").alias("_k"), "component_id"), "jaccard-names")
@@ -274,10 +288,21 @@ def near_duplicates(
 
 
 def _fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose sizes can reach the similarity at all."""
-    size = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"_{end}"))
-    fits = F.least("_a", "_b") * 100 >= F.greatest("_a", "_b") * SIMILARITY_PERCENT
-    return pairs.join(size("a"), "a").join(size("b"), "b").filter(fits).select("a", "b")
+    """Pairs whose sizes and bucket counts can reach the similarity at all."""
+    side = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("bound").alias(f"bound{end}"))
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY_PERCENT
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("bounda", "boundb"))
+            both = np.minimum(x, y).sum(axis=1, dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
+            # A full counter says nothing.
+            full = (np.maximum(x, y) == 255).any(axis=1) if batch.num_rows else np.zeros(0, bool)
+            total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            keep = full | (100 * both >= SIMILARITY_PERCENT * (total - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(fits).mapInArrow(run, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -87,7 +87,6 @@ SELECTION_DEFAULTS = {
     "correlation_threshold": 0.95,
     "kbest_k": 40,
     "tree_top_n": 40,
-    "sample_for_corr": 100_000,
     "random_state": 42,
 }
 SPLIT_DEFAULTS = {"test_size": 0.15, "val_size": 0.15, "random_state": 42}

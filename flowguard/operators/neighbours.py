@@ -172,11 +172,14 @@ def nearest_neighbours(
     keyed = df.withColumn("_g", F.col(by) if by else F.lit(0))
     sizes = keyed.groupBy("_g").agg(F.count("*").alias("n")).collect()  # one row per class
     large = [r["_g"] for r in sizes if r["n"] > block_rows]
-    rest = keyed.where(~F.col("_g").isin(large)) if large else keyed
+    # A null class is a class like any other.
+    rest = keyed
+    for g in large:
+        rest = rest.where(~F.col("_g").eqNullSafe(F.lit(g)))
     small = rest.select("_g", F.col(id_col).cast("bigint").alias("id"), _as_vector(features).alias("x"))
     out = small.groupBy("_g").applyInPandas(_whole_group(k), "id bigint, rank int, neighbour bigint, d2 double")
     for g in large:
-        out = out.unionByName(_pivot_search(keyed.where(F.col("_g") == g), id_col, features, k, block_rows))
+        out = out.unionByName(_pivot_search(keyed.where(F.col("_g").eqNullSafe(F.lit(g))), id_col, features, k, block_rows))
     return out
 
 

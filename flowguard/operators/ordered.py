@@ -7,6 +7,9 @@ the order key.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -40,8 +43,9 @@ def range_bounds(df: DataFrame, key: str, one_task_rows: int = ONE_TASK_ROWS) ->
 def with_range(df: DataFrame, key: str, bounds: list[float], name: str = "_range") -> DataFrame:
     if not bounds:
         return df.withColumn(name, F.lit(0.0))
+    # NaN is the largest value, in a last range of its own, as in Spark's order.
     splits = [float("-inf"), *bounds, float("inf")]
-    return Bucketizer(splits=splits, inputCol=key, outputCol=name, handleInvalid="error").transform(df)
+    return Bucketizer(splits=splits, inputCol=key, outputCol=name, handleInvalid="keep").transform(df)
 
 
 def running_totals(
@@ -76,7 +80,7 @@ def running_totals(
     )
     own = W.partitionBy(*by, "_range").orderBy(direction).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        ranged.join(sized_side(offsets), [*by, "_range"])
+        _join_alike(ranged, sized_side(offsets), [*by, "_range"])
         .select(
             *df.columns,
             *[(F.sum(m).over(own) + F.col(f"_o_{m}")).alias(f"cum_{m}") for m in measures],
@@ -151,8 +155,8 @@ def _brackets(values: DataFrame, keys: list[str], probs: list[float], rule: str,
         found = F.explode(F.array(*[
             F.struct(F.lit(p).alias("p"), F.col(f"_b{i}").alias("below"), F.col(f"_i{i}").alias("inside")) for i, p in enumerate(ps)
         ]))
-        counts = values.join(wide, keys).groupBy(*keys).agg(*cells).select(*keys, found.alias("_f"))
-        counts = counts.select(*keys, "_f.*").join(table, [*keys, "p"])
+        counts = _join_alike(values, wide, keys).groupBy(*keys).agg(*cells).select(*keys, found.alias("_f"))
+        counts = _join_alike(counts.select(*keys, "_f.*"), table, [*keys, "p"])
         held = (F.col("below") <= low) & (F.least(low + 1, F.col("n") - 1) < F.col("below") + F.col("inside"))
         # A sketch that missed its rank gives way to the open interval: exact, only slower.
         counts = sized_side(
@@ -170,7 +174,7 @@ def _brackets(values: DataFrame, keys: list[str], probs: list[float], rule: str,
             return counts
         last_inside = most
         narrowed = (
-            values.join(counts, keys)
+            _join_alike(values, counts, keys)
             .where((v >= F.col("lo")) & (v <= F.col("hi")))
             .groupBy(*keys, "p", "n", "below", "inside")
             .agg(F.percentile_approx("value", [i / 2000 for i in range(2001)], SKETCH_ACCURACY).alias("_q"))
@@ -225,12 +229,16 @@ def order_quantiles(
         wide = sized_side(_per_key(brackets, keys, ["n", "lo", "hi", "below"]))
         near = F.filter("_br", lambda b: (F.col("value") >= b["lo"]) & (F.col("value") <= b["hi"]))
         counted = (
-            values.join(wide, keys)
+            _join_alike(values, wide, keys)
             .select(*keys, "value", F.explode(near).alias("_f"))
             .groupBy(*keys, "_f.p", "_f.n", "_f.below", "value")
             .agg(F.count("*").alias("cnt"))
         )
-    return _pick(counted, keys, rule)
+    # A column without values has a null quantile in every group, as with ``percentile``.
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(p).alias("p")) for c in cols for p in probs])
+    every = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(
+        *by, F.explode(cells).alias("_c")).select(*by, "_c.feature", "_c.p")
+    return _join_alike(every, _pick(counted, keys, rule).select(*keys, "p", "value"), [*keys, "p"], "left")
 
 
 def medians(df: DataFrame, cols: list[str], one_task_rows: int = ONE_TASK_ROWS) -> dict[str, float | None]:
@@ -282,7 +290,7 @@ def order_cuts(
         .drop("_c")
     )
     hit = sized_side(hit)
-    near = keyed.join(hit, [*by, "_b"])
+    near = _join_alike(keyed, hit, [*by, "_b"])
     place = W.partitionBy(*by, "_b", "_name").orderBy("_h", *ties)
     cut = (
         near.withColumn("_rn", F.row_number().over(place))
@@ -296,7 +304,14 @@ def order_cuts(
     totals = cells.groupBy(*by).agg(F.sum("_c").alias("n_rows"))
     if not by:
         return totals.withColumn("_one", F.lit(1)).join(cut.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-    return totals.join(cut, by, "left")
+    return _join_alike(totals, cut, by, "left")
+
+
+def _join_alike(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal values of ``by``, where a null equals a null; the left columns of ``by`` stay."""
+    renamed = right.withColumnsRenamed({c: f"_same_{c}" for c in by})
+    match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in by])
+    return left.join(renamed, match, how).drop(*[f"_same_{c}" for c in by])
 
 
 def first_in_order(
@@ -312,7 +327,7 @@ def first_in_order(
     cuts = sized_side(order_cuts(df, by, order, ties, {"n": n}, bits))
     mine = F.struct(order.cast("bigint").alias("h"), *ties)
     if by:
-        joined = df.join(cuts, by)
+        joined = _join_alike(df, cuts, by)
         return joined.where(mine <= F.col("cut_n")).select(*df.columns)
     cut = cuts.select("cut_n").first()  # one row
     if cut is None or cut["cut_n"] is None:

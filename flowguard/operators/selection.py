@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowguard.constants import SELECTION_DEFAULTS
-from flowguard.operators.scale import fit_scaler
-from flowguard.operators.split import balanced_sample, row_sample
-
-PAIRWISE_COLUMNS = 12
+from flowguard.constants import SELECTION_DEFAULTS, TREE_SAMPLE_ROWS
+from flowguard.operators.split import balanced_sample
 
 
 def _rows(df: DataFrame, cells: list) -> DataFrame:
@@ -35,29 +36,21 @@ def keep_by_variance(df: DataFrame, cols: list[str], threshold: float = 0.01) ->
 def correlation_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """Absolute Pearson correlation of each column pair, earlier column first; null for a constant.
 
-    Expects repaired columns. Few columns: mean products of the standardised columns, one generated
-    aggregate after the scaler's. Many: one Gram-matrix pass; only the k×k result comes to the
-    driver.
+    One Gram-matrix pass over the rows that have a number in every column, whatever their count; only the
+    k×k result comes to the driver. Fewer than two such rows: all null.
     """
     pairs = [(i, j) for j in range(len(cols)) for i in range(j)]
     if not pairs:
         return df.sparkSession.createDataFrame([], "i int, j int, first string, second string, r double")
-    if len(cols) <= PAIRWISE_COLUMNS:
-        scaler = fit_scaler(df, cols)
-        z = scaler.transform(df.select(*cols))
-        product = z.agg(*[F.avg(F.col(cols[i]) * F.col(cols[j])).alias(f"r{k}") for k, (i, j) in enumerate(pairs)])
-        flat = scaler.constant
-        cells = [
-            F.struct(
-                F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("first"), F.lit(cols[j]).alias("second"),
-                (F.lit(None).cast("double") if {cols[i], cols[j]} & flat else F.abs(f"r{k}")).alias("r"),
-            )
-            for k, (i, j) in enumerate(pairs)
-        ]
-        return product.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
-    vec = VectorAssembler(inputCols=cols, outputCol="_x").transform(df.select(*cols)).select("_x")
-    m = Correlation.corr(vec, "_x").head()[0].toArray()
-    rows = [(i, j, cols[i], cols[j], abs(float(m[i, j]))) for i, j in pairs]
+    whole = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).where(
+        reduce(and_, [F.col(c).isNotNull() & ~F.isnan(c) for c in cols]))
+    if len(whole.take(2)) < 2:
+        rows = [(i, j, cols[i], cols[j], None) for i, j in pairs]
+    else:
+        vec = VectorAssembler(inputCols=cols, outputCol="_x").transform(whole).select("_x")
+        m = Correlation.corr(vec, "_x").head()[0].toArray()
+        r = lambda i, j: None if math.isnan(m[i, j]) else abs(float(m[i, j]))
+        rows = [(i, j, cols[i], cols[j], r(i, j)) for i, j in pairs]
     return df.sparkSession.createDataFrame(rows, "i int, j int, first string, second string, r double")
 
 
@@ -113,15 +106,18 @@ def tree_importance(
     depth: int = 12,
     min_leaf: int = 5,
     seed: int = 42,
+    sample_rows: int = TREE_SAMPLE_ROWS,
 ) -> dict[str, float]:
     """Mean importance of two forests on a class-balanced sample.
 
+    The sample is ``sample_rows // 2`` labelled rows of each class once the table has more than ``sample_rows``.
+
     The second forest draws no bootstrap and sees coarse split points, which plays the part of
     extremely randomised trees.
     """
     from pyspark.ml.classification import RandomForestClassifier
 
-    sample = balanced_sample(df.select(id_col, label, *cols), label, id_col, seed=seed)
+    sample = balanced_sample(df.select(id_col, label, *cols), label, id_col, sample_rows // 2, sample_rows, seed)
     vec = VectorAssembler(inputCols=cols, outputCol="_x").transform(sample).select("_x", F.col(label).cast("double").alias("_y"))
     common = dict(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
                   featureSubsetStrategy="sqrt", seed=seed)
@@ -152,6 +148,7 @@ def select_features(
     trees: int = 100,
     depth: int = 12,
     with_trees: bool = True,
+    sample_rows: int = TREE_SAMPLE_ROWS,
     **given,
 ) -> tuple[list[str], DataFrame, DataFrame]:
     """The whole cascade: (selected names, audit per step, score per feature).
@@ -166,15 +163,12 @@ def select_features(
         return kept
 
     current = step("variance", keep_by_variance(df, current, p["variance_threshold"]))
-    n = df.count()
-    sampled = df if n <= p["sample_for_corr"] else row_sample(
-        df.select(id_col, *current), id_col, p["sample_for_corr"], p["random_state"])
-    current = step("correlation", keep_by_correlation(sampled, current, p["correlation_threshold"]))
+    current = step("correlation", keep_by_correlation(df, current, p["correlation_threshold"]))
     kept, scores = keep_k_best(df, current, label, p["kbest_k"])
     current = step("anova_f", kept)
     weights: dict[str, float] = {}
     if with_trees:
-        weights = tree_importance(df, current, label, id_col, trees, depth, seed=p["random_state"])
+        weights = tree_importance(df, current, label, id_col, trees, depth, seed=p["random_state"], sample_rows=sample_rows)
         best = sorted(weights, key=lambda c: -weights[c])[: p["tree_top_n"]]
         current = step("tree_importance", best)
     spark = df.sparkSession

@@ -23,10 +23,12 @@ def wide_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("population_variance", with_views(FLOW_ROWS, WIDE) + " union all ".join(
-    f"select {i} as position, '{c}' as feature, round(var_pop({c}), 4) as variance from wide" for i, c in enumerate(WIDE_FEATURES)))
+    f"select {i} as position, '{c}' as feature, round(var_pop({c}) / p, 9) * p as variance from (select *, pow(10, floor(log10(greatest((select var_pop({c}) from wide), 1e-300)))) as p from wide) group by p" for i, c in enumerate(WIDE_FEATURES)))
 def population_variance(spark: SparkSession, d: str) -> DataFrame:
     v = selection.variance_table(wide_rows(spark, d), WIDE_FEATURES)
-    return v.select("position", "feature", F.round("variance", 4).alias("variance"))
+    # Ten significant digits: what no order of partial sums changes.
+    p = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest("variance", F.lit(1e-300)))))
+    return v.select("position", "feature", (F.round(F.col("variance") / p, 9) * p).alias("variance"))
 
 
 @query("variance_selection", with_views(FLOW_ROWS, WIDE) + "select feature from (" + " union all ".join(
@@ -47,9 +49,9 @@ def correlation_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("correlation_matrix_wide", with_views(VEC_ROWS) + " union all ".join(
-    f"select {i} as i, {j} as j, round(abs(corr(f{i}, f{j})), 6) as r from vec_rows" for j in range(20) for i in range(j)))
+    f"select {i} as i, {j} as j, round(abs(corr(f{i}, f{j})), 6) as r from vec_rows" for j in range(64) for i in range(j)))
 def correlation_matrix_wide(spark: SparkSession, d: str) -> DataFrame:
-    c = selection.correlation_table(vec_rows(spark, d), VEC_FEATURES[:20])
+    c = selection.correlation_table(vec_rows(spark, d), VEC_FEATURES)
     return c.select("i", "j", F.round("r", 6).alias("r"))
 
 
@@ -96,7 +98,7 @@ union all select 2, 'correlation', (select count(*) from step1)::int, (select co
 union all select 3, 'anova_f', (select count(*) from step2)::int, least(3, (select count(*) from step2))::int, greatest(0, (select count(*) from step2) - 3)::int""")
 def selection_audit(spark: SparkSession, d: str) -> DataFrame:
     _, audit, _ = selection.select_features(
-        wide_rows(spark, d), WIDE_FEATURES, "binary", "l_orderkey", kbest_k=3, sample_for_corr=10**9, with_trees=False)
+        wide_rows(spark, d), WIDE_FEATURES, "binary", "l_orderkey", kbest_k=3, with_trees=False)
     return audit
 
 

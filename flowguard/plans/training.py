@@ -110,7 +110,7 @@ def run(
     split_path: str | None = None,
     cascade: Cascade | None = None,
     selection: dict | None = None,
-    trees: int = 20,
+    trees: int = 100,
     **forest,
 ) -> dict:
     """The chosen stages in order; leave out ``train`` to evaluate an existing cascade."""

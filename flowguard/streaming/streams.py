@@ -22,11 +22,14 @@ EVENT_SCHEMA = T.StructType([
 
 
 def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_batch: int = 1000) -> DataFrame:
-    """Arriving event files, with ``ts`` as a zoned timestamp so it can carry a watermark."""
+    """Arriving event files, with ``ts`` as a zoned timestamp so it can carry a watermark.
+
+    ``pattern`` names one file or a folder of part files inside ``folder``; a name that matches nothing is an
+    error of the source.
+    """
     raw = (
-        spark.readStream.schema(EVENT_SCHEMA)
-        .option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
+        spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
+        .parquet(f"{folder.rstrip('/')}/{pattern}")
     )
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 

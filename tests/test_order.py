@@ -89,3 +89,29 @@ def test_rows_without_a_stratum_stay(rows):
 def test_balanced_sample_caps_only_large_tables(rows):
     assert split.balanced_sample(rows, "g", "id", per_class=50, when_above=5000).count() == 3000
     assert split.balanced_sample(rows, "g", "id", per_class=50, when_above=1000).count() == 100
+
+
+def test_size_never_changes_rules(spark):
+    """Null, NaN, constant and all-null input under small and under large limits."""
+    from flowguard.operators import ordered, selection
+    from flowguard.operators.neighbours import nearest_neighbours
+    from flowguard.operators.split import balanced_sample
+
+    rows = [(i, float(i % 7), 3.0, None, None if i % 6 == 0 else "A") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, x double, c double, e double, g string")
+    for by in ([], ["g"]):
+        got = [{tuple(r) for r in ordered.order_quantiles(df, ["x", "e"], [0.5], by, one_task_rows=n).collect()} for n in (1000, 5)]
+        assert got[0] == got[1] and any(r[-1] is None for r in got[0])
+    assert {r.g for r in balanced_sample(df, "g", "id", 50, 50).collect()} == {None, "A"}
+    assert balanced_sample(df, "g", "id", 50, 50).count() == 60
+    small, large = ({tuple(r) for r in nearest_neighbours(df, "id", ["x"], 1, "g", n).select("id").collect()} for n in (2000, 20))
+    assert small == large == {(i,) for i in range(60)}
+    wide = [f"w{i}" for i in range(11)]
+    more = df.select("x", "c", *[(df.x * (i + 1) + (df.id % (i + 2))).alias(w) for i, w in enumerate(wide)])
+    for cols in (["x", "c"], ["x", "c", *wide]):
+        r = {(t["first"], t["second"]): t.r for t in selection.correlation_table(more, cols).collect()}
+        assert r["x", "c"] is None and all(v is None or 0 <= v <= 1.0000001 for v in r.values())
+    scored = df.select("id", ordered.F.when(df.id == 5, float("nan")).otherwise(df.x).alias("s")).groupBy("s").count()
+    flat = {tuple(r) for r in ordered.running_totals(scored, "s", ["count"]).collect()}
+    cut = {tuple(r) for r in ordered.running_totals(scored, "s", ["count"], bounds=[2.0, 4.0]).select("s", "count", "cum_count").collect()}
+    assert {x[1:] for x in flat} == {x[1:] for x in cut}

@@ -59,3 +59,12 @@ def test_escalation_only_touches_allowed_rows_in_busy_windows(spark):
     v = streams.anomaly_velocity(d.withColumn("odd", F.lit(True)), "user", "ts", "odd", "60 seconds", "10 seconds", "0 seconds")
     out = streams.escalate(d, v, "user", "id", "ts", "60 seconds", "10 seconds", 1)
     assert {r.id: r.escalated_action for r in out.collect()} == {1: "QUARANTINE", 2: "DENY", 3: "ALLOW"}
+
+
+def test_event_stream_reads_a_folder_of_part_files(spark, folder, tmp_path):
+    from flowguard.streaming.streams import event_stream, run_available
+
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = run_available(event_stream(spark, str(tmp_path)), "folder-stream")
+    assert got.count() == events.count() == run_available(event_stream(spark, folder), "file-stream").count() > 0

@@ -23,12 +23,12 @@ def wide_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("population_variance", with_views(FLOW_ROWS, WIDE) + " union all ".join(
-    f"select {i} as position, '{c}' as feature, round(var_pop({c}) / p, 9) * p as variance from (select *, pow(10, floor(log10(greatest((select var_pop({c}) from wide), 1e-300)))) as p from wide) group by p" for i, c in enumerate(WIDE_FEATURES)))
+    f"select {i} as position, '{c}' as feature, round(var_pop({c}) / p, 8) * p as variance from (select *, pow(10, floor(log10(greatest((select var_pop({c}) from wide), 1e-300)))) as p from wide) group by p" for i, c in enumerate(WIDE_FEATURES)))
 def population_variance(spark: SparkSession, d: str) -> DataFrame:
     v = selection.variance_table(wide_rows(spark, d), WIDE_FEATURES)
-    # Ten significant digits: what no order of partial sums changes.
+    # Nine significant digits: what no order of partial sums changes.
     p = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest("variance", F.lit(1e-300)))))
-    return v.select("position", "feature", (F.round(F.col("variance") / p, 9) * p).alias("variance"))
+    return v.select("position", "feature", (F.round(F.col("variance") / p, 8) * p).alias("variance"))
 
 
 @query("variance_selection", with_views(FLOW_ROWS, WIDE) + "select feature from (" + " union all ".join(

@@ -67,14 +67,20 @@ def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
 
 
 def cells(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", lang_col="lang") -> DataFrame:
-    """Id, size, checksum, the three steps and the curve index of each document, without its text."""
+    """Id, size, checksum and the three steps of each document, without its text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + HEADER_BYTES).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         hash_step(F.col(source_col)).alias("source_step"), hash_step(F.col(lang_col)).alias("lang_step"))
-    stepped = sized.withColumn("size_step", log_step(F.col("size")))
-    return stepped.withColumn("curve", hilbert_index([F.col("source_step"), F.col("lang_step"), F.col("size_step")]))
+    return sized.withColumn("size_step", log_step(F.col("size")))
+
+
+def on_curve(stepped: DataFrame) -> DataFrame:
+    """Add ``curve``. The index is computed once for each cell that occurs, at most ``2 ** (3 * BITS)``."""
+    steps = ["source_step", "lang_step", "size_step"]
+    curve = stepped.select(*steps).distinct().withColumn("curve", hilbert_index([F.col(c) for c in steps]))
+    return stepped.join(F.broadcast(curve), steps)
 
 
 def assign(placed: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -106,4 +112,4 @@ def manifest(sharded: DataFrame) -> DataFrame:
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Cells, shards and slots of ``docs``, read from a written table without the texts."""
-    return assign(written(cells(docs), "hilbert-cells"), shards)
+    return assign(written(on_curve(written(cells(docs), "hilbert-cells")), "hilbert-curve"), shards)

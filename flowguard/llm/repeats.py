@@ -14,7 +14,7 @@ the same document or another one.
    array only the entries at the ends of runs. From these samples each position gets its neighbours in
    suffix order, whose common length is its matching statistic; ``LENGTH`` or more marks a repeat.
 4. An anchor with more contexts than a block holds is dealt to several blocks; strings of such an anchor
-   are also counted by hash across its blocks, which adds the repeats that no block sees alone.
+   that do not repeat in their block are also looked up by hash in its other blocks.
 5. Marks go back to all occurrences of their context, and each text loses the union of its marked spans.
 
 Texts are known by a 64-bit hash, so copies are marked once. Defined cases: null counts as empty; texts
@@ -142,61 +142,58 @@ class RunLengthIndex:
         end = np.zeros(n, dtype=bool)
         end[self.first + sizes] = True
         # Symbols: bytes from 1 on; each string ends with a symbol of its own, smaller than any byte.
-        order = self._suffix_order(end)
+        order, place = self._suffix_order(end)
         # The byte before each suffix; strings start with their own number, which no other suffix has.
-        before = np.where(np.isin(order, self.first), -1 - self.owner[order], self.text[order - 1].astype(np.int64))
+        starts = np.zeros(n, dtype=bool)
+        starts[self.first] = True
+        before = np.where(starts[order], -1 - self.owner[order], self.text[order - 1].astype(np.int64))
         in_group = self.group[order]
         head = np.r_[True, (before[1:] != before[:-1]) | (in_group[1:] != in_group[:-1])]
         self.runs = int(head.sum())
         rows = np.flatnonzero(head)
-        self.up_key, self.up_value = self._samples(order, rows, -1, n)
+        self.up_key, self.up_value = self._samples(order, place, rows, -1)
         tails = np.flatnonzero(np.r_[head[1:], True])
-        self.down_key, self.down_value = self._samples(order, tails, 1, n)
+        self.down_key, self.down_value = self._samples(order, place, tails, 1)
 
-    def _suffix_order(self, end: np.ndarray) -> np.ndarray:
+    def _suffix_order(self, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes in order, and the place of each in it."""
         n = len(self.text)
-        value = np.where(end, 0, self.text.astype(np.int64) + 1)
+        value = np.r_[np.where(end, 0, self.text.astype(np.int64) + 1), np.zeros(4, np.int64)]
         # Four symbols and the group first; unique ends make the ranks of all ends different.
-        key = self.group.astype(np.int64)
-        padded = np.r_[value, np.zeros(4, np.int64)]
-        alive = np.ones(n, dtype=bool)
+        key, alive = self.group.astype(np.int64), np.ones(n, dtype=bool)
         for j in range(4):
-            key = key * 257 + np.where(alive, padded[j: j + n], 0)
-            alive &= padded[j: j + n] != 0
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, dtype=np.int64)
-        starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
-        rank[order] = np.repeat(starts, np.diff(np.r_[starts, n]))
-        # Suffixes that reach their end within the symbols seen are told apart by their string.
-        left = self.first[self.owner] + np.bincount(self.owner)[self.owner] - 1 - np.arange(n)
-        step = 4
+            key = key * 257 + np.where(alive, value[j: j + n], 0)
+            alive &= value[j: j + n] != 0
+        # Symbols up to the string's end; a suffix that is over is told from its like by its string.
+        last = np.repeat(self.first + np.bincount(self.owner), np.bincount(self.owner)) - 1 - np.arange(n)
+        rank, active, step = np.zeros(n, dtype=np.int64), np.arange(n), 4
+        own, pair = np.zeros(n, dtype=np.int64), key
         while True:
-            size = np.bincount(rank, minlength=n)
-            active = np.flatnonzero(size[rank] > 1)
-            if not len(active):
-                return np.argsort(rank, kind="stable")
-            after = active + step
-            second = np.where(left[active] < step, self.owner[active] - len(self.first), rank[np.minimum(after, n - 1)] )
-            pair = rank[active] * (2 * n + 2) + second + len(self.first)
-            by = np.argsort(pair, kind="stable")
-            active, pair = active[by], pair[by]
-            own = rank[active]
-            new = np.r_[True, np.diff(pair) != 0]
+            by = np.argsort(pair)
+            active, own, pair = active[by], own[by], pair[by]
+            new = np.r_[True, pair[1:] != pair[:-1]]
             # The rank of a suffix is its old one plus its place in the old group.
-            group_start = np.maximum.accumulate(np.where(np.r_[True, np.diff(own) != 0], np.arange(len(own)), 0))
-            class_start = np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
+            at = np.arange(len(active))
+            group_start = np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]], at, 0))
+            class_start = np.maximum.accumulate(np.where(new, at, 0))
             rank[active] = own + class_start - group_start
+            single = new & np.r_[new[1:], True]
+            active = active[~single]
+            if not len(active):
+                order = np.empty(n, dtype=np.int64)
+                order[rank] = np.arange(n)
+                return order, rank
+            own = rank[active]
+            second = np.where(last[active] < step, self.owner[active] - len(self.first), rank[np.minimum(active + step, n - 1)])
+            pair = own * (2 * n + 2) + second + len(self.first)
             step *= 2
 
-    def _samples(self, order, rows, side, n):
+    def _samples(self, order, place, rows, side):
         """By text position before the suffix at each run end: the suffix above or below it in order."""
-        place = np.empty(n, dtype=np.int64)
-        place[order] = np.arange(n)
-        key = np.unique((order[rows] - 1) % n)
+        n = len(order)
+        key = np.sort((order[rows] - 1) % n)
         row = place[key] + side
-        inside = (row >= 0) & (row < n)
-        value = np.where(inside, order[np.clip(row, 0, n - 1)], -1)
-        return key, value
+        return key, np.where((row >= 0) & (row < n), order[np.clip(row, 0, n - 1)], -1)
 
     def neighbours(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffixes above and below each suffix in order, from the samples alone; -1 where there is none."""
@@ -253,7 +250,7 @@ def _block_scan(batches):
         own_parts = [own_part(r[5], r[4]) for r in rows]
         index = RunLengthIndex(own_parts, groups)
         flags = index.repeats(LENGTH, table)
-        cols = [[] for _ in range(6)]
+        cols, told = [[] for _ in range(6)], set()
         for i, ((anchor, salt, parts, ctx, before, _), data) in enumerate(zip(rows, own_parts)):
             own = flags[index.first[i]: index.first[i] + len(data)]
             for a, b in spans(own, before):
@@ -263,7 +260,15 @@ def _block_scan(batches):
                 sums, down = byte_sums(np.frombuffer(data, np.uint8), table)
                 at = np.arange(max(0, len(data) - LENGTH + 1))
                 for a, h in zip(at.tolist(), run_hash(sums, down, at, LENGTH).view(np.int64).tolist()):
-                    for c, v in zip(cols, (anchor, ctx, a - before, a - before + LENGTH, h, salt)):
+                    # A string that repeats here is marked already; other blocks need to know it once.
+                    if not own[a]:
+                        row = (anchor, ctx, a - before, a - before + LENGTH, h, salt)
+                    elif (anchor, salt, h) not in told:
+                        told.add((anchor, salt, h))
+                        row = (anchor, None, None, None, h, salt)
+                    else:
+                        continue
+                    for c, v in zip(cols, row):
                         c.append(v)
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["anchor", "ctx", "a", "b", "hash", "salt"])
@@ -338,7 +343,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hashed = marks.filter("hash is not null")
     across = hashed.groupBy("anchor", "hash").agg(F.min("salt").alias("_x"), F.max("salt").alias("_y")).filter("_x <> _y").select("anchor", "hash")
     marked = marks.filter("hash is null").select("anchor", "ctx", "a", "b").unionByName(
-        hashed.join(written(across, "repeat-across"), ["anchor", "hash"]).select("anchor", "ctx", "a", "b")).unionByName(
+        hashed.filter("ctx is not null").join(written(across, "repeat-across"), ["anchor", "hash"]).select("anchor", "ctx", "a", "b")).unionByName(
         unlike.filter("n > 1").select("anchor", "ctx", F.lit(-REACH).alias("a"), F.lit(LENGTH).alias("b")))
     here = lambda df: df.select("tid", (F.col("place") + F.col("a")).alias("a"), (F.col("place") + F.col("b")).alias("b"))
     cuts = here(members.filter("alike").withColumn("a", F.lit(-REACH)).withColumn("b", F.lit(LENGTH))).unionByName(

@@ -37,8 +37,11 @@ def _let(value: Column, use) -> Column:
 
 def selected(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """Kept hashes of ``text`` in order of position, as longs for ``hash_of`` and ``position_of``."""
-    data = F.coalesce(text, F.lit("")).cast("binary")
-    size = F.octet_length(F.coalesce(text, F.lit("")))
+    text = F.coalesce(text, F.lit(""))
+    return _selected(text.cast("binary"), F.octet_length(text), gram, window)
+
+
+def _selected(data: Column, size: Column, gram: int, window: int) -> Column:
     grams = F.when(size == 0, F.lit(0)).otherwise(F.greatest(size - (gram - 1), F.lit(1)))
     windows = F.when(size == 0, F.lit(0)).otherwise(F.greatest(grams - (window - 1), F.lit(1)))
 
@@ -70,6 +73,36 @@ def selected(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     return _let(data, lambda d: F.array_distinct(F.flatten(F.transform(blocks, lambda b: block(b, d)))))
 
 
+def spliced(head: Column, tail: Column, kept_head: Column, kept_tail: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """``selected`` of ``head`` followed by ``tail``, from the kept hashes of two texts that start with them.
+
+    Windows inside one part are windows of its text, and later windows never keep an earlier place, so
+    they kept a leading part of what that text keeps: up to the place that their last window keeps. Only
+    the windows across the seam are hashed anew.
+    """
+    reach = gram + window - 1
+    h, t = head.cast("binary"), tail.cast("binary")
+    n, m = F.octet_length(head), F.octet_length(tail)
+    side = lambda size: F.least(size, F.lit(reach - 1))
+    last = lambda data, size: position_of(F.get(_selected(F.substring(data, size - (reach - 1), F.lit(reach)), F.lit(reach), gram, window), F.lit(0))) + size - reach
+    none = F.array().cast("array<bigint>")
+    across = F.concat(F.substring(h, n - side(n) + 1, side(n)), F.substring(t, F.lit(1), side(m)))
+    seam = F.when((n > 0) & (m > 0), _selected(across, side(n) + side(m), gram, window)).otherwise(none)
+    # A longer distance from the start lowers the long by as much.
+    moved = lambda kept, by: F.transform(kept, lambda x: x - by)
+
+    def join(x):
+        first = F.filter(kept_head, lambda k: position_of(k) <= x["head"])
+        middle = F.filter(moved(seam, n - side(n)), lambda k: position_of(k) > x["head"])
+        return _let(F.concat(first, middle), lambda front: F.concat(front, F.filter(
+            moved(F.filter(kept_tail, lambda k: position_of(k) <= x["tail"]), n),
+            lambda k: position_of(k) > F.coalesce(position_of(F.get(front, F.size(front) - 1)), F.lit(0)))))
+
+    ends = F.struct(F.when(n >= reach, last(h, n)).otherwise(0).cast("long").alias("head"),
+                    F.when(m >= reach, last(t, m)).otherwise(0).cast("long").alias("tail"))
+    return F.when(n + m < reach, _selected(F.concat(h, t), n + m, gram, window)).otherwise(_let(ends, join))
+
+
 def position_of(kept: Column) -> Column:
     """Byte position from 1."""
     return (F.lit(0) - kept).bitwiseAND(F.lit(_LOW))
@@ -143,15 +176,19 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     border = written(after.join(first.withColumnRenamed("_nb", "_fb"), F.col("_nb").eqNullSafe(F.col("_fb"))).select(
         F.col("_b").alias("_of"), "_border"), "winnow-borders")
     w = Window.partitionBy("_b").orderBy(F.col("doc_id"), F.col("text"))
-    seen = rows.withColumn("_next", F.lead("text").over(w)).withColumn("_kept", hashes(selected(F.col("text")))).withColumn(
+    seen = rows.withColumn("_next", F.lead("text").over(w)).withColumn("_kept", selected(F.col("text"))).withColumn(
         "_next_kept", F.lead("_kept").over(w))
     last = seen.filter("_next is null").join(border, F.col("_b").eqNullSafe(F.col("_of")))
     full = seen.filter("_next is not null").unionByName(last.select(
         "doc_id", "text", "_b", F.coalesce("_border", "text").alias("_next"), "_kept",
-        hashes(selected(F.coalesce(F.col("_border"), F.col("text")))).alias("_next_kept")))
+        selected(F.coalesce(F.col("_border"), F.col("text"))).alias("_next_kept")))
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = full.withColumn("_edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("_next", F.lit(1), half)))
-    both = edited.withColumn("_edited_kept", hashes(selected(F.col("_edited"))))
+    parts = full.withColumn("_head", F.substring("text", F.lit(1), F.length("text") - half)).withColumn(
+        "_tail", F.substring("_next", F.lit(1), half))
+    edited = parts.withColumn("_edited_kept", spliced(F.col("_head"), F.col("_tail"), F.col("_kept"), F.col("_next_kept")))
+    both = edited.select(
+        "doc_id", "text", F.concat("_head", "_tail").alias("_edited"), hashes(F.col("_kept")).alias("_kept"),
+        hashes(F.col("_next_kept")).alias("_next_kept"), hashes(F.col("_edited_kept")).alias("_edited_kept"))
     return both.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
         as_string(F.col("_kept")).alias("fingerprint"), as_string(F.col("_edited_kept")).alias("edited_fingerprint"),

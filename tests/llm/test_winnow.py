@@ -68,3 +68,14 @@ def test_equal_texts_have_equal_fingerprints(spark, folder):
     for r in rows:
         assert by.setdefault(text[r.doc_id], r.fingerprint) == r.fingerprint
     assert len({r.fingerprint for r in rows}) == pytest.approx(len(set(text.values())), abs=2)
+
+
+def test_spliced_equals_the_whole(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(150):
+        a, b = ("".join(rng.choice(rng.choice(["ab", "abcdé fgh"])) for _ in range(rng.choice([0, 1, 20, 42, 43, 44, 90, 700]))) for _ in range(2))
+        rows.append((i, a, b, a[: rng.randint(0, len(a))], b[: rng.randint(0, len(b))]))
+    df = spark.createDataFrame(rows, "i int, a string, b string, x string, y string").withColumn("ka", W.selected(F.col("a"))).withColumn("kb", W.selected(F.col("b")))
+    got = df.select("i", W.spliced(F.col("x"), F.col("y"), F.col("ka"), F.col("kb")).alias("s"), W.selected(F.concat("x", "y")).alias("w")).collect()
+    assert [r.i for r in got if r.s != r.w] == [] and len(got) == 150

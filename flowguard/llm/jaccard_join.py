@@ -45,6 +45,8 @@ FREQUENT_FROM = 64
 PART_TOKENS = 32
 #: Texts compared with one text in one group of the exact check.
 GROUP_TEXTS = 512
+#: Words that a task counts at once, and candidate texts that it unpacks at once.
+COUNT_WORDS, UNPACK_ROWS = 1 << 20, 256
 #: Buckets of the token counts that bound an overlap from above.
 BOUND_BUCKETS = 256
 #: Candidate texts up to this count are found by a broadcast of their ids, beyond it by a shuffle.
@@ -56,18 +58,27 @@ while _BOUNDS[-1] < 1 << 50:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, n)``: occurrences of each word hash, added up per batch before the shuffle."""
+    """``(word, n)``: occurrences of each word hash, added up in parts before the shuffle."""
 
     def run(batches):
-        table = Powers()
+        table, held, n_held = Powers(), [], 0
+
+        def counted():
+            word, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            for i in range(0, len(word), 1 << 16):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(word[i: i + (1 << 16)].view(np.int64)), pa.array(n[i: i + (1 << 16)].astype(np.int64))], names=["word", "n"])
+
         for batch in batches:
-            hashes = [Words(data, offsets, table).hash for _, _, data, offsets in pieces(batch, "text")]
-            if hashes:
-                word, n = np.unique(np.concatenate(hashes), return_counts=True)
-                for i in range(0, len(word), 1 << 16):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(word[i: i + (1 << 16)].view(np.int64)), pa.array(n[i: i + (1 << 16)].astype(np.int64))],
-                        names=["word", "n"])
+            for _, _, data, offsets in pieces(batch, "text"):
+                held.append(Words(data, offsets, table).hash)
+                n_held += len(held[-1])
+                if n_held > COUNT_WORDS:
+                    yield from counted()
+                    n_held = 0
+        if held:
+            yield from counted()
 
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -216,23 +227,24 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches):
         powers, key, own = Powers(), None, None
-        for batch in batches:
-            a, g, b = (batch.column(c).to_pylist() for c in ("a", "g", "b"))
-            left, right = [], []
-            for lo, _, data, offsets in pieces(_unsqueeze(batch), "text"):
-                for i, (tokens, _) in enumerate(token_sets(Words(data, offsets, powers)), lo):
-                    if (a[i], g[i]) != key:
-                        key, own = (a[i], g[i]), None
-                    # Rows that share an id bring each other's texts along; the hash tells them apart.
-                    if int(set_hash(tokens).view(np.int64)) != (a[i] if b[i] is None else b[i]):
-                        continue
-                    if b[i] is None:
-                        own = tokens
-                    elif own is not None and linked(tokens, own):
-                        left.append(a[i])
-                        right.append(b[i])
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        for whole in batches:
+            for batch in (whole.slice(i, UNPACK_ROWS) for i in range(0, whole.num_rows, UNPACK_ROWS)):
+                a, g, b = (batch.column(c).to_pylist() for c in ("a", "g", "b"))
+                left, right = [], []
+                for lo, _, data, offsets in pieces(_unsqueeze(batch), "text"):
+                    for i, (tokens, _) in enumerate(token_sets(Words(data, offsets, powers)), lo):
+                        if (a[i], g[i]) != key:
+                            key, own = (a[i], g[i]), None
+                        # Rows that share an id bring each other's texts along; the hash tells them apart.
+                        if int(set_hash(tokens).view(np.int64)) != (a[i] if b[i] is None else b[i]):
+                            continue
+                        if b[i] is None:
+                            own = tokens
+                        elif own is not None and linked(tokens, own):
+                            left.append(a[i])
+                            right.append(b[i])
+                if left:
+                    yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return grouped.mapInArrow(run, "a long, b long")
 

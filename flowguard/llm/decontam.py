@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index search, exact check.
+"""Benchmark decontamination: SimHash of windows of two lengths, index search, exact check.
 
 An item of ``n`` words belongs to a size class, a window length a little below ``n``, and gives the
 fingerprints of all its windows of that length. Documents are scanned with windows of each class at a
@@ -6,9 +6,16 @@ stride no larger than the number of windows that any item of the class has, so o
 item always coincides with a window of the item. Fingerprints are 64 signed sums over the windows'
 shingles, weighted by their length in bytes. The index holds each fingerprint under four 16-bit blocks
 and their one-bit neighbours: two fingerprints that differ in at most seven bits agree in one block up
-to one bit, so every pair within ``RADIUS`` is found. Each hit is checked exactly: the item against the
-document words at the same place (and up to two words beside it) by the weighted Jaccard similarity of
-their five-word shingles, ``sum w * min(count) >= 0.8 * sum w * max(count)``.
+to one bit, so every pair within ``RADIUS`` is found.
+
+Edits inside an item move its fingerprint further than that, so items are also found by the shortest
+windows: one shingle, whose fingerprint is its hash, at every word. Of each item the shingles that
+fewest items hold are indexed until they weigh more than a fifth of it. A passage without any of them
+shares less than 0.8 of the item's weight, so every pair of the stated similarity is a candidate.
+
+Each candidate is checked exactly: the item against the windows of its own length at every word around
+the hit by the weighted Jaccard similarity of their five-word shingles,
+``sum w * min(count) >= 0.8 * sum w * max(count)``. Windows are cut at the ends of the document.
 
 Items are taken in blocks of bounded size, each searched against all documents.
 
@@ -34,6 +41,8 @@ SIMILARITY_PERCENT = 80
 RADIUS = 7
 #: Growth of the window lengths from class to class.
 CLASS_STEP = 1.2
+#: Candidate positions that are checked at once.
+HITS = 1 << 21
 #: Benchmark text that is searched in one pass.
 BLOCK_BYTES = 4 << 20
 
@@ -83,14 +92,75 @@ class BlockIndex:
         return pairs // max(len(self.prints), 1), pairs % max(len(self.prints), 1)
 
 
-def weighted_similarity(a, wa, b, wb) -> tuple[int, int]:
-    """Weighted intersection and union of two multisets of shingles; equal shingles weigh the same."""
-    keys, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    weight = np.zeros(len(keys), dtype=np.int64)
-    weight[inverse] = np.concatenate([wa, wb])
-    ca = np.bincount(inverse[: len(a)], minlength=len(keys))
-    cb = np.bincount(inverse[len(a):], minlength=len(keys))
-    return int((np.minimum(ca, cb) * weight).sum()), int((np.maximum(ca, cb) * weight).sum())
+class Item:
+    """One benchmark text of ``n`` words: its shingles of ``k`` words, each with its count and weight."""
+
+    def __init__(self, name, n: int, k: int, hashes: np.ndarray, weights: np.ndarray):
+        self.name, self.n, self.k, self.spans = name, n, k, n - k + 1
+        self.keys, first, self.counts = np.unique(hashes, return_index=True, return_counts=True)
+        self.weights = weights[first].astype(np.int64) * self.counts
+        self.whole = int(self.weights.sum())
+
+    def best(self, hashes: np.ndarray, weights: np.ndarray, begin: int, end: int, low: int, high: int):
+        """Over the windows that start at ``low .. high`` in the shingles ``begin .. end - 1`` of a document:
+        negative similarity, start, intersection and union of the best one, or None below the threshold."""
+        m = self.spans
+        lo, hi = max(begin, low), min(end, high + m)
+        h, w = hashes[lo:hi], weights[lo:hi].astype(np.int64)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        pos = np.flatnonzero(self.keys[at] == h)
+        if 100 * int(w[pos].sum()) < SIMILARITY_PERCENT * self.whole:
+            return None
+        # An occurrence counts in the windows that hold it and, before it, fewer equal ones than the item has.
+        order = np.argsort(at[pos], kind="stable")
+        pos, key = pos[order], at[pos][order]
+        back = np.arange(len(pos)) - self.counts[key]
+        full = (back >= 0) & (key[back] == key)
+        opens = np.maximum(pos - m, np.where(full, pos[back], -m)) + 1
+        size, shift = high - low + 1, lo - low
+        step = (np.bincount(np.clip(opens + shift, 0, size), w[pos], size + 1)
+                - np.bincount(np.clip(pos + 1 + shift, 0, size), w[pos], size + 1))
+        part = np.cumsum(step)[:size].astype(np.int64)
+        sums = np.concatenate([[0], np.cumsum(w)])
+        start = np.arange(low, high + 1) - lo
+        whole = self.whole + sums[np.clip(start + m, 0, len(w))] - sums[np.clip(start, 0, len(w))] - part
+        fit = (100 * part >= SIMILARITY_PERCENT * whole) & (part > 0)
+        if not fit.any():
+            return None
+        j = int(np.argmax(np.where(fit, part / whole, 0.0)))
+        return -part[j] / whole[j], low + j, int(part[j]), int(whole[j])
+
+
+class ShingleIndex:
+    """For each item so many of its shingles that a passage without them is below the threshold."""
+
+    def __init__(self, items: list[tuple[int, Item]]):
+        every, held = np.unique(np.concatenate([x.keys for _, x in items]), return_counts=True)
+        keys, owners = [], []
+        for i, x in items:
+            order = np.lexsort((x.keys, -x.weights, held[np.searchsorted(every, x.keys)]))
+            sums = np.cumsum(x.weights[order])
+            n = int(np.searchsorted(100 * sums, (100 - SIMILARITY_PERCENT) * x.whole, side="right")) + 1
+            keys.append(x.keys[order[:n]])
+            owners.append(np.full(len(keys[-1]), i))
+        keys, owners = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(keys, kind="stable")
+        self.owners = owners[order]
+        self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
+        self.door = np.zeros(1 << 20, dtype=bool)
+        self.door[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+
+    def search(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Position and item of every indexed shingle among ``hashes``, about ``HITS`` at once."""
+        some = np.flatnonzero(self.door[(hashes >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, hashes[some]), len(self.keys) - 1)
+        same = self.keys[at] == hashes[some]
+        pos, first, n = some[same], self.first[at[same]], self.count[at[same]]
+        part = np.cumsum(n) // HITS
+        for c in np.unique(part):
+            p, f, k = pos[part == c], first[part == c], n[part == c]
+            q = np.repeat(p, k)
+            yield q, self.owners[np.repeat(f - (np.cumsum(k) - k), k) + np.arange(len(q))]
 
 
 class ItemIndex:
@@ -98,7 +168,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[object, str | None]]):
         batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in items], pa.string())], names=["text"])
-        self.items, table, classes = [], Powers(), {}
+        self.items, whole, table, classes = [], [], Powers(), {}
         for a, _, data, offsets in pieces(batch, "text"):
             words = Words(data, offsets, table)
             for d in range(len(offsets) - 1):
@@ -108,19 +178,21 @@ class ItemIndex:
                     continue
                 k = min(SHINGLE, n)
                 hashes, weights = shingled(words.hash[lo:hi], words.end[lo:hi] - words.start[lo:hi], k)
-                self.items.append((items[a + d][0], n, k, hashes, weights))
+                self.items.append(Item(items[a + d][0], n, k, hashes, weights))
+                whole.append((hashes, weights))
                 window = n if n < SHINGLE else self._window(n)
                 classes.setdefault((k, window), []).append(len(self.items) - 1)
         self.classes = []
         for (k, window), members in sorted(classes.items()):
-            stride = min(self.items[i][1] for i in members) - window + 1
-            prints, owner, offset = [], [], []
+            stride = min(self.items[i].n for i in members) - window + 1
+            prints, owner = [], []
             for i in members:
-                fp = fingerprints(self.items[i][3], self.items[i][4], [(window - k + 1, 1)])[0]
+                fp = fingerprints(*whole[i], [(window - k + 1, 1)])[0]
                 prints.append(fp)
                 owner += [i] * len(fp)
-                offset += range(len(fp))
-            self.classes.append((k, window, stride, BlockIndex(np.concatenate(prints)), np.array(owner), np.array(offset)))
+            self.classes.append((k, window, stride, BlockIndex(np.concatenate(prints)), np.array(owner)))
+        self.spans = np.array([x.spans for x in self.items], dtype=np.int64)
+        self.shingles = {k: ShingleIndex([(i, x) for i, x in enumerate(self.items) if x.k == k]) for k in {x.k for x in self.items}}
 
     @staticmethod
     def _window(n: int) -> int:
@@ -134,39 +206,36 @@ class ItemIndex:
         """Per (document, item) the best window: document, item number, first word, intersection, union."""
         length = words.end - words.start
         best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-        tried: set[tuple[int, int, int]] = set()
-        for k in sorted({c[0] for c in self.classes}):
-            own = [c for c in self.classes if c[0] == k]
+        for k in sorted(self.shingles):
             hashes, weights = shingled(words.hash, length, k)
             if not len(hashes):
                 continue
-            for (_, window, stride, index, owner, offset), fp in zip(
-                    own, fingerprints(hashes, weights, [(c[1] - k + 1, c[2]) for c in own])):
-                q, e = index.search(fp)
-                p = q * stride
-                doc = np.searchsorted(words.first, p, side="right") - 1
-                inside = p + window <= words.first[doc + 1]
-                for d, i, start in zip(doc[inside].tolist(), owner[e][inside].tolist(), (p - offset[e])[inside].tolist()):
-                    for shift in (0, 1, -1, 2, -2):
-                        at = (d, i, start + shift)
-                        if at not in tried:
-                            tried.add(at)
-                            part, whole = self._check(words, hashes, weights, *at)
-                            if 100 * part >= SIMILARITY_PERCENT * whole and whole:
-                                old = best.get(at[:2])
-                                new = (-part / whole, at[2], part, whole)
-                                best[at[:2]] = min(old, new) if old else new
-                        if (d, i) in best and best[d, i][0] == -1.0:
-                            break
+            for d, i, low, high in self._candidates(words, hashes, weights, k):
+                new = self.items[i].best(hashes, weights, int(words.first[d]), int(words.first[d + 1]) - k + 1, low, high)
+                if new:
+                    best[d, i] = min(best.get((d, i), new), new)
         for (d, i), (_, start, part, whole) in sorted(best.items()):
             yield d, i, max(0, start - int(words.first[d])), part, whole
 
-    def _check(self, words, hashes, weights, d, i, start):
-        _, n, k, item_hashes, item_weights = self.items[i]
-        lo, hi = max(start, int(words.first[d])), min(start + n, int(words.first[d + 1]))
-        if hi - lo < k:
-            return 0, 1
-        return weighted_similarity(hashes[lo: hi - k + 1], weights[lo: hi - k + 1], item_hashes, item_weights)
+    def _candidates(self, words: Words, hashes, weights, k: int) -> Iterator[tuple[int, int, int, int]]:
+        """Document, item and the first and last start of the windows around its hits."""
+        own = [c for c in self.classes if c[0] == k]
+        found = []
+        for (_, window, stride, index, owner), fp in zip(own, fingerprints(hashes, weights, [(c[1] - k + 1, c[2]) for c in own])):
+            q, e = index.search(fp)
+            found.append((q * stride, owner[e], window))
+        for pos, item, window in [*found, *((p, i, k) for p, i in self.shingles[k].search(hashes))]:
+            doc = np.searchsorted(words.first, pos, side="right") - 1
+            inside = pos + window <= words.first[doc + 1]
+            pos, item, doc = pos[inside], item[inside], doc[inside]
+            if not len(pos):
+                continue
+            order = np.lexsort((pos, item, doc))
+            pos, item, doc = pos[order], item[order], doc[order]
+            spans = self.spans[item]
+            new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(pos) >= spans[1:])]
+            a, z = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(pos)] - 1
+            yield from zip(doc[a].tolist(), item[a].tolist(), (pos[a] - spans[a] + 1).tolist(), pos[z].tolist())
 
 
 def shingled(hashes: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +288,7 @@ def _link_scan(block):
                 words = Words(data, offsets, table)
                 for d, i, start, part, whole in index.matches(words, len(offsets) - 1):
                     item = index.items[i]
-                    rows.append((ids[a + d].as_py(), item[0], part / whole, start, item[1]))
+                    rows.append((ids[a + d].as_py(), item.name, part / whole, start, item.n))
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(

@@ -109,3 +109,32 @@ def test_fingerprint_is_the_sign_of_the_sums():
         for b in range(64):
             want |= (sum(int(w[i]) * (1 if int(h[i]) >> b & 1 else -1) for i in range(p, p + 7)) > 0) << b
         assert int(got[j]) == want
+
+
+@pytest.mark.parametrize("n", [20, 50, 60, 80, 100, 150, 300])
+def test_edited_items_are_candidates(n):
+    rng = random.Random(n)
+    make = lambda m: [f"w{rng.randrange(4000)}" for _ in range(m)]
+    items, docs = [(i, make(n)) for i in range(3)], []
+    for i, item in items:
+        for edits in (0, 1, 2, 3):
+            for kind in ("replace", "insert", "delete"):
+                ws = list(item)
+                # 0 stands for the last word alone.
+                for at in sorted(rng.sample(range(1, n - 1), edits) or [n - 1], reverse=True):
+                    ws[at: at + (kind != "insert")] = [] if kind == "delete" else make(1)
+                docs.append((len(docs), " ".join(make(rng.randrange(40)) + ws + make(rng.randrange(40)))))
+    items = [(i, " ".join(t)) for i, t in items]
+    index, data = D.ItemIndex(items), D.pa.RecordBatch.from_pydict({"text": [t for _, t in docs]})
+    got = {}
+    for a, _, raw, offsets in D.pieces(data, "text"):
+        for d, i, _, part, whole in index.matches(D.Words(raw, offsets, D.Powers()), len(offsets) - 1):
+            got[a + d, i] = part / whole
+    want = brute(docs, items)
+    # A window cut at the start of a document may reach the threshold where no whole one does.
+    assert not set(want) - set(got) and want
+    assert all(got[k] >= want[k] - 1e-12 for k in want)
+    texts = dict(items)
+    for d, i in set(got) - set(want):
+        ws, it = words(docs[d][1]), words(texts[i])
+        assert max(similarity(ws[: m], it, 5) for m in range(5, n)) >= 0.8

@@ -8,8 +8,8 @@ response, whose payload it stands for.
 
 Defined cases: null html is an empty payload; null url is written as an empty target; payloads below
 ``min_bytes`` stay responses; a null id takes part as the smallest one and comes back as null; rows
-that share an id share a record id, and equal rows with the largest id are all responses. No rows give
-no archives. Extra columns are not read.
+that share an id share a record id and are told apart by their digest, and equal rows with the largest
+id are all responses. No rows give no archives. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -84,11 +84,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes:
     headers = written(full.select("page_id", "payload_bytes", "payload_digest"), "warc-headers")
     total = headers.agg(F.sum("payload_bytes"), F.count(F.lit(1))).first()
     files = max(1, -(-((total[0] or 0) + 500 * total[1]) // file_bytes))
-    # Payloads move once: dealt to the files by id, which is also how the revisit marks are joined.
+    # Payloads move once: dealt to the files by id and payload, which is also how the revisit marks are joined.
     key = F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("_key")
-    marks = resolve_revisits(headers, min_bytes).filter("record_type = 'revisit'").select(key, "refers_to", "record_type").distinct()
-    dealt = full.select("*", key).repartition(files, "_key")
-    joined = dealt.join(marks, "_key", "left").withColumn(
+    by = ["_key", "payload_digest", "payload_bytes"]
+    marks = resolve_revisits(headers, min_bytes).filter("record_type = 'revisit'").select(
+        key, *by[1:], "refers_to", "record_type").distinct()
+    dealt = full.select("*", key).repartition(files, *by)
+    joined = dealt.join(marks, by, "left").withColumn(
         "record_type", F.when(F.col("payload_bytes") >= min_bytes, F.coalesce("record_type", F.lit("response"))).otherwise("response"))
     records(joined).write.option("lineSep", END).option("compression", "gzip").text(path)
 
@@ -145,12 +147,13 @@ def resolved_records(spark: SparkSession, path: str) -> DataFrame:
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     # Lengths and digests are taken from the payloads read, not from the headers.
     rows = written(read_archives(spark, path).select(
-        "record_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("_bytes"),
+        "record_id", "record_type", "refers_to", F.col("payload_digest").alias("_said"), F.octet_length("payload").cast("long").alias("_bytes"),
         base32_sha1(F.col("payload")).alias("_digest")), "warc-read")
     originals = rows.filter("record_type = 'response'").join(
-        rows.filter("record_type = 'revisit'").select(F.col("refers_to").alias("record_id")).distinct(), "record_id", "left_semi"
+        rows.filter("record_type = 'revisit'").select(F.col("refers_to").alias("record_id"), F.col("_said").alias("_digest")).distinct(),
+        ["record_id", "_digest"], "left_semi"
     ).select(F.col("record_id").alias("_of"), F.col("_bytes").alias("_obytes"), F.col("_digest").alias("_odigest")).distinct()
-    joined = rows.join(written(originals, "warc-responses"), F.col("refers_to") == F.col("_of"), "left")
+    joined = rows.join(written(originals, "warc-responses"), (F.col("refers_to") == F.col("_of")) & (F.col("_said") == F.col("_odigest")), "left")
     return joined.select(
         page(F.col("record_id")).alias("page_id"), F.coalesce("_obytes", "_bytes").alias("payload_bytes"),
         F.coalesce("_odigest", "_digest").alias("payload_digest"), "record_type", page(F.col("refers_to")).alias("refers_to"))

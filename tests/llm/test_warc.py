@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+from collections import Counter
 from pathlib import Path
 
 from flowguard.llm import warc as W
@@ -45,3 +46,23 @@ def test_files_follow_the_format(spark, tmp_path):
             at += 4
             n += 1
     assert n == 10
+
+
+def test_repeated_and_null_ids_keep_their_payloads(spark):
+    given = [(1, "A"), (1, "B"), (2, "A"), (2, "C"), (5, "B"), (5, "C2"), (6, "C2"), (6, "A"), (3, "D"), (3, "D")]
+    given += [(None, h) for h in ["A", "B", "lone", "lone", None] for _ in range(20)] + [(None, f"text {i}") for i in range(200)]
+    df = spark.createDataFrame([("u", i, h) for i, h in given], "url string, page_id long, html string")
+    got = Counter(tuple(r) for r in W.archive_round_trip(spark, df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())
+    want = Counter()
+    for i, h in given:
+        data = (h or "").encode()
+        best = max((j for j, g in given if (g or "") == (h or "") and j is not None), default=None)
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        want[i, len(data), digest, *(("response", None) if i == best else ("revisit", best))] += 1
+    assert got == want
+
+
+def test_null_ids_are_dealt_to_many_archives(spark, tmp_path):
+    df = spark.createDataFrame([("u", None, f"text {i}" * 50) for i in range(200)], "url string, page_id long, html string")
+    W.write_archives(df, f"{tmp_path}/warc", file_bytes=20_000)
+    assert len([f for f in Path(f"{tmp_path}/warc").glob("*.gz") if gzip.decompress(f.read_bytes())]) > 3

@@ -139,10 +139,18 @@ def json_payloads(spark: SparkSession, d: str) -> DataFrame:
 select event_id, unnest([0, 1]) as position, cast(regexp_extract(payload, '"k": ([0-9]+)', 1) as double) as k
 from json_flows where event_id % 6 = 4""")
 def json_batches(spark: SparkSession, d: str) -> DataFrame:
-    flows = payloads.explode_batch(json_flows(spark, d), "payload", ["event_id"])
+    flows = payloads.explode_batch(json_flows(spark, d), "payload", ["event_id"]).where("reject_reason is null")
     return flows.select("event_id", "position", F.try_element_at("features", F.lit("k")).alias("k"))
 
 
+@query("json_batch_rejects", with_views(JSON_FLOWS) + """
+select event_id, cast(null as integer) as position, case when event_id % 6 = 5 then 'invalid json' else 'no flows' end as reject_reason
+from json_flows where event_id % 6 <> 4""")
+def json_batch_rejects(spark: SparkSession, d: str) -> DataFrame:
+    flows = payloads.explode_batch(json_flows(spark, d), "payload", ["event_id"])
+    return flows.where("reject_reason is not null").select("event_id", "position", "reject_reason")
+
+
 @query("missing_features", with_views(JSON_FLOWS) + """
 select event_id, case when event_id % 2 = 0 then '' else 'rate' end as missing from json_flows where event_id % 6 in (0, 1)""")
 def missing_features(spark: SparkSession, d: str) -> DataFrame:

@@ -81,6 +81,23 @@ def test_batch_explode(spark):
     assert [(r.i, r.position, r.features["a"]) for r in rows] == [(0, 0, 1.0), (0, 1, 2.0)]
 
 
+def test_batches_lose_no_flow_without_a_reason(spark):
+    texts = ['{"flows": [{"a": 1}, {"a": "2.5"}]}', '[{"a": 1}, {"a": "x"}, {"a": 3}]', '[{"a": 1}, {"a"', '{"flows": []}', "[]", '[{}, 7, null, "t"]',
+             '{"flows": {"a": 1}}', '{"a": 1}', '{"flows"', None, '  [{"a": 4}]', '[{"a": null}]', '{"flows": [{"a": 1}, {"a": [1]}]}', "", '{"flows": null}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {}
+    for r in payloads.explode_batch(df, "t", ["i"]).collect():
+        got.setdefault(r.i, []).append((r.position, r.features and r.features["a"], r.reject_reason))
+    bad = [(None, None, "invalid json")]
+    none = [(None, None, "no flows")]
+    assert {i: sorted(x, key=str) for i, x in got.items()} == {
+        0: [(0, 1.0, None), (1, 2.5, None)],
+        1: [(0, 1.0, None), (1, None, "invalid value"), (2, 3.0, None)],
+        2: bad, 5: [(0, None, "empty features"), *((p, None, "invalid json") for p in (1, 2, 3))],
+        6: none, 7: none, 8: bad, 9: bad, 10: [(0, 4.0, None)], 11: [(0, None, "invalid value")],
+        12: [(0, 1.0, None), (1, None, "invalid value")], 13: bad, 14: none}
+
+
 def test_scenario_documents_skip_what_is_unusable(spark, tmp_path):
     good = '{"label":"DDoS","validated":true,"source_index":1,"features":{"a":1.0,"b":2.0}}'
     (tmp_path / "a.json").write_text(good)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowguard.functions.labels import lookup_key
 from flowguard.operators import metrics as M
+from flowguard.operators.joins import known_classes, unseen_classes
 from flowguard.operators.policy import policy_table
 from flowguard.operators.report import health_score, imbalance_flag, macro_grade, separation_grade
 
@@ -43,6 +44,69 @@ def evaluate_scored(
     )
 
 
+def _held(small: DataFrame) -> DataFrame:
+    """A table of a few rows per class, computed once."""
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)
+
+
+def _matrix_and_report(conf: DataFrame, classes: DataFrame, run: str, split: str) -> DataFrame:
+    """The cells of the confusion matrix (``predicted:<class>`` by actual class) and the report per class."""
+    cells = M.dense_confusion(conf, _held(M.labels_seen(conf))).select(
+        F.col("actual").alias("class"), F.concat(F.lit("predicted:"), "predicted").alias("metric"), F.col("n_rows").cast("double").alias("value"))
+    columns = F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.round(F.col(m).cast("double"), 6).alias("value")) for m in ("precision", "recall", "f1", "support")
+    ])
+    report = M.class_report(conf, classes).select("class", F.explode(columns).alias("m")).select("class", "m.metric", "m.value")
+    return cells.unionByName(report).select(F.lit(run).alias("run"), F.lit(split).alias("split"), "class", "metric", "value")
+
+
+def evaluate_split(
+    df: DataFrame,
+    split: str,
+    classes: DataFrame,
+    truth: str = "y",
+    predicted: str = "pred",
+    score: str = "p",
+    class_truth: str = "class_true",
+    class_predicted: str = "class_pred",
+    proba: str = "proba",
+) -> DataFrame:
+    """``run, split, class, metric, value``: the whole evaluation of both models.
+
+    The binary half takes all rows, the class half the attack rows (``truth`` 1) whose class is in
+    ``classes`` (column ``class``, the classes learnt); the other attack rows, null labels too, are
+    counted as ``unseen_rows_excluded``. Macro and weighted AUC are null unless every class occurs.
+    """
+    known = _held(classes.select("class").distinct())
+    n_classes = known.count()
+    attacks = df.where(F.col(truth) == 1)
+    seen = known.select(F.col("class").alias(class_truth))
+    kept = known_classes(attacks, class_truth, seen)
+    text = lambda conf: _held(conf.withColumns({c: F.col(c).cast("string") for c in ("actual", "predicted")}))
+    binary, multi = text(M.confusion(df, truth, predicted)), text(M.confusion(kept, class_truth, class_predicted))
+    per_class = _held(M.per_class_rank_metrics(kept, class_truth, proba))
+    per = per_class.select("class", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("roc_auc", "average_precision")
+    ])).alias("m")).select(F.lit("multiclass").alias("run"), F.lit(split).alias("split"), "class", "m.metric", "m.value")
+    sizes = multi.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("eval_rows"), F.lit(n_classes).alias("num_classes"))
+    unseen = unseen_classes(attacks, class_truth, seen).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("unseen_rows_excluded"))
+    parts = [
+        M.long_metrics(M.summary_metrics(binary), "binary", split, CLASS_METRICS),
+        M.long_metrics(M.rank_metrics(M.score_table(df, score, truth)), "binary", split, ["roc_auc", "average_precision"]),
+        _matrix_and_report(binary, M.labels_seen(binary), "binary", split),
+        M.long_metrics(M.summary_metrics(multi), "multiclass", split, CLASS_METRICS),
+        M.long_metrics(sizes, "multiclass", split, ["eval_rows", "num_classes"]),
+        M.long_metrics(unseen, "multiclass", split, ["unseen_rows_excluded"]),
+        M.long_metrics(M.rank_means(per_class, n_classes), "multiclass", split, ["roc_auc_macro", "roc_auc_weighted"]),
+        per,
+        _matrix_and_report(multi, known, "multiclass", split),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _cell(run: str, metric: str):
     hit = (F.col("run") == run) & (F.col("metric") == metric) & (F.col("class") == "all")
     return F.max(F.when(hit, F.col("value")))

@@ -199,6 +199,13 @@ def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluate_scored(scored(spark, d), split="test")
 
 
+@query("split_evaluation")
+def split_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    from flowguard.plans.evaluation import evaluate_split
+
+    return evaluate_split(scored(spark, d), "test", _classes(spark))
+
+
 @query("model_report_card", with_views(SCORED, CONF, CLASSES, REPORT, _SUMMARY, PROBA_LONG, OVR, BINARY_REPORT) + """
 , m as (select round(avg(roc_auc), 6) as auc from per_class)
 select round(0.4 * b.accuracy + 0.6 * s.accuracy, 6) as health_score,

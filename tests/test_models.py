@@ -106,3 +106,24 @@ def test_components_for_share():
                 return 3
 
     assert models.components_for(Fake, 0.9) == 2 and models.components_for(Fake, 0.5) == 1
+
+
+def test_split_evaluation_takes_known_attacks_and_gives_all_fields(spark):
+    from flowguard.plans.evaluation import evaluate_split
+
+    rows = [  # y, pred, p, class, predicted class, probability of A
+        (1, 1, 0.9, "A", "A", 0.8), (1, 1, 0.8, "A", "B", 0.4), (1, 0, 0.3, "B", "B", 0.1), (1, 1, 0.7, "New", "A", 0.9),
+        (1, 1, 0.6, None, "A", 0.6), (0, 0, 0.2, "A", "B", 0.2), (0, 1, 0.6, "B", "A", 0.9)]
+    df = spark.createDataFrame([(*r[:5], {"A": r[5], "B": 1 - r[5]}) for r in rows],
+                               "y int, pred int, p double, class_true string, class_pred string, proba map<string,double>")
+    got = {(r["run"], r["class"], r.metric): r.value for r in evaluate_split(df, "test", spark.createDataFrame([("A",), ("B",)], "class string")).collect()}
+    multi = lambda c, m: got["multiclass", c, m]
+    assert (multi("all", "eval_rows"), multi("all", "unseen_rows_excluded"), multi("all", "num_classes")) == (3, 2, 2)
+    assert multi("all", "accuracy") == 0.666667 and multi("all", "roc_auc_macro") == multi("all", "roc_auc_weighted") == 1.0
+    assert [multi(c, f"predicted:{d}") for c in "AB" for d in "AB"] == [1, 1, 0, 1]
+    assert [multi("A", m) for m in ("precision", "recall", "f1", "support")] == [1.0, 0.5, 0.666667, 2]
+    binary = lambda c, m: got["binary", c, m]
+    assert [binary(c, f"predicted:{d}") for c in "01" for d in "01"] == [1, 1, 1, 4]
+    assert binary("all", "precision_weighted") == pytest.approx((2 * 0.5 + 5 * 0.8) / 7, abs=1e-6)
+    assert binary("all", "recall_weighted") == binary("all", "accuracy") == pytest.approx(5 / 7, abs=1e-6)
+    assert [binary("1", m) for m in ("precision", "recall", "support")] == [0.8, 0.8, 5]

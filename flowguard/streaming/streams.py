@@ -25,12 +25,13 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parque
     """Arriving event files, with ``ts`` as a zoned timestamp so it can carry a watermark.
 
     ``pattern`` names one file or a folder of part files inside ``folder``; a name that matches nothing is an
-    error of the source.
+    error here, not a stream that waits for ever.
     """
-    raw = (
-        spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
-        .parquet(f"{folder.rstrip('/')}/{pattern}")
-    )
+    base = folder.rstrip("/")
+    spark.read.schema(EVENT_SCHEMA).parquet(f"{base}/{pattern}")  # lists the files only; an error if there are none
+    # A plain path has to be a directory for the file source; as a pattern the name may also be one file.
+    name = pattern if set(pattern) & set("*?[{") else f"{{{pattern}}}"
+    raw = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(f"{base}/{name}")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -1,5 +1,6 @@
 """Fitted parts: loose quality bounds, monotone calibration, order and reload invariance."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,14 +71,17 @@ def test_scaler_round_trip(spark, folder):
     assert Scaler.from_frame(s.to_frame(spark)) == s
 
 
-def test_both_correlation_paths_agree(spark, folder, monkeypatch):
-    from flowguard.operators import selection
-
-    df = vec_rows(spark, folder)
-    a = {(r.i, r.j): r.r for r in correlation_table(df, VEC_FEATURES[:6]).collect()}
-    monkeypatch.setattr(selection, "PAIRWISE_COLUMNS", 2)
-    b = {(r.i, r.j): r.r for r in correlation_table(df, VEC_FEATURES[:6]).collect()}
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+def test_correlations_against_plain_pearson(spark):
+    nan = float("nan")
+    rows = [(float(i), float((i * 7) % 5), None if i % 4 == 0 else float(i * i), nan if i == 3 else 2.0 - i, 1.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    got = {(r.i, r.j): r.r for r in correlation_table(df, list("abcde")).collect()}
+    whole = np.array([row for row in rows if all(v is not None and v == v for v in row)]).T
+    assert len(got) == 10
+    for (i, j), r in got.items():
+        x, y = whole[i], whole[j]
+        want = None if x.std() == 0 or y.std() == 0 else abs(float(np.corrcoef(x, y)[0, 1]))
+        assert r is None if want is None else r == pytest.approx(want, abs=1e-9), (i, j)
 
 
 def test_k_best_ties_and_undefined_scores(spark):

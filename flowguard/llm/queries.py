@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import decontam, hilbert, jaccard_join, langid, mixing, packing, repeats, toxicity, warc, winnow
+from flowguard.llm import decontam, hilbert, jaccard_join, langid, middle, mixing, packing, repeats, toxicity, warc, winnow
+from flowguard.llm.fim_sql import MIDDLE_SQL
 from flowguard.llm.hilbert_sql import shard_sql
 from flowguard.llm.tables import table
 
@@ -141,3 +142,8 @@ def op5_winnowed_fingerprints(spark, folder):
 @query("op7_repeated_strings")
 def op7_repeated_strings(spark, folder):
     return repeats.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+@query("op13_middle_cuts", MIDDLE_SQL)
+def op13_middle_cuts(spark, folder):
+    return middle.digests(middle.transform(table(spark, folder, "documents")))

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import decontam, hilbert, jaccard_join, langid, middle, mixing, packing, repeats, toxicity, warc, winnow
+from flowguard.llm import decontam, hilbert, jaccard_join, langid, merkle, middle, mixing, packing, repeats, toxicity, warc, winnow
 from flowguard.llm.fim_sql import MIDDLE_SQL
 from flowguard.llm.hilbert_sql import shard_sql
+from flowguard.llm.merkle_sql import manifest_sql
 from flowguard.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +148,8 @@ def op7_repeated_strings(spark, folder):
 @query("op13_middle_cuts", MIDDLE_SQL)
 def op13_middle_cuts(spark, folder):
     return middle.digests(middle.transform(table(spark, folder, "documents")))
+
+
+@query("op12_merkle_manifest", manifest_sql())
+def op12_merkle_manifest(spark, folder):
+    return merkle.verify(merkle.manifest(table(spark, folder, "documents")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import decontam, hilbert, jaccard_join, langid, merkle, middle, mixing, packing, repeats, toxicity, warc, winnow
+from flowguard.llm import decontam, hilbert, hostwords, jaccard_join, langid, merkle, middle, mixing, packing, repeats, toxicity, warc, winnow
 from flowguard.llm.fim_sql import MIDDLE_SQL
 from flowguard.llm.hilbert_sql import shard_sql
 from flowguard.llm.merkle_sql import manifest_sql
@@ -153,3 +153,8 @@ def op13_middle_cuts(spark, folder):
 @query("op12_merkle_manifest", manifest_sql())
 def op12_merkle_manifest(spark, folder):
     return merkle.verify(merkle.manifest(table(spark, folder, "documents")))
+
+
+@query("op11_host_words")
+def op11_host_words(spark, folder):
+    return hostwords.judge(table(spark, folder, "pages"))

@@ -92,8 +92,12 @@ def test_judgement_against_a_plain_version(spark):
     verdict = {g[1]: g[4] for g in got.values() if g[3] is None}
     assert verdict["casinowin.example.org"] == "block" and verdict["gardentools.example.org"] == "allow"
     assert next(g for g in got.values() if g[1] == "casinowin.example.org")[6][:2] == ["casino", "win"]
-    # Its only sign is a word that it shares with blocked hosts.
-    assert verdict["win.example.org"] == "block"
+
+
+def test_words_shared_with_blocked_hosts_block(spark):
+    names = ["casinowin", "pokerwin", "winbets", "slotswin", "winporn", "win", "gardentools", "greenday", "news", "shoes"]
+    got = check(spark, [(i, f"http://{h}.example.org/x", HTML) for i, h in enumerate(names)])
+    assert [got[i][4] for i in range(10)] == ["block"] * 6 + ["allow"] * 4
 
 
 def test_long_and_odd_tables(spark):

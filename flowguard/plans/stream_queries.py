@@ -12,21 +12,23 @@ from flowguard.plans.cascade import decide
 from flowguard.plans.fixture_sql import EVENT_FLOWS, SCORED, scatter_sql, with_views
 from flowguard.plans.decision_queries import EVENT_DECISIONS
 from flowguard.plans.registry import query
+from flowguard.session import work_folder
 from flowguard.sources.files import feedback_rows
 from flowguard.sources.tables import event_flows, scored_columns, table
 from flowguard.streaming import streams
 from flowguard.streaming.flows import complete_windows, window_flow_features
 
 
-def _scorer(spark: SparkSession, d: str):
+def _scorer(spark: SparkSession, d: str, keep_anomaly: bool = False):
     """Stateless scoring of events, with the scaler fitted on the stored table beforehand."""
+    keep = ["flow_id", "ts", "user_id"] + ["anomaly"] * keep_anomaly
     scaler = fit_scaler(table(spark, d, "events"), ["value"])
 
     def score(events: DataFrame) -> DataFrame:
         s = scored_columns(events).withColumn("anomaly", anomaly_score([scaler.z("value")]))
         s = s.select("flow_id", "ts", "user_id", "anomaly", F.col("pred").alias("binary_pred"), F.col("p").alias("p_attack"),
                      F.col("proba").alias("attack_proba"), F.col("class_pred").alias("attack_type"))
-        return decide(s, ["flow_id", "ts", "user_id"])
+        return decide(s, keep)
 
     return score
 
@@ -66,12 +68,14 @@ def stream_action_counts(spark: SparkSession, d: str) -> DataFrame:
 
 _WINDOWED = """g as (
   select *, time_bucket(interval '12 hours', ts) as w,
-    date_diff('microsecond', lag(ts) over (partition by user_id, time_bucket(interval '12 hours', ts) order by ts, event_id), ts) / 1e6 as gap
+    date_diff('microsecond', lag(ts) over (partition by user_id, time_bucket(interval '12 hours', ts) order by ts, event_id), ts) as gap
   from events),
 wf as (select * from (
   select user_id, w::timestamp as window_start, count(*) as n_events,
     round(date_diff('microsecond', min(ts), max(ts)) / 1e6, 6) as duration_s,
-    round(case when count(*) > 1 then date_diff('microsecond', min(ts), max(ts)) / 1e6 / (count(*) - 1) end, 9) as iat_mean, round(stddev_pop(gap), 2) as iat_std, round(min(gap), 6) as iat_min, round(max(gap), 6) as iat_max,
+    round(case when count(*) > 1 then date_diff('microsecond', min(ts), max(ts)) / 1e6 / (count(*) - 1) end, 9) as iat_mean, 
+    round(case when count(*) > 1 then sqrt(greatest(count(gap) * sum(gap::hugeint * gap) - date_diff('microsecond', min(ts), max(ts))::hugeint * date_diff('microsecond', min(ts), max(ts)), 0)::double) / count(gap) / 1e6 end, 9) as iat_std,
+    round(min(gap) / 1e6, 6) as iat_min, round(max(gap) / 1e6, 6) as iat_max,
     round(case when count(*) > 1 then count(*) / (date_diff('microsecond', min(ts), max(ts)) / 1e6) end, 6) as events_per_s,
     round(sum(value), 4) as value_sum
   from g group by user_id, w) where window_start + interval '12 hours' <= (select max(ts) from events) - interval '1 hour')"""
@@ -82,7 +86,7 @@ def _rounded_windows(f: DataFrame) -> DataFrame:
         "user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n_events",
         *[F.round(c, 6).alias(c) for c in ("duration_s", "iat_min", "iat_max")],
         F.round("iat_mean", 9).alias("iat_mean"),
-        F.round("iat_std", 2).alias("iat_std"), F.round("events_per_s", 6).alias("events_per_s"),
+        F.round("iat_std", 9).alias("iat_std"), F.round("events_per_s", 6).alias("events_per_s"),
         F.round("value_sum", 4).alias("value_sum"),
     )
 
@@ -134,6 +138,31 @@ def velocity_escalation(spark: SparkSession, d: str) -> DataFrame:
     return out.select("flow_id", "action", "escalated_action")
 
 
+@query("live_escalation", with_views(SCORED, EVENT_DECISIONS, _DECIDED, """slots as (
+  select d.*, time_bucket(interval '2 hours', ts) - to_hours(2 * o) as w from decided d, (select unnest(range(6)) as o)),
+busy as (select user_id, w from slots where anomaly > 1 group by 1, 2 having count(*) > 1),
+hit as (select distinct s.flow_id from slots s join busy b on s.user_id = b.user_id and s.w = b.w)""") + """
+select d.flow_id, action, case when action = 'ALLOW' and h.flow_id is not null then 'QUARANTINE' else action end as escalated_action
+from decided d left join hit h on d.flow_id = h.flow_id""")
+def live_escalation(spark: SparkSession, d: str) -> DataFrame:
+    """Escalation as flows arrive, windows that are still open included."""
+    scored = _scorer(spark, d, keep_anomaly=True)(streams.event_stream(spark, d)).withColumn("odd", F.col("anomaly") > 1)
+    raised = streams.escalate_stream(scored, "user_id", "flow_id", "ts", "odd", 12 * 3600, 2 * 3600, 1, "1 hour")
+    return streams.last_word(streams.run_available(raised, "live-escalation"), "flow_id")
+
+
+@query("batch_action_counts", with_views(SCORED, EVENT_DECISIONS, _DECIDED) + """
+select action, count(*) as n_flows, count(*) as running, true as in_batches from decided group by action""")
+def batch_action_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts per micro-batch of an event table that arrives in several files, added up."""
+    parts = work_folder(spark, "event-parts")
+    table(spark, d, "events").repartition(6, "event_id").write.parquet(f"{parts}/events.parquet")
+    decisions = _scorer(spark, d)(streams.event_stream(spark, parts, files_per_batch=2))
+    counts = streams.running_counts(streams.run_batches(decisions, "batch-counts", streams.action_counts))
+    return counts.groupBy("action").agg(
+        F.sum("n_flows").alias("n_flows"), F.max("running").alias("running"), (F.max("batch_id") > 0).alias("in_batches"))
+
+
 @query("live_feed", with_views(SCORED, EVENT_DECISIONS, _DECIDED) + """
 select flow_id, ts, action from decided order by ts desc, flow_id desc limit 20""")
 def live_feed(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowguard.functions.numbers import INF
+from flowguard.streaming.keyed import KEY, FlowWindows, key_value, state_key
 
 SECOND = 1e6
 
@@ -35,33 +36,46 @@ def flow_features(
 ) -> DataFrame:
     """Per ``key``: counts, duration, gaps between events, value sums, kinds seen and rates.
 
-    A busy key is split into time slices first: gaps inside a slice come from a window over
-    ``(key, slice)``, gaps between slices from a window over the few slice rows of the key. So no
-    task ever sorts all events of one key. Both levels aggregate on the partitioning their window
-    already made, which leaves two shuffles, the second one over slice rows only.
-
     ``kinds`` is the domain of ``kind``; ``has_<kind>`` flags come out for each. ``extra`` maps a
     column name to (aggregate over events, function merging slice values).
     """
-    extra = extra or {}
+    extra = dict(extra or {})
+    flags = {f"has_{k}": (F.max(F.when(F.col(kind) == k, 1).otherwise(0)), F.max) for k in kinds}
+    sums = {"_vsum": (F.sum(value), F.sum)}
     base = events.withColumn("_t", micros(ts))
-    base = base.withColumn("_slice", F.floor(F.col("_t") / F.lit(slice_seconds * 1_000_000)))
-    inside = W.partitionBy(key, "_slice").orderBy("_t", order)
+    flows = flow_counters(base, [key], [order], slice_seconds * 1_000_000, sums | flags | extra)
+    flows = flows.withColumnRenamed("_vsum", "value_sum")
+    n_types = F.lit(0).cast("bigint")
+    for k in kinds:
+        n_types = n_types + F.col(f"has_{k}")
+    return flows.select(key, *flow_rate_columns(), n_types.alias("n_types"), *[f"has_{k}" for k in kinds], *extra)
+
+
+def flow_counters(
+    base: DataFrame, keys: list[str], order: list[str], slice_micros: int, merged: dict[str, tuple[Column, Callable[[Column], Column]]],
+) -> DataFrame:
+    """Mergeable counters of the event times ``_t`` (microseconds) per ``keys``, and the columns of ``merged``.
+
+    A busy key is split into time slices first: gaps inside a slice come from a window over
+    ``(keys, slice)``, gaps between slices from a window over the few slice rows of the key. So no
+    task ever sorts all events of one key. Both levels aggregate on the partitioning their window
+    already made, which leaves two shuffles, the second one over slice rows only.
+    """
+    base = base.withColumn("_slice", F.floor(F.col("_t") / F.lit(slice_micros)))
+    inside = W.partitionBy(*keys, "_slice").orderBy("_t", *order)
     gaps = base.withColumn("_gap", F.col("_t") - F.lag("_t").over(inside))
-    slices = gaps.groupBy(key, "_slice").agg(
+    slices = gaps.groupBy(*keys, "_slice").agg(
         F.count("*").alias("_n"),
         F.min("_t").alias("_first"),
         F.max("_t").alias("_last"),
         *_square_sums("_gap", "_in"),
         F.min("_gap").alias("_gmin"),
         F.max("_gap").alias("_gmax"),
-        F.sum(value).alias("_vsum"),
-        *[F.max(F.when(F.col(kind) == k, 1).otherwise(0)).alias(f"has_{k}") for k in kinds],
-        *[agg.alias(name) for name, (agg, _) in extra.items()],
+        *[agg.alias(name) for name, (agg, _) in merged.items()],
     )
-    across = W.partitionBy(key).orderBy("_slice")
+    across = W.partitionBy(*keys).orderBy("_slice")
     joined = slices.withColumn("_jump", F.col("_first") - F.lag("_last").over(across))
-    flows = joined.groupBy(key).agg(
+    return joined.groupBy(*keys).agg(
         F.sum("_n").alias("n_events"),
         F.min("_first").alias("_first"),
         F.max("_last").alias("_last"),
@@ -69,14 +83,8 @@ def flow_features(
         *_square_sums("_jump", "_ju"),
         F.least(F.min("_gmin"), F.min("_jump")).alias("_gmin"),
         F.greatest(F.max("_gmax"), F.max("_jump")).alias("_gmax"),
-        F.sum("_vsum").alias("value_sum"),
-        *[F.max(f"has_{k}").alias(f"has_{k}") for k in kinds],
-        *[merge(F.col(name)).alias(name) for name, (_, merge) in extra.items()],
+        *[merge(F.col(name)).alias(name) for name, (_, merge) in merged.items()],
     )
-    n_types = F.lit(0).cast("bigint")
-    for k in kinds:
-        n_types = n_types + F.col(f"has_{k}")
-    return flows.select(key, *flow_rate_columns(), n_types.alias("n_types"), *[f"has_{k}" for k in kinds], *extra)
 
 
 def _square_sums(gap: str, name: str) -> list[Column]:
@@ -115,75 +123,45 @@ def flow_rate_columns() -> list[Column]:
     ]
 
 
-# --- event-time windows, the same plan for streams and batches -------------------------
+# --- event-time windows -----------------------------------------------------------------
+
+WINDOW_COLUMNS = ["n_events", "duration_s", "iat_mean", "iat_std", "iat_min", "iat_max", "events_per_s", "value_sum"]
 
 
 def window_flow_features(
     events: DataFrame, key: str, ts: str, value: str, window: str = "5 seconds", step: str = "100 milliseconds",
     delay: str = "10 seconds",
 ) -> DataFrame:
-    """Flow features per key and tumbling window, built-in functions only.
+    """Flow features per key and tumbling window, the same rows from a batch and from a stream.
 
-    Two chained window aggregations: a short step keeps the list of event times small, the window
-    then merges its step summaries in time order. On a stream, windows appear once the watermark
-    has passed their end, and later rows are dropped.
+    A batch takes gaps in slices of ``step`` first, as ``flow_features`` does. A stream keeps a fixed-size
+    summary per key in the state store (``FlowWindows``); a window appears once the watermark, ``delay`` behind
+    the newest event, has passed its end, and rows behind the watermark are dropped. Rows without a time are left
+    out; a null key is a key.
     """
-    timed = events.withColumn("_t", micros(ts)).withWatermark(ts, delay)
-    steps = (
-        timed.groupBy(key, F.window(ts, step).alias("_step"))
-        .agg(F.array_sort(F.collect_list("_t")).alias("_ts"), F.sum(value).alias("_v"))
-        .select(key, F.window_time("_step").alias("_at"), _step_summary("_ts").alias("_s"), "_v")
-    )
-    merged = (
-        steps.groupBy(key, F.window("_at", window).alias("w"))
-        .agg(F.array_sort(F.collect_list("_s")).alias("_steps"), F.sum("_v").alias("value_sum"))
-    )
-    return merged.select(key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *_merged_columns())
-
-
-def _gaps(times: Column) -> Column:
-    later, earlier = F.slice(times, F.lit(2), F.size(times) - 1), F.slice(times, F.lit(1), F.size(times) - 1)
-    return F.when(F.size(times) > 1, F.zip_with(later, earlier, lambda a, b: a - b)).otherwise(
-        F.array().cast("array<bigint>")
-    )
-
-
-def _sum_squares(gaps: Column) -> Column:
-    return F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g.cast("double") * g.cast("double"))
-
-
-def _step_summary(times: str) -> Column:
-    t = F.col(times)
-    gaps = _gaps(t)
-    return F.struct(
-        F.get(t, F.lit(0)).alias("first"), F.element_at(t, -1).alias("last"), F.size(t).cast("bigint").alias("n"),
-        _sum_squares(gaps).alias("sq"), F.array_min(gaps).alias("gmin"), F.array_max(gaps).alias("gmax"),
-    )
-
-
-def _merged_columns() -> list[Column]:
-    s = F.col("_steps")
-    firsts, lasts = F.transform(s, lambda e: e["first"]), F.transform(s, lambda e: e["last"])
-    jumps = F.when(
-        F.size(s) > 1,
-        F.zip_with(F.slice(firsts, F.lit(2), F.size(s) - 1), F.slice(lasts, F.lit(1), F.size(s) - 1), lambda a, b: a - b),
-    ).otherwise(F.array().cast("array<bigint>"))
-    n = F.aggregate(s, F.lit(0).cast("bigint"), lambda acc, e: acc + e["n"])
-    sq = F.aggregate(s, F.lit(0.0), lambda acc, e: acc + e["sq"]) + _sum_squares(jumps)
-    span = F.element_at(lasts, -1) - F.get(firsts, F.lit(0))
-    pairs = n - 1
-    mean = F.try_divide(span / F.lit(SECOND), pairs)
-    var = F.try_divide(sq / F.lit(SECOND * SECOND), pairs) - mean * mean
-    return [
-        n.alias("n_events"),
-        (span / F.lit(SECOND)).alias("duration_s"),
-        mean.alias("iat_mean"),
-        F.sqrt(F.greatest(var, F.when(pairs > 0, F.lit(0.0)))).alias("iat_std"),
-        (F.least(F.array_min(F.transform(s, lambda e: e["gmin"])), F.array_min(jumps)) / F.lit(SECOND)).alias("iat_min"),
-        (F.greatest(F.array_max(F.transform(s, lambda e: e["gmax"])), F.array_max(jumps)) / F.lit(SECOND)).alias("iat_max"),
-        F.try_divide(n, span / F.lit(SECOND)).alias("events_per_s"),
-        F.col("value_sum"),
-    ]
+    if events.isStreaming:
+        return _stream_windows(events, key, ts, value, window, delay)
+    span = F.expr(f"timestamp_micros(0) + interval {step}")
+    slice_micros = events.sparkSession.range(1).select(F.unix_micros(span)).first()[0]  # one number
+    timed = events.where(F.col(ts).isNotNull()).select(
+        F.col(key), F.window(ts, window).alias("w"), micros(ts).alias("_t"), F.col(value).alias("_v"))
+    flows = flow_counters(timed, [key, "w"], [], slice_micros, {"value_sum": (F.sum("_v"), F.sum)})
+    rates = {c: e for c, e in zip(("n_events", "duration_s", "iat_mean", "iat_std", "iat_min", "iat_max"), flow_rate_columns())}
+    per_second = F.try_divide(F.col("n_events"), (F.col("_last") - F.col("_first")) / F.lit(SECOND))
+    return flows.select(
+        key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *rates.values(),
+        per_second.alias("events_per_s"), "value_sum")
+
+
+def _stream_windows(events: DataFrame, key: str, ts: str, value: str, window: str, delay: str) -> DataFrame:
+    w = F.window(ts, window)
+    timed = events.withWatermark(ts, delay).where(F.col(ts).isNotNull()).select(
+        state_key(F.col(key)), F.col(ts), micros(ts).alias("t"), F.unix_micros(w["start"]).alias("start"), F.unix_micros(w["end"]).alias("end"),
+        F.col(value).cast("double").alias("v"))
+    out = f"{KEY} string, start bigint, end bigint, n_events bigint, " + ", ".join(f"{c} double" for c in WINDOW_COLUMNS[1:])
+    found = timed.groupBy(KEY).transformWithStateInPandas(FlowWindows(), out, "Append", "EventTime")
+    return found.select(
+        key_value(events.schema[key].dataType).alias(key), F.timestamp_micros("start").alias("window_start"), F.timestamp_micros("end").alias("window_end"), *WINDOW_COLUMNS)
 
 
 def complete_windows(features: DataFrame, latest, delay: str) -> DataFrame:

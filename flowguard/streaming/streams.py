@@ -7,12 +7,15 @@ sources and ``run_available`` know about streams.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowguard.session import work_folder
+from flowguard.streaming.keyed import KEY, VelocityEscalation, key_value, state_key
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -35,6 +38,24 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parque
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession):
+    """Streams that start inside keep their state in RocksDB; one that goes on from a checkpoint keeps to its store."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS_DB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
 def run_available(stream: DataFrame, purpose: str, fmt: str = "parquet", path: str | None = None) -> DataFrame:
     """Process what has arrived, then stop; append to a file sink and read it back.
 
@@ -43,20 +64,51 @@ def run_available(stream: DataFrame, purpose: str, fmt: str = "parquet", path: s
     """
     spark = stream.sparkSession
     path = path or work_folder(spark, purpose)
-    query = (
+    writer = (
         stream.writeStream.format(fmt).outputMode("append")
-        .option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True).start()
+        .option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     )
+    with state_on_disk(spark):
+        query = writer.start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).format(fmt).load(f"{path}/data")
 
 
+def run_batches(stream: DataFrame, purpose: str, per_batch: Callable[[DataFrame], DataFrame], path: str | None = None) -> DataFrame:
+    """``per_batch`` of every micro-batch, as a table with the batch's number in ``batch_id``.
+
+    Each batch overwrites the folder of its own number, so one that is repeated after a failure changes nothing
+    and a reader never sees it twice.
+    """
+    spark = stream.sparkSession
+    path = path or work_folder(spark, purpose)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        per_batch(batch).write.mode("overwrite").parquet(f"{path}/data/batch_id={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    with state_on_disk(spark):
+        query = writer.start()
+    query.awaitTermination()
+    return spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data/batch_id=*")
+
+
 def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The batch scoring function applied to a stream; it must be stateless."""
     return score(stream)
 
 
+def action_counts(decisions: DataFrame) -> DataFrame:
+    """Actions of one batch, for ``run_batches``."""
+    return decisions.groupBy("action").agg(F.count("*").alias("n_flows"))
+
+
+def running_counts(batches: DataFrame) -> DataFrame:
+    """``batch_id, action, n_flows, running``: counts of each batch and up to it, from a written ``run_batches``."""
+    upto = W.partitionBy("action").orderBy("batch_id")
+    return batches.select("batch_id", "action", "n_flows", F.sum("n_flows").over(upto).alias("running"))
+
+
 def windowed_action_counts(decisions: DataFrame, ts: str, window: str, delay: str) -> DataFrame:
     """Actions per event-time window; late rows beyond ``delay`` are not counted."""
     return (
@@ -91,6 +143,33 @@ def escalate(decisions: DataFrame, velocity: DataFrame, key: str, id_col: str, t
     return decisions.join(hit, id_col, "left").withColumn("escalated_action", held).drop("_busy")
 
 
+def escalate_stream(decisions: DataFrame, key: str, id_col: str, ts: str, anomaly: str, window_seconds: int, slide_seconds: int, limit: int, delay: str) -> DataFrame:
+    """Rows ``key, id, action, escalated_action, n_anomalies`` as decisions arrive; see ``VelocityEscalation``.
+
+    ``anomaly`` is a boolean column. An id comes a second time if its window gets busy later; ``last_word`` keeps
+    the raised row. Rows behind the watermark and rows without a time are dropped; a null key is a key.
+    """
+    if window_seconds % slide_seconds:
+        raise ValueError("the window must be a multiple of the slide")
+    slide = slide_seconds * 1_000_000
+    slot = F.floor(F.unix_micros(F.col(ts)) / F.lit(slide)).cast("bigint") * F.lit(slide)
+    rows = decisions.withWatermark(ts, delay).where(F.col(ts).isNotNull()).select(
+        state_key(F.col(key)), F.col(ts), F.col(id_col).alias("id"), slot.alias("slot"), "action", F.coalesce(F.col(anomaly), F.lit(False)).alias("odd"))
+    id_type = decisions.schema[id_col].dataType.simpleString()
+    out = f"{KEY} string, id {id_type}, action string, escalated_action string, n_anomalies bigint"
+    processor = VelocityEscalation(id_type, slide, window_seconds // slide_seconds, limit)
+    raised = rows.groupBy(KEY).transformWithStateInPandas(processor, out, "Append", "EventTime")
+    return raised.select(
+        key_value(decisions.schema[key].dataType).alias(key), F.col("id").alias(id_col), "action", "escalated_action", "n_anomalies")
+
+
+def last_word(raised: DataFrame, id_col: str) -> DataFrame:
+    """One row per id of a written ``escalate_stream``: an action once raised stays raised."""
+    up = F.max(F.when(F.col("escalated_action") != F.col("action"), F.col("escalated_action")))
+    return raised.groupBy(id_col).agg(F.first("action").alias("action"), up.alias("_up")).select(
+        id_col, "action", F.coalesce("_up", "action").alias("escalated_action"))
+
+
 def live_feed(decisions: DataFrame, ts: str, id_col: str, n: int = 20) -> DataFrame:
     """Newest decisions of the sink table."""
     return decisions.orderBy(F.col(ts).desc(), F.col(id_col).desc()).limit(n)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowguard.functions import decision as D
 from flowguard.functions import proba as P
-from flowguard.functions.trust import anomaly_score, trust_struct
+from flowguard.functions.trust import trust_struct
+from flowguard.operators.calibrate import IsotonicCalibrator
 from flowguard.operators.clean import require_columns, split_valid
 from flowguard.operators.scale import Scaler
+from flowguard.operators.stages import AttackScore, Decision, Standardise
 
 DECISION_COLUMNS = [
     "action", "confidence", "attack_type", "prediction", "binary_pred", "trust", "trust_risk",
@@ -61,42 +65,50 @@ def decide(
 
 
 class Cascade:
-    """Fitted scoring chain. ``transform`` is lazy: one plan from raw rows to decisions."""
+    """Fitted scoring chain: one ``PipelineModel``, which ``save`` writes and ``load`` reads in any session.
+
+    ``transform`` is lazy: one plan from raw rows to decisions, on a batch or a stream.
+    """
 
     def __init__(self, scaler: Scaler, binary, calibrator, multiclass, classes: list[str], threshold: float = 0.5):
         if not classes:
             raise ValueError("no attack classes")
-        self.scaler, self.binary, self.calibrator = scaler, binary, calibrator
-        self.multiclass, self.classes, self.threshold = multiclass, list(classes), threshold
+        features = list(scaler.features)
+        isotonic = calibrator.model.copy().setFeaturesCol("_score").setPredictionCol("_cal")
+        self._take(PipelineModel([
+            Standardise(features=features, mean=list(scaler.mean), scale=list(scaler.scale), constant=sorted(scaler.constant)),
+            VectorAssembler(inputCols=features, outputCol="_x"),
+            binary.copy().setFeaturesCol("_x"),
+            AttackScore(threshold=threshold, digits=calibrator.digits),
+            isotonic,
+            multiclass.copy().setFeaturesCol("_x"),
+            Decision(classes=list(classes), features=features),
+        ]))
+
+    def _take(self, model: PipelineModel) -> None:
+        self.model = model
+        standardise, _, self.binary, score, isotonic, self.multiclass, decision = model.stages
+        self.scaler, self.classes = standardise.scaler(), list(decision.getOrDefault(decision.classes))
+        self.threshold = score.getOrDefault(score.threshold)
+        self.calibrator = IsotonicCalibrator(isotonic, score.getOrDefault(score.digits))
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str) -> Cascade:
+        out = cls.__new__(cls)
+        out._take(PipelineModel.load(path))
+        return out
 
     def transform(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """One decision per valid row; see ``rejected`` for the others."""
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.functions import vector_to_array
-
         features = self.scaler.features
         require_columns(df, features, named=5)
         valid, _ = split_valid(df, features)
-        scaled = self.scaler.transform(valid.select(*keep, *features))
-        scaled = scaled.withColumn("anomaly", anomaly_score(features))
-        vec = VectorAssembler(inputCols=features, outputCol="_x").transform(scaled)
-        raw = self.binary.transform(vec)
-        raw = raw.withColumn("_p_raw", vector_to_array("probability")[1]).select(
-            *keep, "anomaly", "_x", "_p_raw"
-        )
-        calibrated = self.calibrator.transform(raw, "_p_raw", "p_attack")
-        called = calibrated.withColumn("binary_pred", D.binary_prediction("_p_raw", self.threshold))
-        classed = self.multiclass.transform(called)
-        entries = [
-            x for i, c in enumerate(self.classes)
-            for x in (F.lit(c), vector_to_array("class_probability")[i])
-        ]
-        named = F.element_at(F.array(*[F.lit(c) for c in self.classes]), F.col("class_index").cast("int") + 1)
-        out = classed.select(
-            *keep, "anomaly", "binary_pred", "p_attack",
-            F.create_map(*entries).alias("attack_proba"), named.alias("attack_type"),
-        )
-        return decide(out, keep)
+        kept = {f"kept{i}": c for i, c in enumerate(keep)}  # may have any name, a feature's too
+        rows = valid.select(*[F.col(c).alias(k) for k, c in kept.items()], *features)
+        return self.model.transform(rows).withColumnsRenamed(kept)
 
     def rejected(self, df: DataFrame, keep: list[str]) -> DataFrame:
         _, bad = split_valid(df, self.scaler.features)

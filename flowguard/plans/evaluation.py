@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from flowguard.functions.labels import lookup_key
 from flowguard.operators import metrics as M
-from flowguard.operators.joins import known_classes, unseen_classes
+from flowguard.operators.joins import known_classes
 from flowguard.operators.policy import policy_table
 from flowguard.operators.report import health_score, imbalance_flag, macro_grade, separation_grade
+from flowguard.session import write_through
 
 BINARY_METRICS = ["accuracy", "f1_weighted", "f1_macro"]
 CLASS_METRICS = ["accuracy", "f1_weighted", "f1_macro", "precision_weighted", "recall_weighted"]
@@ -79,17 +80,24 @@ def evaluate_split(
     """
     known = _held(classes.select("class").distinct())
     n_classes = known.count()
-    attacks = df.where(F.col(truth) == 1)
     seen = known.select(F.col("class").alias(class_truth))
-    kept = known_classes(attacks, class_truth, seen)
-    text = lambda conf: _held(conf.withColumns({c: F.col(c).cast("string") for c in ("actual", "predicted")}))
-    binary, multi = text(M.confusion(df, truth, predicted)), text(M.confusion(kept, class_truth, class_predicted))
+    # One scan counts the rows by both truths and both predictions; every label metric follows from those counts.
+    joint = write_through(df.groupBy(truth, predicted, class_truth, class_predicted).agg(F.count("*").alias("n_rows")), "joint-counts")
+    attacks = joint.where(F.col(truth) == 1)
+
+    def pairs(counts: DataFrame, actual: str, guess: str) -> DataFrame:
+        return counts.groupBy(F.col(actual).cast("string").alias("actual"), F.col(guess).cast("string").alias("predicted")).agg(
+            F.sum("n_rows").alias("n_rows"))
+
+    binary = _held(pairs(joint, truth, predicted))
+    multi = write_through(pairs(known_classes(attacks, class_truth, seen), class_truth, class_predicted), "class-pairs")
+    kept = known_classes(df.where(F.col(truth) == 1), class_truth, seen)
     per_class = _held(M.per_class_rank_metrics(kept, class_truth, proba))
     per = per_class.select("class", F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("roc_auc", "average_precision")
     ])).alias("m")).select(F.lit("multiclass").alias("run"), F.lit(split).alias("split"), "class", "m.metric", "m.value")
     sizes = multi.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("eval_rows"), F.lit(n_classes).alias("num_classes"))
-    unseen = unseen_classes(attacks, class_truth, seen).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("unseen_rows_excluded"))
+    unseen = attacks.join(seen, class_truth, "left_anti").agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("unseen_rows_excluded"))
     parts = [
         M.long_metrics(M.summary_metrics(binary), "binary", split, CLASS_METRICS),
         M.long_metrics(M.rank_metrics(M.score_table(df, score, truth)), "binary", split, ["roc_auc", "average_precision"]),

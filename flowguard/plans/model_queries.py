@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowguard.operators import models, selection
 from flowguard.plans import training
+from flowguard.plans.cascade import Cascade
 from flowguard.plans.fixture_sql import LABELLED_DOCS, with_views
 from flowguard.plans.registry import query
 from flowguard.session import work_folder, write_through
@@ -111,6 +112,22 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     return models.compare(chains, test, "binary")
 
 
+@query("cascade_reload_parity", with_views(LABELLED_DOCS) + """select count(*) as n_rows, 0::bigint as n_different,
+  0::bigint as n_rejected from labelled_docs""")
+def cascade_reload_parity(spark: SparkSession, d: str) -> DataFrame:
+    """A saved and reloaded cascade takes the same decision on every row, all fields of it."""
+    rows = docs(spark, d)
+    prepared = training.prepare(rows, DOC_FEATURES, "doc_id")
+    cascade = training.train_cascade(prepared, "doc_id", use_oversampling=False, **SMALL)
+    path = work_folder(spark, "cascade")
+    cascade.save(path)
+    again = Cascade.load(path)
+    whole = lambda c, name: c.transform(rows, ["doc_id"]).select("doc_id", F.to_json(F.struct("*")).alias(name))
+    both = whole(cascade, "a").join(whole(again, "b"), "doc_id")
+    return both.agg(F.count("*").alias("n_rows"), F.count_if(F.col("a") != F.col("b")).alias("n_different")).withColumn(
+        "n_rejected", F.lit(again.rejected(rows, ["doc_id"]).count()))
+
+
 @query("reload_parity", with_views(LABELLED_DOCS) + "select count(*) as n_rows, 0::bigint as n_different from labelled_docs")
 def reload_parity(spark: SparkSession, d: str) -> DataFrame:
     """A saved and reloaded forest gives the same probabilities."""

@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowguard.functions.decision import binary_prediction
-from flowguard.operators import metrics as M
 from flowguard.operators.balance import oversample
 from flowguard.operators.calibrate import fit_isotonic
 from flowguard.operators.clean import attacks_only, fill_with, nullify_infinite
-from flowguard.operators.models import fit_attack_classes, fit_forest, score_binary
+from flowguard.operators.models import assemble, fit_attack_classes, fit_forest, score_binary
 from flowguard.operators.ordered import medians
 from flowguard.operators.scale import Scaler, fit_scaler
-from flowguard.operators.selection import select_features
+from flowguard.operators.selection import TREE_SAMPLE_ROWS, select_features
 from flowguard.operators.split import stratified_split
 from flowguard.operators.weights import with_weights
 from flowguard.plans.cascade import Cascade
+from flowguard.plans.evaluation import evaluate_split
 from flowguard.session import write_through
 from flowguard.sources.files import load_split, write_splits
 
@@ -54,7 +56,8 @@ def prepare(
     """
     nulled = nullify_infinite(df.select(id_col, *features, "binary", "label"), features)
     parts = stratified_split(nulled, strata or ["binary"], [id_col], test=test, val=val, seed=seed)
-    base = parts.where("split = 'train'") if fit_on == "train" else parts
+    # The medians of all rows need no split.
+    base = parts.where("split = 'train'") if fit_on == "train" else nulled
     filled = fill_with(parts, medians(base, features))
     # Fitted and read several times from here on: written once, read column-pruned.
     stored = write_through(filled, "prepared", ["split"])
@@ -77,28 +80,27 @@ def train_cascade(p: Prepared, id_col: str, use_oversampling: bool = True, thres
     return Cascade(p.scaler, binary, calibrator, multiclass, names, threshold)
 
 
-def binary_results(cascade: Cascade, part: DataFrame, id_col: str, split: str) -> DataFrame:
-    """Long metric rows of the calibrated binary model on scaled rows."""
-    scores = score_binary(cascade.binary, part, cascade.scaler.features, [id_col, "binary"])
-    scored = cascade.calibrator.transform(scores, "p_raw", "p").withColumn("pred", binary_prediction("p"))
-    summary = M.summary_metrics(M.confusion(scored, "binary", "pred"))
-    ranks = M.rank_metrics(M.score_table(scored, "p", "binary"))
-    return M.long_metrics(summary, "binary", split, ["accuracy", "f1_weighted", "f1_macro"]).unionByName(
-        M.long_metrics(ranks, "binary", split, ["roc_auc", "average_precision"])
-    )
+def scored_rows(cascade: Cascade, part: DataFrame) -> DataFrame:
+    """``y, pred, p, class_true, class_pred, proba`` of scaled rows, both models on every row, written once.
 
+    The attack class counts for all attack rows here, found or not, so both models are judged on their own.
+    """
+    features = cascade.scaler.features
+    vec = assemble(part, features, [F.col("binary").alias("y"), F.col("label").alias("class_true")])
+    raw = cascade.binary.transform(vec).select("y", "class_true", "_x", vector_to_array("probability")[1].alias("p_raw"))
+    classed = cascade.multiclass.transform(cascade.calibrator.transform(raw, "p_raw", "p"))
+    names = F.array(*map(F.lit, cascade.classes))
+    out = classed.select(
+        "y", binary_prediction("p").alias("pred"), "p", "class_true",
+        F.element_at(names, F.col("class_index").cast("int") + 1).alias("class_pred"),
+        F.map_from_arrays(names, vector_to_array("class_probability")).alias("proba"))
+    return write_through(out, "scored")
 
-def class_results(cascade: Cascade, part: DataFrame, split: str) -> DataFrame:
-    """Long metric rows of the attack-class model; labels it never saw are left out."""
-    from flowguard.operators.models import assemble
 
-    rows = attacks_only(part).where(F.col("label").isin(cascade.classes))
-    out = cascade.multiclass.transform(assemble(rows, cascade.scaler.features, ["label"]))
-    named = F.element_at(F.array(*[F.lit(c) for c in cascade.classes]), F.col("class_index").cast("int") + 1)
-    summary = M.summary_metrics(M.confusion(out.withColumn("predicted", named), "label", "predicted"))
-    return M.long_metrics(
-        summary, "multiclass", split, ["accuracy", "f1_weighted", "f1_macro", "precision_weighted", "recall_weighted"]
-    )
+def evaluate_parts(spark: SparkSession, cascade: Cascade, parts: dict[str, DataFrame]) -> DataFrame:
+    """The whole evaluation (``evaluation.evaluate_split``) of each split, one table."""
+    known = spark.createDataFrame([(c,) for c in cascade.classes], "class string")
+    return reduce(DataFrame.unionByName, [evaluate_split(scored_rows(cascade, part), split, known) for split, part in parts.items()])
 
 
 def run(
@@ -111,16 +113,24 @@ def run(
     cascade: Cascade | None = None,
     selection: dict | None = None,
     trees: int = 100,
+    cascade_path: str | None = None,
+    evaluate_on: tuple[str, ...] = ("val", "test"),
+    sample_rows: int = TREE_SAMPLE_ROWS,
     **forest,
 ) -> dict:
-    """The chosen stages in order; leave out ``train`` to evaluate an existing cascade."""
+    """The chosen stages in order; leave out ``train`` to evaluate an existing cascade.
+
+    ``cascade_path`` is where ``train`` saves the cascade, and where it is loaded from without ``train``; with
+    ``split_path`` too, a later session evaluates from what is stored. ``sample_rows`` bounds the tree sample.
+    """
     unknown = set(stages) - set(STAGES)
     if unknown:
         raise ValueError(f"unknown stages {sorted(unknown)}")
     out: dict = {"features": list(features), "cascade": cascade}
     if "select" in stages:
         out["features"], out["audit"], out["scores"] = select_features(
-            df, features, "binary", id_col, selection, trees=trees, **({"depth": forest["depth"]} if "depth" in forest else {})
+            df, features, "binary", id_col, selection, trees=trees, sample_rows=sample_rows,
+            **({"depth": forest["depth"]} if "depth" in forest else {})
         )
     if "split" in stages:
         out["prepared"] = prepare(df, out["features"], id_col)
@@ -128,11 +138,13 @@ def run(
             write_splits(out["prepared"].rows, split_path)
     if "train" in stages:
         out["cascade"] = train_cascade(out["prepared"], id_col, **forest)
+        if cascade_path:
+            out["cascade"].save(cascade_path)
     if "evaluate" in stages:
+        if out["cascade"] is None and cascade_path:
+            out["cascade"] = Cascade.load(cascade_path)
         if out["cascade"] is None:
             raise ValueError("nothing to evaluate: no stage trained a model and none was given")
-        part = load_split(spark, split_path, "test") if split_path else out["prepared"].part("test")
-        out["metrics"] = binary_results(out["cascade"], part, id_col, "test").unionByName(
-            class_results(out["cascade"], part, "test")
-        )
+        parts = {s: load_split(spark, split_path, s) if split_path else out["prepared"].part(s) for s in evaluate_on}
+        out["metrics"] = evaluate_parts(spark, out["cascade"], parts)
     return out

@@ -1,5 +1,7 @@
 """Fitted parts: loose quality bounds, monotone calibration, order and reload invariance."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,42 @@ def test_cascade_gives_one_decision_per_valid_row(run, spark):
     assert all(r.margin == 0.0 for r in rows if r.prediction == "Normal")
 
 
+def test_class_forest_runs_on_called_attacks_only(run):
+    """Its function stands inside the conditional, and the rows are read once."""
+    df, out = run
+    plan = out["cascade"].transform(df, ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    # Class scores, their shares and the array of them: all three functions inside the conditional.
+    assert re.search(r"CASE WHEN \(_binary_pred#\d+ = 1\) THEN UDF\(UDF\(UDF\(_x#\d+\)\)\) END AS _proba", plan)
+    rows = out["cascade"].transform(df, ["doc_id"]).collect()
+    assert {r.attack_proba is None for r in rows if r.binary_pred == 0} <= {True}
+    called = [r for r in rows if r.binary_pred == 1]
+    assert called and all(max(r.attack_proba.values()) == r.attack_proba[r.attack_type] for r in called)
+
+
+def test_stored_cascade_and_evaluation_from_disk(spark, folder, tmp_path):
+    df = docs(spark, folder)
+    paths = dict(split_path=str(tmp_path / "splits"), cascade_path=str(tmp_path / "cascade"))
+    first = training.run(spark, df, DOC_FEATURES, "doc_id", stages=("split", "train", "evaluate"), num_trees=5, depth=5, **paths)
+    other = spark.newSession()
+    again = training.run(other, other.createDataFrame([], df.schema), DOC_FEATURES, "doc_id", stages=("evaluate",), **paths)
+    table = lambda m: sorted(tuple(r) for r in m.collect())
+    assert table(first["metrics"]) == table(again["metrics"])
+    loaded = again["cascade"]
+    assert (loaded.classes, loaded.threshold, loaded.scaler) == (first["cascade"].classes, 0.5, first["cascade"].scaler)
+    got = {(r.run, r.split, r["class"], r.metric) for r in again["metrics"].collect()}
+    for split in ("val", "test"):
+        assert {("binary", split, "all", m) for m in ("precision_weighted", "recall_weighted", "roc_auc", "average_precision")} <= got
+        assert {("multiclass", split, "all", m) for m in ("unseen_rows_excluded", "eval_rows", "roc_auc_macro", "f1_macro")} <= got
+        assert {("binary", split, "1", m) for m in ("precision", "recall", "f1", "support", "predicted:0")} <= got
+
+
+def test_kept_columns_may_be_features(run):
+    df, out = run
+    got = out["cascade"].transform(df, ["doc_id", "n_chars"]).select("doc_id", "n_chars")
+    assert got.exceptAll(df.select("doc_id", "n_chars")).isEmpty()
+
+
 def test_column_order_does_not_matter(run):
     df, out = run
     a = out["cascade"].transform(df, ["doc_id"]).select("doc_id", "action", "confidence")

@@ -24,6 +24,8 @@ GRAM, WINDOW = 12, 32
 BLOCK = 256
 #: Ids of one bucket of the successor search; each bucket holds at most so many different ids.
 BUCKET_IDS = 2048
+#: So many values are put in order by one task; the numbers of the buckets reach it after at most five divisions.
+TOP_VALUES = 4096
 #: Bucket borders up to this count are broadcast, more of them are joined by a shuffle.
 BROADCAST_BORDERS = 100_000
 
@@ -142,9 +144,12 @@ def next_ids(ids: DataFrame) -> DataFrame:
     bucketed = ids.distinct().withColumn("_b", F.floor(F.col("id") / BUCKET_IDS).cast("long"))
     firsts = written(bucketed.groupBy("_b").agg(F.min("id").alias("_first")), "winnow-firsts")
     inside = bucketed.withColumn("next", F.lead("id").over(Window.partitionBy("_b").orderBy("id")))
-    if firsts.count() <= 1:
-        return inside.select("id", "next")
-    after = next_ids(firsts.select(F.col("_b").alias("id"))).select(F.col("id").alias("_b"), F.col("next").alias("_nb"))
+    numbers = firsts.select(F.col("_b").alias("id"))
+    if firsts.count() <= TOP_VALUES:
+        after = numbers.withColumn("next", F.lead("id").over(Window.partitionBy(F.lit(0)).orderBy("id")))
+    else:
+        after = next_ids(numbers)
+    after = after.select(F.col("id").alias("_b"), F.col("next").alias("_nb"))
     border = after.join(firsts.select(F.col("_b").alias("_nb"), F.col("_first")), "_nb").select("_b", "_first")
     return inside.join(border, "_b", "left").select("id", F.coalesce("next", "_first").alias("next"))
 

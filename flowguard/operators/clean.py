@@ -10,6 +10,7 @@ from flowguard.constants import BENIGN
 from flowguard.functions.labels import is_benign
 from flowguard.functions.numbers import as_col, finite_or_null, is_faulty, is_infinite
 from flowguard.operators.ordered import ONE_TASK_ROWS, medians
+from flowguard.session import write_through
 
 
 def strip_headers(df: DataFrame) -> DataFrame:
@@ -96,7 +97,8 @@ def drop_copies(df: DataFrame) -> DataFrame:
 
 
 def clean_table(df: DataFrame, cols: list[str]) -> DataFrame:
-    return repair(drop_copies(df), cols)
+    """Copies dropped, then repaired. The distinct rows are written, so the medians do not shuffle whole rows again."""
+    return repair(write_through(drop_copies(df), "distinct-rows"), cols)
 
 
 def with_binary(df: DataFrame, label: str = "label") -> DataFrame:

@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowguard.session import sized_side
+from flowguard.session import sized_side, write_through
 
 ONE_TASK_ROWS = 500_000  # rows one task may sort
-IN_MEMORY_CELLS = 4_000_000  # values Spark's percentile may keep in one task's memory
 SKETCH_ACCURACY = 10_000
+IN_MEMORY_CELLS = 1_000_000  # values Spark's percentile may keep in one task's memory
+#: Size of the quantile sketch and the rank error allowed for, about three times its usual one.
+SKETCH_SIZE, SKETCH_ERROR = 4096, 0.004
 
 
 # --- cumulative sums ------------------------------------------------------------
@@ -91,12 +93,6 @@ def running_totals(
 # --- exact quantiles ------------------------------------------------------------
 
 
-def unpivot(df: DataFrame, by: list[str], cols: list[str], name: str = "feature", value: str = "value") -> DataFrame:
-    """Long form ``by, feature, value`` of numeric columns, as DOUBLE."""
-    cells = F.array(*[F.struct(F.lit(c).alias("n"), F.col(c).cast("double").alias("v")) for c in cols])
-    return df.select(*by, F.explode(cells).alias("_c")).select(*by, F.col("_c.n").alias(name), F.col("_c.v").alias(value))
-
-
 def _position(p: Column, n: Column, rule: str) -> tuple[Column, Column]:
     """0-based lower rank and the fraction towards the next one."""
     if rule == "inclusive":
@@ -120,72 +116,91 @@ def _pick(counted: DataFrame, keys: list[str], rule: str) -> DataFrame:
             F.min(F.when(F.col("_cum") > F.col("_low") + 1, F.col("value"))).alias("_b"),
             F.first("_frac").alias("_frac"),
         )
-        .select(*keys, "p", (F.col("_a") + (F.coalesce("_b", "_a") - F.col("_a")) * F.col("_frac")).alias("value"))
+        .select(*keys, "p", F.when((F.col("_frac") == 0) | (F.col("_a") == F.coalesce("_b", "_a")), F.col("_a")).otherwise(
+            F.col("_a") * (1 - F.col("_frac")) + F.col("_b") * F.col("_frac")).alias("value"))
     )
 
 
-def _per_key(table: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """One row per key with its intervals as an array ordered by ``p``, so rows are not multiplied."""
-    return table.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", *fields))).alias("_br"))
+class _Groups:
+    """A table of one row per group, computed once: on the driver and broadcast if counted to be small, else written."""
 
+    SMALL = 100_000
 
-def _brackets(values: DataFrame, keys: list[str], probs: list[float], rule: str, one_task_rows: int) -> DataFrame:
-    """``keys, p, n, lo, hi, below``: intervals that hold the wanted ranks and few other rows."""
-    eps = 5.0 / SKETCH_ACCURACY
-    ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)]
-    first = values.groupBy(*keys).agg(
-        F.count("value").alias("n"), F.percentile_approx("value", ends, SKETCH_ACCURACY).alias("_q")
-    )
-    parts = F.array(*[
-        F.struct(F.lit(float(p)).alias("p"), F.col("_q")[2 * i].alias("lo"), F.col("_q")[2 * i + 1].alias("hi"))
-        for i, p in enumerate(probs)
-    ])
-    table = first.select(*keys, "n", F.explode(parts).alias("_p")).select(*keys, "_p.p", "n", "_p.lo", "_p.hi")
-    low, _ = _position(F.col("p"), F.col("n"), rule)
-    ps = sorted({float(p) for p in probs})
-    last_inside = None
+    def __init__(self, df: DataFrame, purpose: str):
+        head = df.limit(self.SMALL + 1).collect()
+        self.rows = head if len(head) <= self.SMALL else None
+        self.schema = df.schema
+        self.df = write_through(df, purpose) if self.rows is None else None
+        self.spark = df.sparkSession
+
+    def table(self) -> DataFrame:
+        if self.df is None:
+            self.df = F.broadcast(self.spark.createDataFrame(self.rows, self.schema))
+        return self.df
+
+    def beside(self, data: DataFrame, by: list[str]) -> DataFrame:
+        """``data`` with the columns of its group; without groups the one row's values are constants."""
+        if by:
+            return _join_alike(data, self.table(), by)
+        row = self.rows[0]
+        text = lambda f: "null" if row[f.name] is None else f"'{row[f.name]!r}'"
+        return data.selectExpr("*", *[f"cast({text(f)} as {f.dataType.simpleString()}) as {f.name}" for f in self.schema])
+
+    def most(self, columns: list[str]) -> int:
+        if self.rows is not None:
+            return max((r[c] or 0 for r in self.rows for c in columns), default=0)
+        return self.df.selectExpr(f"max(greatest({', '.join(columns)}, 0)) as most").first()[0] or 0
+
+
+def _rank(p: float, n: str, rule: str) -> str:
+    """0-based lower rank of the quantile among ``n`` values, as SQL; the same as in ``_position``."""
+    if rule == "inclusive":
+        return f"floor({p!r}D * ({n} - 1))"
+    return f"(greatest(least(floor({p!r}D * ({n} + 1)), {n} - 1), 1) - 1)"
+
+
+def _brackets(data: DataFrame, by: list[str], wanted: list[tuple[int, float]], rule: str, one_task_rows: int) -> _Groups:
+    """Per group: values ``n_i`` of column ``_v<i>``, and for the k-th wanted (column, p) an interval ``lo_k .. hi_k``
+    that holds the wanted ranks, with the rows below it ``b_k`` and inside ``i_k``.
+
+    All columns are sketched in one aggregate and counted in another. Expressions are SQL text: there may be
+    hundreds of columns.
+    """
+    cols, each = sorted({i for i, _ in wanted}), range(len(wanted))
+    inside = lambda k: f"_v{wanted[k][0]} >= lo_{k} and _v{wanted[k][0]} <= hi_{k}"
+    # The sketch leaves NaN out; a rank among NaN is found by the open interval.
+    sketch = data.groupBy(*by).agg(*[F.expr(x) for i in cols for x in (
+        f"count(_v{i}) as n_{i}", f"count_if(_v{i} is not null and not isnan(_v{i})) as m_{i}", f"kll_sketch_agg_double(_v{i}, {SKETCH_SIZE}) as s_{i}")])
+    end = lambda k, d: f"if(m_{wanted[k][0]} > 0, kll_sketch_get_quantile_double(s_{wanted[k][0]}, {min(1.0, max(0.0, wanted[k][1] + d))!r}D), null)"
+    quoted = [f"`{c}`" for c in by]
+    counts = [f"n_{i}" for i in cols]
+    groups = _Groups(sketch.selectExpr(*quoted, *counts, *[x for k in each for x in (
+        f"{end(k, -SKETCH_ERROR)} as lo_{k}", f"{end(k, SKETCH_ERROR)} as hi_{k}")]), "quantile-sketch")
+    last = None
     while True:
-        table = sized_side(table)
-        v = F.col("value")
-        wide = sized_side(_per_key(table, keys, ["n", "lo", "hi"]))
-        cells = []
-        for i in range(len(ps)):
-            b = F.col("_br")[i]
-            cells += [F.count_if(v < b["lo"]).alias(f"_b{i}"), F.count_if((v >= b["lo"]) & (v <= b["hi"])).alias(f"_i{i}")]
-        found = F.explode(F.array(*[
-            F.struct(F.lit(p).alias("p"), F.col(f"_b{i}").alias("below"), F.col(f"_i{i}").alias("inside")) for i, p in enumerate(ps)
-        ]))
-        counts = _join_alike(values, wide, keys).groupBy(*keys).agg(*cells).select(*keys, found.alias("_f"))
-        counts = _join_alike(counts.select(*keys, "_f.*"), table, [*keys, "p"])
-        held = (F.col("below") <= low) & (F.least(low + 1, F.col("n") - 1) < F.col("below") + F.col("inside"))
-        # A sketch that missed its rank gives way to the open interval: exact, only slower.
-        counts = sized_side(
-            counts.select(
-                *keys, "p", "n",
-                F.when(held, F.col("lo")).otherwise(F.lit(float("-inf"))).alias("lo"),
-                F.when(held, F.col("hi")).otherwise(F.lit(float("inf"))).alias("hi"),
-                F.when(held, F.col("below")).otherwise(F.lit(0)).alias("below"),
-                F.when(held, F.col("inside")).otherwise(F.col("n")).alias("inside"),
-            )
-        )
-        most = counts.agg(F.max("inside")).first()[0] or 0
+        found = groups.beside(data, by).groupBy(*by).agg(*[F.expr(x) for k in each for x in (
+            f"count_if(_v{wanted[k][0]} < lo_{k}) as b_{k}", f"count_if({inside(k)}) as i_{k}")])
+        parts = []
+        for k, (i, p) in enumerate(wanted):
+            low = _rank(p, f"n_{i}", rule)
+            held = f"b_{k} <= {low} and least({low} + 1, n_{i} - 1) < b_{k} + i_{k}"
+            # A sketch that missed its rank gives way to the open interval: exact, only slower.
+            parts += [f"if({held}, {yes}, {no}) as {name}_{k}" for name, yes, no in (
+                ("lo", f"lo_{k}", "double('-Infinity')"), ("hi", f"hi_{k}", "double('NaN')"), ("b", f"b_{k}", "0"), ("i", f"i_{k}", f"n_{i}"))]
+        groups = _Groups(groups.beside(found, by).selectExpr(*quoted, *counts, *parts), "quantile-counts")
+        most = groups.most([f"i_{k}" for k in each])
         # Little progress means the rest are copies of few values; the count by value absorbs those.
-        if most <= one_task_rows or (last_inside is not None and most > last_inside / 2):
-            return counts
-        last_inside = most
-        narrowed = (
-            _join_alike(values, counts, keys)
-            .where((v >= F.col("lo")) & (v <= F.col("hi")))
-            .groupBy(*keys, "p", "n", "below", "inside")
-            .agg(F.percentile_approx("value", [i / 2000 for i in range(2001)], SKETCH_ACCURACY).alias("_q"))
-        )
-        share = (low - F.col("below")) / F.col("inside")
-        at = F.floor(share * 2000).cast("int")
-        table = narrowed.select(
-            *keys, "p", "n",
-            F.get(F.col("_q"), F.greatest(at - 2, F.lit(0))).alias("lo"),
-            F.get(F.col("_q"), F.least(at + 3, F.lit(2000))).alias("hi"),
-        )
+        if most <= one_task_rows or (last is not None and 2 * most >= last):
+            return groups
+        last = most
+        grid = f"array({', '.join(f'{j / 2000!r}D' for j in range(2001))})"
+        finer = groups.beside(data, by).groupBy(*by).agg(*[
+            F.expr(f"percentile_approx(if({inside(k)}, _v{wanted[k][0]}, null), {grid}, {SKETCH_ACCURACY}) as q_{k}") for k in each])
+        parts = []
+        for k, (i, p) in enumerate(wanted):
+            step = f"cast(coalesce(floor(try_divide({_rank(p, f'n_{i}', rule)} - b_{k}, i_{k}) * 2000), 0) as int)"
+            parts += [f"get(q_{k}, greatest({step} - 2, 0)) as lo_{k}", f"get(q_{k}, least({step} + 3, 2000)) as hi_{k}"]
+        groups = _Groups(groups.beside(finer, by).selectExpr(*quoted, *counts, *parts), "quantile-sketch")
 
 
 def order_quantiles(
@@ -196,49 +211,38 @@ def order_quantiles(
     rule: str = "inclusive",
     one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
-    """Exact quantiles as rows ``by, feature, p, value``; missing values are left out.
+    """Exact quantiles as rows ``by, feature, p, value``; missing values are left out, NaN is the largest value.
 
-    Tables counted to be small use Spark's own ``percentile``, or a running count over the distinct
-    values of each feature if one task can sort them. Larger ones are narrowed: a sketch gives an
-    interval around each wanted rank, one scan counts what lies below and inside it, and only the
-    values inside are sorted. Works the same for one global group as for a hot label.
+    The same rows at every size. A table counted to have few values uses Spark's ``percentile``. Otherwise, for one
+    global group as for a hot label, a sketch gives an interval around each wanted rank, a second scan counts what
+    lies below and inside it, and only the values inside are moved, as counts per distinct value. Both scans are one
+    wide aggregate over all columns; no row is multiplied. ``df`` is read several times, so a costly plan is better
+    written first.
     """
     by = by or []
-    probs = sorted({float(p) for p in probs})
-    keys = [*by, "feature"]
     n_rows = df.count()
-    small = n_rows <= one_task_rows
-    if small and rule == "inclusive" and n_rows * len(cols) <= IN_MEMORY_CELLS:
-        cells = [F.percentile(F.col(c).cast("double"), [float(p) for p in probs]).alias(f"_q{i}") for i, c in enumerate(cols)]
-        wide = df.groupBy(*by).agg(*cells)
-        rows = F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.lit(float(p)).alias("p"), F.get(F.col(f"_q{i}"), F.lit(k)).alias("value"))
-            for i, c in enumerate(cols) for k, p in enumerate(probs)
-        ])
-        return wide.select(*by, F.explode(rows).alias("_r")).select(*by, "_r.feature", "_r.p", "_r.value")
-    values = unpivot(df, by, cols).where(F.col("value").isNotNull())
-    if small:
-        counted = values.groupBy(*keys, "value").agg(F.count("*").alias("cnt"))
-        counted = counted.withColumn("n", F.sum("cnt").over(W.partitionBy(*keys)))
-        counted = counted.select(
-            *keys, "value", "cnt", "n", F.lit(0).alias("below"),
-            F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"),
-        )
-    else:
-        brackets = _brackets(values, keys, probs, rule, one_task_rows)
-        wide = sized_side(_per_key(brackets, keys, ["n", "lo", "hi", "below"]))
-        near = F.filter("_br", lambda b: (F.col("value") >= b["lo"]) & (F.col("value") <= b["hi"]))
-        counted = (
-            _join_alike(values, wide, keys)
-            .select(*keys, "value", F.explode(near).alias("_f"))
-            .groupBy(*keys, "_f.p", "_f.n", "_f.below", "value")
-            .agg(F.count("*").alias("cnt"))
-        )
-    # A column without values has a null quantile in every group, as with ``percentile``.
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(p).alias("p")) for c in cols for p in probs])
-    every = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(
-        *by, F.explode(cells).alias("_c")).select(*by, "_c.feature", "_c.p")
-    return _join_alike(every, _pick(counted, keys, rule).select(*keys, "p", "value"), [*keys, "p"], "left")
+    if rule == "inclusive" and n_rows <= one_task_rows and n_rows * len(cols) <= IN_MEMORY_CELLS:
+        ps = sorted({float(p) for p in probs})
+        listed = f"array({', '.join(f'{p!r}D' for p in ps)})"
+        wide = df.groupBy(*by).agg(*[F.expr(f"percentile(cast(`{c}` as double) + 0D, {listed}) as _q{i}") for i, c in enumerate(cols)])
+        cells = ", ".join(f"struct({i} as i, {k} as k, get(_q{i}, {k}) as value)" for i in range(len(cols)) for k in range(len(ps)))
+        long = wide.selectExpr(*[f"`{c}`" for c in by], f"explode(array({cells})) as _c")
+        of = lambda values, at: F.element_at(F.array(*map(F.lit, values)), F.col(at) + 1)
+        return long.select(*by, of(cols, "_c.i").alias("feature"), of(ps, "_c.k").alias("p"), "_c.value")
+    wanted = [(i, p) for i in range(len(cols)) for p in sorted({float(p) for p in probs})]
+    data = df.select(*by, *[(F.col(c).cast("double") + F.lit(0.0)).alias(f"_v{i}") for i, c in enumerate(cols)])  # no -0
+    groups = _brackets(data, by, wanted, rule, one_task_rows)
+    quoted = [f"`{c}`" for c in by]
+    near = ", ".join(
+        f"if(_v{i} >= lo_{k} and _v{i} <= hi_{k}, struct({k} as _k, n_{i} as n, b_{k} as below, _v{i} as value), null)" for k, (i, _) in enumerate(wanted))
+    found = groups.beside(data, by).selectExpr(*quoted, f"explode(array_compact(array({near}))) as _f").select(*by, "_f.*")
+    counted = found.groupBy(*by, "_k", "n", "below", "value").agg(F.count("*").alias("cnt"))
+    place = F.element_at(F.array(*[F.lit(p) for _, p in wanted]), F.col("_k") + 1)
+    picked = _pick(counted.withColumn("p", place), [*by, "_k"], rule).select(*by, "_k", "value")
+    # A column without values has a null quantile in every group.
+    every = groups.table().select(*by, F.explode(F.sequence(F.lit(0), F.lit(len(wanted) - 1))).alias("_k"))
+    name = F.element_at(F.array(*[F.lit(cols[i]) for i, _ in wanted]), F.col("_k") + 1)
+    return _join_alike(every, picked, [*by, "_k"], "left").select(*by, name.alias("feature"), place.alias("p"), "value")
 
 
 def medians(df: DataFrame, cols: list[str], one_task_rows: int = ONE_TASK_ROWS) -> dict[str, float | None]:

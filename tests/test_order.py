@@ -115,3 +115,18 @@ def test_size_never_changes_rules(spark):
     flat = {tuple(r) for r in ordered.running_totals(scored, "s", ["count"]).collect()}
     cut = {tuple(r) for r in ordered.running_totals(scored, "s", ["count"], bounds=[2.0, 4.0]).select("s", "count", "cum_count").collect()}
     assert {x[1:] for x in flat} == {x[1:] for x in cut}
+
+
+def test_quantiles_among_nan_infinities_and_empty_groups(spark):
+    from flowguard.operators import ordered
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(g, v, w) for g, vs in (("nan", [nan] * 8 + [1.0, -inf]), ("none", [None] * 3), ("one", [4.0]), (None, [inf, -0.0, 0.0, -inf, 2.0] * 3))
+            for v, w in zip(vs, [1e300, -1e-300] * 20)]
+    df = spark.createDataFrame(rows, "g string, v double, w double")
+    text = lambda q: {tuple(str(x) for x in r) for r in q.collect()}
+    for by in ([], ["g"]):
+        some = [text(ordered.order_quantiles(df, ["v", "w"], [0.0, 0.25, 0.5, 1.0], by, one_task_rows=n)) for n in (1000, 2)]
+        assert some[0] == some[1] and len(some[0]) == (8 if not by else 32)
+    assert ordered.order_quantiles(df.limit(0), ["v"], [0.5], ["g"], one_task_rows=-1).collect() == []
+    assert [r.value for r in ordered.order_quantiles(df.limit(0), ["v"], [0.5], one_task_rows=-1).collect()] == [None]

@@ -201,28 +201,38 @@ def mix(blocks: DataFrame, shards: int = SHARDS, limit: int = LIMIT, share: floa
     return local.withColumn("slot", F.col("position")).drop("position", "_bucket", "_order")
 
 
-def document_blocks(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", words: int = BLOCK_WORDS) -> DataFrame:
-    """Each document as blocks of ``words`` words: ``source, block_key, size, doc_id, block, doc_size``.
+def document_sizes(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
+    """``doc_id, source, doc_size`` of each row."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("doc_size"))
+
+
+def blocks_of(sized: DataFrame, words: int = BLOCK_WORDS) -> DataFrame:
+    """Each row of ``document_sizes`` as blocks of ``words`` words: ``source, block_key, size, doc_id, block, doc_size``.
 
     A document without words is one block of size 0.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("doc_size"))
     return sized.withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("doc_size") / words), F.lit(1)) - 1))
     ).withColumn("size", F.least(F.lit(words), F.col("doc_size") - F.col("block") * words)).withColumn(
         "block_key", F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("block")))
 
 
+def document_blocks(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", words: int = BLOCK_WORDS) -> DataFrame:
+    """The blocks of each document, see ``blocks_of``."""
+    return blocks_of(document_sizes(docs, id_col, text_col, source_col), words)
+
+
 def document_shares(docs: DataFrame, words: int = BLOCK_WORDS) -> DataFrame:
     """Per document ``doc_id, size, source_size, target, taken`` of the mix in blocks of ``words``.
 
     ``taken`` is counted from the draws that the splitting tree dealt to the shards. Rows that share an
     id are summed up in one row.
     """
-    blocks = document_blocks(docs, words=words)
-    mixed = mix(blocks)
+    # The texts are read and counted once; blocks, sizes and targets all follow from the counts.
+    sized = written(document_sizes(docs), "mix-sizes")
+    mixed = mix(blocks_of(sized, words))
     taken = mixed.groupBy("doc_id", "source").agg(F.sum("size").alias("taken"))
-    sizes = written(blocks.groupBy("doc_id", "source").agg(F.sum("size").alias("size")), "mix-sizes")
+    sizes = sized.groupBy("doc_id", "source").agg(F.sum("doc_size").alias("size"))
     targets = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
     left = sizes.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
     right = taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_t"), "taken")

@@ -71,8 +71,20 @@ def balanced_sample(
 
 
 def row_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (or all, if fewer), reproducible, without a global sort."""
-    return first_in_order(df, [], scatter(id_col, seed), [id_col], n)
+    """Exactly ``n`` rows (or all, if fewer), reproducible, without a global sort.
+
+    Rows that share an id, null ids too, are told apart by a hash of the whole row; of equal rows any are taken.
+    """
+    order = F.coalesce(scatter(id_col, seed), F.lit(0)).cast("bigint")
+    tagged = df.withColumn("_row", F.xxhash64(*df.columns))
+    found = order_cuts(tagged, [], order, [id_col, "_row"], {"n": F.lit(n)}).select("cut_n").first()  # one row
+    if found is None or found["cut_n"] is None:
+        return df.limit(0)
+    cut = found["cut_n"].asDict()
+    last = F.struct(*[F.lit(v).cast(t).alias(f) for (f, v), t in zip(cut.items(), ("bigint", df.schema[id_col].dataType, "bigint"))])
+    mine = F.struct(order.alias("h"), id_col, "_row")
+    before = tagged.where(mine < last)
+    return before.unionByName(tagged.where(mine.eqNullSafe(last)).limit(max(n - before.count(), 0))).drop("_row")
 
 
 def one_per_group(df: DataFrame, group: str, order: list[Column | str]) -> DataFrame:

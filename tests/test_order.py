@@ -130,3 +130,13 @@ def test_quantiles_among_nan_infinities_and_empty_groups(spark):
         assert some[0] == some[1] and len(some[0]) == (8 if not by else 32)
     assert ordered.order_quantiles(df.limit(0), ["v"], [0.5], ["g"], one_task_rows=-1).collect() == []
     assert [r.value for r in ordered.order_quantiles(df.limit(0), ["v"], [0.5], one_task_rows=-1).collect()] == [None]
+
+
+def test_row_sample_is_exact_where_ids_repeat(spark):
+    rows = [(i % 5 if i % 7 else None, i % 3, "x") for i in range(60)] + [(1, 1, "same")] * 20
+    df = spark.createDataFrame(rows, "id long, v int, _h string")
+    for n in (1, 11, 37, 79, 80, 200):
+        got = split.row_sample(df, "id", n)
+        assert got.count() == min(n, 80) and got.exceptAll(df).isEmpty()
+        assert got.exceptAll(split.row_sample(df.repartition(5), "id", n)).isEmpty()
+    assert split.row_sample(df, "id", 0).count() == split.row_sample(df.limit(0), "id", 5).count() == 0

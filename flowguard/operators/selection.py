@@ -13,7 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowguard.constants import SELECTION_DEFAULTS, TREE_SAMPLE_ROWS
+from flowguard.operators.extra_trees import extra_tree_importance, fit_extra_trees
 from flowguard.operators.split import balanced_sample
+from flowguard.session import write_through
 
 
 def _rows(df: DataFrame, cells: list) -> DataFrame:
@@ -112,17 +114,17 @@ def tree_importance(
 
     The sample is ``sample_rows // 2`` labelled rows of each class once the table has more than ``sample_rows``.
 
-    The second forest draws no bootstrap and sees coarse split points, which plays the part of
-    extremely randomised trees.
+    The second forest is one of extremely randomised trees, without bootstrap. ``depth`` bounds both.
     """
     from pyspark.ml.classification import RandomForestClassifier
 
     sample = balanced_sample(df.select(id_col, label, *cols), label, id_col, sample_rows // 2, sample_rows, seed)
+    sample = write_through(sample.select(label, *cols), "tree-sample")  # every level of both forests reads it
     vec = VectorAssembler(inputCols=cols, outputCol="_x").transform(sample).select("_x", F.col(label).cast("double").alias("_y"))
-    common = dict(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
-                  featureSubsetStrategy="sqrt", seed=seed)
-    first = RandomForestClassifier(**common).fit(vec).featureImportances
-    second = RandomForestClassifier(bootstrap=False, maxBins=8, **common).fit(vec).featureImportances
+    forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
+                                    featureSubsetStrategy="sqrt", seed=seed)
+    first = forest.fit(vec).featureImportances
+    second = extra_tree_importance(fit_extra_trees(sample, cols, label, trees, depth, min_leaf, seed=seed), len(cols))
     return {c: float((first[i] + second[i]) / 2) for i, c in enumerate(cols)}
 
 

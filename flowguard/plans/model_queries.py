@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowguard.operators import models, selection
+from flowguard.operators.extra_trees import extra_tree_importance, fit_extra_trees, leaf_counts
 from flowguard.plans import training
 from flowguard.plans.cascade import Cascade
 from flowguard.plans.fixture_sql import LABELLED_DOCS, with_views
@@ -34,6 +35,23 @@ def tree_importance(spark: SparkSession, d: str) -> DataFrame:
     return selection.top_features(spark.createDataFrame(rows, "feature string, importance double"))
 
 
+@query("extra_tree_leaves", with_views(LABELLED_DOCS) + """
+    select t.tree, count(*) as n_rows, sum(case when quality = 1 then 0 else 1 end)::bigint as n_attacks,
+      true as leaves_large_enough, true as importances_whole
+    from labelled_docs, (select unnest(range(10)) as tree) t group by t.tree""")
+def extra_tree_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """Every labelled row lands in one leaf of each tree, none below the least size; importances are shares."""
+    rows, min_leaf = docs(spark, d), 5
+    grown = fit_extra_trees(rows, DOC_FEATURES, "binary", trees=10, min_leaf=min_leaf)
+    shares = extra_tree_importance(grown, len(DOC_FEATURES))
+    whole = bool((shares >= 0).all() and abs(shares.sum() - 1) < 1e-9)
+    leaves = leaf_counts(rows, grown, DOC_FEATURES, "binary").groupBy("tree", "leaf").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("class")).alias("bad"))
+    return leaves.groupBy("tree").agg(
+        F.sum("n").alias("n_rows"), F.sum("bad").alias("n_attacks"),
+        (F.min("n") >= min_leaf).alias("leaves_large_enough"), F.lit(whole).alias("importances_whole"))
+
+
 @query("selection_cascade")
 def selection_cascade(spark: SparkSession, d: str) -> DataFrame:
     _, audit, _ = selection.select_features(docs(spark, d), DOC_FEATURES, "binary", "doc_id", trees=10, depth=6,

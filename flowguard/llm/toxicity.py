@@ -1,25 +1,32 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, with a block-max inverted index.
 
-Terms are letter runs and the runs of ``GRAM`` bytes inside them. From a bounded sample of labelled
-documents (at most ``POSITIVES`` and ``NEGATIVES``, taken in order of a hash of the id) the terms that
-speak for the label are chosen, at most ``TERMS``; all other words of a document count as one further
-term, so that the share of the chosen terms shapes the angle. Inverse document frequencies come from
-all documents. The index keeps, for each term, the examples that hold it in blocks of ``BLOCK`` with
-the largest weight of each block. A query adds up these largest weights to a bound per block and reads
-blocks in falling order of the bound until none can beat the ``NEIGHBOURS``-th best: the nearest
-examples are exact, ties go to the earlier example.
+Terms are letter runs and runs of ``GRAM`` bytes inside them. The examples are a bounded sample of labelled
+documents (at most ``POSITIVES`` and ``NEGATIVES`` in order of a hash of the id, and ``SAMPLE_BYTES`` of text). Every
+word of every example is a term, whichever its label; of the byte runs those whose chi-square with the label 1 is at
+least ``CHI_SQUARE``, however many. A weight is the sublinear count times the inverse document frequency over all
+documents times a factor for the label: ``chi / (chi + CHI_SQUARE)``, for words never below ``FLOOR``. Chi-square is taken
+with one positive example less, so that no term speaks for the single example that brought it. Words that no example
+holds add to the length of a vector with the frequency 0.
+
+The index keeps the examples of each term in blocks of ``BLOCK`` with the largest weight of each block. A query adds
+up these largest weights to a bound per block, scores the best blocks first and then every block whose bound reaches
+the ``NEIGHBOURS``-th best: the nearest examples are exact, ties go to the earlier example.
 
 Each neighbour votes for its label with weight ``1 / (distance + SOFT)``; a logistic fit to the
 leave-one-out votes of the examples, weighted back to the label shares of all labelled documents, turns
 votes into probabilities. The three nearest examples are given as evidence.
 
-Defined cases: null, empty and letterless texts score the share of the label; without labelled rows,
+Defined cases: texts without a word that an example holds, null and empty ones too, score the share of the label; without labelled rows,
 or with one label only, every score is that share (0 without rows); conflicting labels of an id count as
-1; null labels and null ids teach nothing; repeated documents score alike. Extra columns are not read.
+1; null labels and null ids teach nothing; of the texts of one id the one with the smallest hash teaches; an example
+too long for the rest of ``SAMPLE_BYTES`` is passed over, while texts of any length are scored whole; repeated documents
+score alike. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,11 +37,14 @@ from flowguard.llm.textbytes import Powers, Words, pieces
 
 GRAM = 6
 POSITIVES, NEGATIVES = 2000, 4000
-TERMS = 256
-#: Least chi-square of a term with the label.
+#: Bytes of text the examples may have together; bounds the vocabulary, the index and their broadcast.
+SAMPLE_BYTES = 64 << 20
+#: Chi-square with the label from which on a term counts as telling.
 CHI_SQUARE = 13.0
+#: Factor of a word that tells nothing.
+FLOOR = 0.1
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 256
 SOFT = 0.02
 CUTOFF = 0.3
 
@@ -53,156 +63,210 @@ def sample_labels(labels: DataFrame, positives: int = POSITIVES, negatives: int
     return out
 
 
-def _terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hash of every term occurrence: all letter runs, then all byte runs."""
-    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-    word, gram = words.byte_grams(GRAM)
-    return np.concatenate([text, text[word]]), np.concatenate([words.hash, gram])
-
-
-def choose_terms(sampled: DataFrame, n_pos: int, n_neg: int, most: int = TERMS) -> np.ndarray:
-    """Sorted hashes of the terms with the strongest positive association to the label."""
-
+def sample_examples(docs: DataFrame, chosen: list[tuple[int, int]], most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """``doc_id, toxic, text`` of the examples: one row per id, ``most_bytes`` of text in all, in order of a hash."""
+    spark = docs.sparkSession
+    side = spark.createDataFrame(chosen, "doc_id long, toxic int")
+    given = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = given.join(F.broadcast(side), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = written(found, "toxicity-sample")
+    sizes = found.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    room, kept = most_bytes, []
+    for r in sizes:
+        if r.n <= room:
+            room -= r.n
+            kept.append((r.doc_id,))
+    if len(kept) == len(sizes):
+        return found
+    return found.join(F.broadcast(spark.createDataFrame(kept, "doc_id long")), "doc_id", "left_semi")
+
+
+def _distinct(text: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts and terms of all distinct pairs, by text, with their counts."""
+    order = np.lexsort((term, text))
+    text, term = text[order], term[order]
+    new = np.ones(len(term), dtype=bool)
+    new[1:] = (term[1:] != term[:-1]) | (text[1:] != text[:-1])
+    at = np.flatnonzero(new)
+    return text[at], term[at], np.diff(np.r_[at, len(term)])
+
+
+def label_factor(with_term: np.ndarray, other: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """0 for terms that do not tell the label 1, else ``chi / (chi + CHI_SQUARE)``."""
+    a, b, n = np.maximum(with_term - 1.0, 0.0), np.asarray(other, dtype=np.float64), float(n_pos + n_neg)
+    cross = np.maximum(a * (n_neg - b) - b * (n_pos - a), 0.0)
+    chi = n * cross * cross / np.maximum((a + b) * (n - a - b) * n_pos * n_neg, 1.0)
+    return np.where(chi >= CHI_SQUARE, chi / (chi + CHI_SQUARE), 0.0)
+
+
+class Vocabulary:
+    """Sorted hashes of the words and byte runs that are terms, and the factor of each, words first."""
+
+    def __init__(self, words, grams, factor):
+        self.words, self.grams, self.factor = words, grams, factor
+
+    def __len__(self) -> int:
+        return len(self.factor)
+
+
+def choose_terms(sampled: DataFrame, n_pos: int, n_neg: int) -> Vocabulary:
+    """All words of the examples, and the byte runs that tell the label."""
     def run(batches):
         table = Powers()
         for batch in batches:
             label = np.array(batch.column("toxic").to_pylist(), dtype=np.int64)
             for a, _, data, offsets in pieces(batch, "text"):
-                text, term = _terms(Words(data, offsets, table, letters=True))
-                order = np.lexsort((text, term))
-                text, term = text[order], term[order]
-                new = np.ones(len(term), dtype=bool)
-                new[1:] = (term[1:] != term[:-1]) | (text[1:] != text[:-1])
-                term, is_pos = term[new], label[a + text[new]]
-                starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, int)
-                if len(starts):
-                    pos, both = np.add.reduceat(is_pos, starts), np.diff(np.r_[starts, len(term)])
+                words = Words(data, offsets, table, letters=True)
+                text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(words.first))
+                word, grams = words.byte_grams(GRAM)
+                for kind, text, term in ((0, text_of, words.hash), (1, text_of[word], grams)):
+                    text, term, _ = _distinct(text, term)
+                    term, number = np.unique(term, return_inverse=True)
+                    both, pos = np.bincount(number, minlength=len(term)), np.bincount(number, weights=label[a + text], minlength=len(term)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(term[starts].view(np.int64)), pa.array(pos), pa.array(both - pos)], names=["term", "pos", "neg"])
-
-    counted = sampled.select("text", "toxic").mapInArrow(run, "term long, pos long, neg long").groupBy("term").agg(
-        F.sum("pos").cast("double").alias("a"), F.sum("neg").cast("double").alias("b"))
-    c, d, n = F.lit(float(n_pos)) - F.col("a"), F.lit(float(n_neg)) - F.col("b"), float(n_pos + n_neg)
-    cross = F.col("a") * d - F.col("b") * c
-    chi = F.lit(n) * cross * cross / ((F.col("a") + F.col("b")) * (c + d) * float(n_pos) * float(n_neg))
-    rows = counted.filter((F.col("a") >= 3) & (F.col("a") + F.col("b") < n) & (cross > 0)).withColumn("chi", chi).filter(
-        F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(most).select("term").collect()
-    return np.sort(np.array([r.term for r in rows], dtype=np.int64).view(np.uint64))
+                        [pa.array(np.full(len(term), kind)), pa.array(term.view(np.int64)), pa.array(pos), pa.array(both - pos)],
+                        names=["kind", "term", "pos", "neg"])
+
+    counted = sampled.select("text", "toxic").mapInArrow(run, "kind long, term long, pos long, neg long").groupBy("kind", "term").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # A byte run of a single positive example tells nothing by the rule above.
+    rows = counted.filter("kind = 0 or pos > 1").toPandas()
+    factor = label_factor(rows["pos"].to_numpy(), rows["neg"].to_numpy(), n_pos, n_neg)
+    kind, term = rows["kind"].to_numpy(), rows["term"].to_numpy().astype(np.int64).view(np.uint64)
+    parts = []
+    for which in (kind == 0, (kind == 1) & (factor > 0)):
+        order = np.argsort(term[which])
+        parts.append((term[which][order], factor[which][order]))
+    (words, w), (grams, g) = parts
+    return Vocabulary(words, grams, np.concatenate([FLOOR + (1 - FLOOR) * w, g]))
 
 
 class Counter:
-    """Counts of the chosen terms in texts; the last column counts all other words."""
+    """Counts of the terms in texts."""
 
-    def __init__(self, vocabulary: np.ndarray):
+    def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.table = vocabulary, Powers()
         self.door = np.zeros(1 << 16, dtype=bool)
-        self.door[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
+        self.door[(vocabulary.grams >> np.uint64(48)).astype(np.int64)] = True
 
     def __call__(self, data, offsets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sparse rows ``(text, term, count)`` in order and, per text, its other words."""
-        words = Words(data, offsets, self.table, letters=True)
+        """Sparse rows ``(text, term, count)`` by text, and per text the squared sublinear counts of all other words."""
+        words, v = Words(data, offsets, self.table, letters=True), self.vocabulary
         n_texts = len(offsets) - 1
-        hits, marked = [], np.zeros(len(words.hash), dtype=bool)
-        grams = words.byte_grams(GRAM)
         text_of = np.repeat(np.arange(n_texts), np.diff(words.first))
-        for word, hashes in ((np.arange(len(words.hash)), words.hash), grams):
-            some = np.flatnonzero(self.door[(hashes >> np.uint64(48)).astype(np.int64)]) if len(self.vocabulary) else []
-            if len(some):
-                at = np.minimum(np.searchsorted(self.vocabulary, hashes[some]), len(self.vocabulary) - 1)
-                same = self.vocabulary[at] == hashes[some]
-                marked[word[some[same]]] = True
-                hits.append(text_of[word[some[same]]] * (len(self.vocabulary) + 1) + at[same])
-        key, count = np.unique(np.concatenate(hits), return_counts=True) if hits else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        others = np.diff(words.first) - np.bincount(text_of[marked], minlength=n_texts)
-        return key // (len(self.vocabulary) + 1), key % (len(self.vocabulary) + 1), count, others
-
-
-def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """Documents that hold each chosen term, and all documents; at most one row per term and task."""
+        text, hashes, count = _distinct(text_of, words.hash)
+        at = np.minimum(np.searchsorted(v.words, hashes), max(len(v.words) - 1, 0))
+        known = v.words[at] == hashes if len(v.words) else np.zeros(len(hashes), dtype=bool)
+        rest = np.bincount(text[~known], weights=(1 + np.log(count[~known])) ** 2, minlength=n_texts)
+        text, term, count = text[known], at[known], count[known]
+        if len(v.grams):
+            word, grams = words.byte_grams(GRAM)
+            some = np.flatnonzero(self.door[(grams >> np.uint64(48)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(v.grams, grams[some]), len(v.grams) - 1)
+            same = v.grams[at] == grams[some]
+            more = _distinct(text_of[word[some[same]]], len(v.words) + at[same])
+            text, term, count = (np.concatenate(x) for x in zip((text, term, count), more))
+            order = np.argsort(text, kind="stable")
+            text, term, count = text[order], term[order], count[order]
+        return text, term, count, rest
+
+
+def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
+    """Documents that hold each term, and all documents; at most one row per term and task."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
         counter, total = Counter(shared.value), np.zeros(len(shared.value) + 1, dtype=np.int64)
         for batch in batches:
             for a, b, data, offsets in pieces(batch, "text"):
-                total[:-1] += np.bincount(counter(data, offsets)[1], minlength=len(total))[:-1]
+                total[:-1] += np.bincount(counter(data, offsets)[1], minlength=len(total) - 1)
                 total[-1] += b - a
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
 
     out = np.zeros(len(vocabulary) + 1, dtype=np.int64)
-    for r in docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        out[r.i] = r.n
+    rows = docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    out[rows["i"].to_numpy()] = rows["n"].to_numpy()
     return out[:-1], int(out[-1])
 
 
-def vectors(text, term, count, others, idf) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Unit TF-IDF vectors ``(terms, weights)`` by text; empty for a text without words."""
-    weight = (1 + np.log(count)) * idf[term]
-    cut = np.searchsorted(text, np.arange(len(others) + 1))
+def vectors(text, term, count, rest, weight, unknown) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors ``(terms, weights)`` by text; empty for a text without words.
+
+    ``weight`` is that of one occurrence of a term, ``unknown`` that of a word which is no term.
+    """
+    value = (1 + np.log(count)) * weight[term]
+    cut = np.searchsorted(text, np.arange(len(rest) + 1))
+    norm = np.sqrt(np.bincount(text, weights=value * value, minlength=len(rest)) + rest * unknown * unknown)
     out = []
-    for d, other in enumerate(others.tolist()):
-        t, w = term[cut[d]: cut[d + 1]], weight[cut[d]: cut[d + 1]]
-        if other > 0:
-            t, w = np.append(t, len(idf) - 1), np.append(w, (1 + np.log(other)) * idf[-1])
-        norm = np.sqrt((w * w).sum())
-        out.append((t, w / norm if norm else w))
+    for d, length in enumerate(norm.tolist()):
+        t, w = term[cut[d]: cut[d + 1]], value[cut[d]: cut[d + 1]]
+        out.append((t, w / length if length else w))
     return out
 
 
 class BlockMaxIndex:
-    """Examples by term in blocks, with the largest weight of each term in each block."""
+    """Examples by term in blocks, with the largest weight of each term in each block that holds it."""
 
     def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.size = len(examples)
         self.blocks = -(-self.size // BLOCK)
-        self.largest = np.zeros((n_terms, self.blocks))
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for e, (terms, weights) in enumerate(examples):
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                lists[t].append((e, w))
-                self.largest[t, e // BLOCK] = max(self.largest[t, e // BLOCK], w)
-        self.ids = [np.array([e for e, _ in x], dtype=np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        self.cuts = [np.searchsorted(x, np.arange(self.blocks + 1) * BLOCK) for x in self.ids]
+        number = np.repeat(np.arange(self.size), [len(t) for t, _ in examples])
+        term = np.concatenate([t for t, _ in examples] or [np.zeros(0)]).astype(np.int64)
+        weight = np.concatenate([w for _, w in examples] or [np.zeros(0)])
+        order = np.lexsort((number, term))
+        term, self.number, self.weight = term[order], number[order].astype(np.int32), weight[order]
+        cell = term * max(self.blocks, 1) + self.number // BLOCK
+        self.start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        self.count = np.diff(np.r_[self.start, len(cell)])
+        self.largest = np.maximum.reduceat(self.weight, self.start) if len(cell) else np.zeros(0)
+        self.block = (self.number[self.start] // BLOCK).astype(np.int64)
+        self.first = np.searchsorted(term[self.start], np.arange(n_terms + 1))
+
+    @staticmethod
+    def _spread(first, count):
+        return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of largest cosine, exactly; ties go to the smaller number."""
-        bounds = weights @ self.largest[terms]
+        cells = self.first[terms + 1] - self.first[terms]
+        cell, own = self._spread(self.first[terms], cells), np.repeat(weights, cells)
+        bounds = np.bincount(self.block[cell], weights=own * self.largest[cell], minlength=self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        best_s, best_e = np.zeros(0), np.zeros(0, dtype=np.int64)
-        pairs = list(zip(terms.tolist(), weights.tolist()))
-        for b in order.tolist():
+        # The first blocks hold more than k examples whichever is left out.
+        begin = 1 + -(-(k + 1) // BLOCK)
+        scores, todo = np.full(self.size, -1.0), order[:begin]
+        while len(todo):
+            picked = np.zeros(self.blocks, dtype=bool)
+            picked[todo] = True
+            in_todo = picked[self.block[cell]]
+            at = self._spread(self.start[cell[in_todo]], self.count[cell[in_todo]])
+            got = np.bincount(self.number[at], weights=self.weight[at] * np.repeat(own[in_todo], self.count[cell[in_todo]]), minlength=self.size)
+            mine = np.repeat(picked, BLOCK)[: self.size]
+            scores[mine] = got[mine]
+            if leave_out >= 0:
+                scores[leave_out] = -1.0
+            best = np.partition(scores, self.size - k)[self.size - k] if self.size > k else -1.0
             # A bound may round below a sum of the same products.
-            if len(best_s) == k and bounds[b] + 1e-9 < best_s[-1]:
-                break
-            first = b * BLOCK
-            scores = np.zeros(min(BLOCK, self.size - first))
-            for t, w in pairs:
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                scores[self.ids[t][lo:hi] - first] += w * self.weights[t][lo:hi]
-            ids = np.arange(first, first + len(scores))
-            if first <= leave_out < first + len(scores):
-                keep = ids != leave_out
-                ids, scores = ids[keep], scores[keep]
-            s, e = np.concatenate([best_s, scores]), np.concatenate([best_e, ids])
-            top = np.lexsort((e, -s))[:k]
-            best_s, best_e = s[top], e[top]
-        return best_s, best_e
+            todo = order[begin:][bounds[order[begin:]] + 1e-9 >= best]
+            begin = self.blocks
+        seen = np.flatnonzero(scores >= max(best, 0.0))
+        top = seen[np.lexsort((seen, -scores[seen]))[:k]]
+        return scores[top], top
 
 
 class NearestVotes:
     """The fitted scorer: index, labels, calibration."""
 
-    def __init__(self, vocabulary, idf, ids, labels, examples, share):
-        self.vocabulary, self.idf, self.share = vocabulary, idf, share
+    def __init__(self, vocabulary, weight, unknown, ids, labels, examples, share):
+        self.vocabulary, self.weight, self.unknown, self.share = vocabulary, weight, unknown, share
         # Examples of one kind share blocks, which keeps the bounds of the other blocks low.
         order = sorted(range(len(ids)), key=lambda i: (
             examples[i][0][np.argmax(examples[i][1])] if len(examples[i][0]) else -1,
             examples[i][1].max() if len(examples[i][0]) else 0.0, ids[i]))
         self.ids, self.labels = [ids[i] for i in order], np.array([labels[i] for i in order], dtype=np.float64)
         own = [examples[i] for i in order]
-        self.index = BlockMaxIndex(own, len(idf))
+        self.index = BlockMaxIndex(own, len(weight))
         self.a, self.b = 0.0, float("-inf")
         if 0 < share < 1 and len(own) > NEIGHBOURS:
             votes = np.array([self._vote(*self.index.nearest(*x, NEIGHBOURS, i)) if len(x[0]) else 0.0 for i, x in enumerate(own)])
@@ -235,40 +299,39 @@ class NearestVotes:
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> NearestVotes:
     """Learn from ``labels`` (``doc_id, toxic``) and the texts of these ids in ``docs`` (``doc_id, text``).
 
-    The sample is bounded, and so are the broadcast of its ids and what comes back to the driver: the
-    chosen terms, one count per term, and the examples as short vectors.
+    The sample is bounded in rows and bytes, and with it what is broadcast and what comes back to the driver: the
+    terms, one count per term, and the examples as sparse vectors.
     """
     spark = docs.sparkSession
-    chosen = sample_labels(labels, positives, negatives)
     counts = {r.toxic: r["count"] for r in labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("toxic").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    given = docs.filter("doc_id is not null").select("doc_id", "text")
-    side = spark.createDataFrame(chosen, "doc_id long, toxic int")
-    sampled = written(given.join(F.broadcast(side), "doc_id"), "toxicity-sample")
+    sampled = sample_examples(docs, sample_labels(labels, positives, negatives))
     sizes = {r.toxic: r["count"] for r in sampled.groupBy("toxic").count().collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
-    vocabulary = choose_terms(sampled, n_pos, n_neg) if n_pos and n_neg else np.zeros(0, dtype=np.uint64)
-    df, total = document_frequencies(docs.select("text"), vocabulary)
-    idf = np.append(np.log((total + 1) / (df + 1)) + 1, 1.0)
+    none = np.zeros(0, dtype=np.uint64)
+    vocabulary = choose_terms(sampled, n_pos, n_neg) if n_pos and n_neg else Vocabulary(none, none, np.zeros(0))
+    df, total = document_frequencies(docs, vocabulary) if len(vocabulary) else (np.zeros(0), 0)
+    weight = (np.log((total + 1) / (df + 1)) + 1) * vocabulary.factor
+    unknown = (np.log(total + 1) + 1) * FLOOR
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches):
         counter = Counter(shared.value)
         for batch in batches:
             for a, b, data, offsets in pieces(batch, "text"):
-                text, term, count, others = counter(data, offsets)
+                text, term, count, rest = counter(data, offsets)
                 cut = np.searchsorted(text, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[a:b], batch.column("toxic")[a:b],
                      pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(term, pa.int64())),
-                     pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(count, pa.int64())), pa.array(others, pa.int64())],
-                    names=["doc_id", "toxic", "terms", "counts", "others"])
+                     pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(count, pa.int64())), pa.array(rest, pa.float64())],
+                    names=["doc_id", "toxic", "terms", "counts", "rest"])
 
     rows = sampled.select("doc_id", "toxic", "text").mapInArrow(
-        run, "doc_id long, toxic int, terms array<long>, counts array<long>, others long").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.toxic))
-    examples = [vectors(np.zeros(len(r.terms), int), np.array(r.terms, int), np.array(r.counts, int), np.array([r.others]), idf)[0] for r in rows]
-    return NearestVotes(vocabulary, idf, [r.doc_id for r in rows], [r.toxic for r in rows], examples, share)
+        run, "doc_id long, toxic int, terms array<long>, counts array<long>, rest double").toPandas().sort_values(["doc_id", "toxic"])
+    examples = [vectors(np.zeros(len(t), int), np.asarray(t, int), np.asarray(c, int), np.array([r]), weight, unknown)[0]
+                for t, c, r in zip(rows["terms"], rows["counts"], rows["rest"])]
+    return NearestVotes(vocabulary, weight, unknown, rows["doc_id"].tolist(), rows["toxic"].tolist(), examples, share)
 
 
 EVIDENCE = "array<struct<doc_id: long, similarity: double, label: int>>"
@@ -277,8 +340,8 @@ EVIDENCE = "array<struct<doc_id: long, similarity: double, label: int>>"
 def _scan(model, batch, counter, seen):
     """Score and evidence of each text of a batch, in order."""
     for _, _, data, offsets in pieces(batch, "text"):
-        for terms, weights in vectors(*counter(data, offsets), model.idf):
-            key = (terms.tobytes(), weights.tobytes())
+        for terms, weights in vectors(*counter(data, offsets), model.weight, model.unknown):
+            key = blake2b(terms.tobytes() + weights.tobytes(), digest_size=16).digest()
             if key not in seen:
                 if len(seen) > 5_000:
                     seen.clear()
@@ -289,7 +352,10 @@ def _scan(model, batch, counter, seen):
 
 def score(docs: DataFrame, model: NearestVotes) -> DataFrame:
     """``doc_id, score, evidence`` of every row of ``docs`` (``doc_id, text``)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches):
+        model = shared.value
         counter, seen = Counter(model.vocabulary), {}
         for batch in batches:
             rows = list(_scan(model, batch, counter, seen))
@@ -303,7 +369,10 @@ def score(docs: DataFrame, model: NearestVotes) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: NearestVotes, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below ``cutoff``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches):
+        model = shared.value
         counter, seen = Counter(model.vocabulary), {}
         for batch in batches:
             keep = [p < cutoff for p, _ in _scan(model, batch, counter, seen)]

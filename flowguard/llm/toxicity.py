@@ -8,9 +8,11 @@ documents times a factor for the label: ``chi / (chi + CHI_SQUARE)``, for words
 with one positive example less, so that no term speaks for the single example that brought it. Words that no example
 holds add to the length of a vector with the frequency 0.
 
-The index keeps the examples of each term in blocks of ``BLOCK`` with the largest weight of each block. A query adds
-up these largest weights to a bound per block, scores the best blocks first and then every block whose bound reaches
-the ``NEIGHBOURS``-th best: the nearest examples are exact, ties go to the earlier example.
+The index keeps the examples of each term in blocks of ``BLOCK`` with the largest weight of each block. Terms of at
+least one example in ``COMMON`` are rows of a dense matrix instead, multiplied with many texts at once. A query adds the
+largest weights of its other terms to the best product of each block, which bounds the block, scores the best
+blocks first and then every block whose bound reaches the ``NEIGHBOURS``-th best: the nearest examples are exact. Cosines
+count to twelve digits, ties go to the earlier example.
 
 Each neighbour votes for its label with weight ``1 / (distance + SOFT)``; a logistic fit to the
 leave-one-out votes of the examples, weighted back to the label shares of all labelled documents, turns
@@ -45,6 +47,10 @@ CHI_SQUARE = 13.0
 FLOOR = 0.1
 NEIGHBOURS = 15
 BLOCK = 256
+#: A term in one of so many examples has a dense row; at most COMMON times the mean terms of an example are such.
+COMMON = 16
+#: Texts that are multiplied with the dense rows at once.
+TOGETHER = 256
 SOFT = 0.02
 CUTOFF = 0.3
 
@@ -211,42 +217,74 @@ class BlockMaxIndex:
     def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.size = len(examples)
         self.blocks = -(-self.size // BLOCK)
-        number = np.repeat(np.arange(self.size), [len(t) for t, _ in examples])
-        term = np.concatenate([t for t, _ in examples] or [np.zeros(0)]).astype(np.int64)
+        number = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in examples])
+        term = np.concatenate([t for t, _ in examples] or [np.zeros(0)]).astype(np.int32)
         weight = np.concatenate([w for _, w in examples] or [np.zeros(0)])
+        held = np.bincount(term, minlength=n_terms)
+        self.row = np.full(n_terms, -1, dtype=np.int32)
+        common = np.flatnonzero(held * COMMON >= max(self.size, 1))
+        self.row[common] = np.arange(len(common))
+        in_row = self.row[term] >= 0
+        self.entries = self.row[term[in_row]], number[in_row], weight[in_row]
+        self.n_common, self._dense = len(common), None
+        term, number, weight = term[~in_row], number[~in_row], weight[~in_row]
         order = np.lexsort((number, term))
-        term, self.number, self.weight = term[order], number[order].astype(np.int32), weight[order]
-        cell = term * max(self.blocks, 1) + self.number // BLOCK
+        term, self.number, self.weight = term[order], number[order], weight[order]
+        cell = term.astype(np.int64) * max(self.blocks, 1) + self.number // BLOCK
         self.start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
         self.count = np.diff(np.r_[self.start, len(cell)])
         self.largest = np.maximum.reduceat(self.weight, self.start) if len(cell) else np.zeros(0)
         self.block = (self.number[self.start] // BLOCK).astype(np.int64)
         self.first = np.searchsorted(term[self.start], np.arange(n_terms + 1))
 
+    def __getstate__(self):
+        return self.__dict__ | {"_dense": None}  # each worker fills its own
+
+    def products(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms give each text with every example."""
+        if self._dense is None:
+            self._dense = np.zeros((self.n_common, self.size))
+            self._dense[self.entries[0], self.entries[1]] = self.entries[2]
+        x = np.zeros((len(texts), self.n_common))
+        for i, (terms, weights) in enumerate(texts):
+            row = self.row[terms]
+            x[i, row[row >= 0]] = weights[row >= 0]
+        return x @ self._dense
+
     @staticmethod
     def _spread(first, count):
         return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples of largest cosine, exactly; ties go to the smaller number."""
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave_out: int = -1, product=None) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` examples of largest cosine, exactly; ties go to the smaller number.
+
+        ``product`` is the text's row of ``products``, where that was made for many texts.
+        """
+        product = self.products([(terms, weights)])[0] if product is None else product
+        rare = self.row[terms] < 0
+        terms, weights = terms[rare], weights[rare]
         cells = self.first[terms + 1] - self.first[terms]
         cell, own = self._spread(self.first[terms], cells), np.repeat(weights, cells)
-        bounds = np.bincount(self.block[cell], weights=own * self.largest[cell], minlength=self.blocks)
+        block = self.block[cell]
+        bounds = np.maximum.reduceat(product, np.arange(self.blocks) * BLOCK)
+        bounds += np.bincount(block, weights=own * self.largest[cell], minlength=self.blocks)
         order = np.argsort(-bounds, kind="stable")
         # The first blocks hold more than k examples whichever is left out.
         begin = 1 + -(-(k + 1) // BLOCK)
-        scores, todo = np.full(self.size, -1.0), order[:begin]
+        scores, best, todo = np.full(self.size, -1.0), -0.5, order[:begin]
         while len(todo):
             picked = np.zeros(self.blocks, dtype=bool)
             picked[todo] = True
-            in_todo = picked[self.block[cell]]
-            at = self._spread(self.start[cell[in_todo]], self.count[cell[in_todo]])
-            got = np.bincount(self.number[at], weights=self.weight[at] * np.repeat(own[in_todo], self.count[cell[in_todo]]), minlength=self.size)
+            on = np.flatnonzero(picked[block])
+            count = self.count[cell[on]]
+            at = self._spread(self.start[cell[on]], count)
+            got = product + np.bincount(self.number[at], weights=self.weight[at] * np.repeat(own[on], count), minlength=self.size)
             mine = np.repeat(picked, BLOCK)[: self.size]
-            scores[mine] = got[mine]
+            scores[mine] = np.round(got[mine], 12)
             if leave_out >= 0:
                 scores[leave_out] = -1.0
-            best = np.partition(scores, self.size - k)[self.size - k] if self.size > k else -1.0
+            held = scores[scores >= best]
+            best = np.partition(held, len(held) - k)[len(held) - k] if len(held) >= k else -0.5
             # A bound may round below a sum of the same products.
             todo = order[begin:][bounds[order[begin:]] + 1e-9 >= best]
             begin = self.blocks
@@ -269,8 +307,13 @@ class NearestVotes:
         self.index = BlockMaxIndex(own, len(weight))
         self.a, self.b = 0.0, float("-inf")
         if 0 < share < 1 and len(own) > NEIGHBOURS:
-            votes = np.array([self._vote(*self.index.nearest(*x, NEIGHBOURS, i)) if len(x[0]) else 0.0 for i, x in enumerate(own)])
-            self._calibrate(votes)
+            votes = []
+            for first in range(0, len(own), TOGETHER):
+                part = own[first: first + TOGETHER]
+                for i, (x, product) in enumerate(zip(part, self.index.products(part)), first):
+                    votes.append(self._vote(*self.index.nearest(*x, NEIGHBOURS, i, product)) if len(x[0]) else 0.0)
+            self.index._dense = None
+            self._calibrate(np.array(votes))
 
     def _vote(self, similarity, number) -> float:
         weight = 1 / (1 - np.minimum(similarity, 1) + SOFT)
@@ -288,11 +331,11 @@ class NearestVotes:
             beta = beta + np.linalg.solve(hess, grad)
         self.a, self.b = float(beta[0]), float(beta[1])
 
-    def score(self, terms, weights):
+    def score(self, terms, weights, product=None):
         """Probability, neighbour similarities and numbers."""
         if not len(terms) or self.b == float("-inf"):
             return self.share, (), ()
-        s, e = self.index.nearest(terms, weights, NEIGHBOURS)
+        s, e = self.index.nearest(terms, weights, NEIGHBOURS, product=product)
         return float(1 / (1 + np.exp(-np.clip(self.a * self._vote(s, e) + self.b, -30, 30)))), s, e
 
 
@@ -331,7 +374,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
         run, "doc_id long, toxic int, terms array<long>, counts array<long>, rest double").toPandas().sort_values(["doc_id", "toxic"])
     examples = [vectors(np.zeros(len(t), int), np.asarray(t, int), np.asarray(c, int), np.array([r]), weight, unknown)[0]
                 for t, c, r in zip(rows["terms"], rows["counts"], rows["rest"])]
-    return NearestVotes(vocabulary, weight, unknown, rows["doc_id"].tolist(), rows["toxic"].tolist(), examples, share)
+    ids, toxic = rows["doc_id"].tolist(), rows["toxic"].tolist()
+    del rows
+    return NearestVotes(vocabulary, weight, unknown, ids, toxic, examples, share)
 
 
 EVIDENCE = "array<struct<doc_id: long, similarity: double, label: int>>"
@@ -340,14 +385,17 @@ EVIDENCE = "array<struct<doc_id: long, similarity: double, label: int>>"
 def _scan(model, batch, counter, seen):
     """Score and evidence of each text of a batch, in order."""
     for _, _, data, offsets in pieces(batch, "text"):
-        for terms, weights in vectors(*counter(data, offsets), model.weight, model.unknown):
-            key = blake2b(terms.tobytes() + weights.tobytes(), digest_size=16).digest()
-            if key not in seen:
-                if len(seen) > 5_000:
-                    seen.clear()
-                p, s, e = model.score(terms, weights)
+        found = vectors(*counter(data, offsets), model.weight, model.unknown)
+        for first in range(0, len(found), TOGETHER):
+            part = found[first: first + TOGETHER]
+            keys = [blake2b(t.tobytes() + w.tobytes(), digest_size=16).digest() for t, w in part]
+            if len(seen) > 5_000:
+                seen.clear()
+            new = {key: x for key, x in zip(keys, part) if key not in seen}
+            for (key, x), product in zip(new.items(), model.index.products(list(new.values()))):
+                p, s, e = model.score(*x, product)
                 seen[key] = p, [{"doc_id": model.ids[j], "similarity": float(x), "label": int(model.labels[j])} for x, j in zip(s[:3], e[:3])]
-            yield seen[key]
+            yield from (seen[key] for key in keys)
 
 
 def score(docs: DataFrame, model: NearestVotes) -> DataFrame:

@@ -25,6 +25,32 @@ def test_block_max_search_is_exact():
         assert q not in out_e and np.allclose(out_s, np.sort(np.delete(score, q))[::-1][:7])
 
 
+def test_common_and_rare_terms_together_are_exact():
+    """Terms of falling frequency, so that some have dense rows and others only blocks; many blocks."""
+    rng = np.random.default_rng(8)
+    share = 1 / (1 + np.arange(300))
+    examples = []
+    for _ in range(1500):
+        t = np.flatnonzero(rng.random(300) < share)
+        t = t if len(t) else np.array([7])
+        w = rng.random(len(t)) + 0.01
+        examples.append((t, w / np.sqrt((w * w).sum())))
+    examples[40] = examples[900]
+    index = T.BlockMaxIndex(examples, 300)
+    assert 0 < index.n_common < 300 and index.blocks > 4
+    dense = np.zeros((1500, 300))
+    for e, (t, w) in enumerate(examples):
+        dense[e, t] = w
+    products = index.products(examples[:60])
+    for q, (t, w) in enumerate(examples[:60]):
+        score = np.round(dense @ dense[q], 12)
+        want = np.lexsort((np.arange(1500), -score))
+        s, e = index.nearest(t, w, 9, product=products[q])
+        assert np.allclose(s, score[want[:9]]) and set(e[s > s[-1] + 1e-9]) == set(want[:9][score[want[:9]] > s[-1] + 1e-9])
+        assert q not in index.nearest(t, w, 9, leave_out=q, product=products[q])[1]
+    assert list(index.nearest(*examples[900], 2)[1]) == [40, 900]
+
+
 def test_held_out_documents(spark):
     folder = "/root/testdata/sf0.1"
     got = QUERIES["op6_toxicity_votes"](spark, folder).filter("held_out")

@@ -15,6 +15,7 @@ from flowguard.operators.joins import encode_labels, with_class_index
 from flowguard.operators.scale import fit_scaler
 from flowguard.operators.selection import keep_k_best
 from flowguard.operators.weights import with_weights
+from flowguard.session import write_through
 
 DEPTH = 12  # trees are grown level by level over the whole table; 30 is the hard limit
 
@@ -130,6 +131,25 @@ def compare(chains: dict[str, Chain], test: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def compare_reports(chains: dict[str, Chain], test: DataFrame, label: str) -> DataFrame:
+    """Report and matrix per model: ``model, class, precision, recall, f1, support, called``.
+
+    ``called`` maps each predicted class to its rows of the actual ``class``; it is empty for a class that
+    is predicted but never true. Each model scores the test rows once; its pair counts are written.
+    """
+    out = None
+    for name, chain in chains.items():
+        pred = chain.transform(test, [label]).withColumn("_y", F.col(label).cast("double"))
+        pairs = write_through(M.confusion(pred, "_y", "prediction"), "model-pairs")
+        cells = F.map_from_entries(F.array_sort(F.collect_list(F.struct("predicted", "n_rows"))))
+        matrix = pairs.groupBy(F.col("actual").alias("class")).agg(cells.alias("called"))
+        none = F.create_map().cast("map<double,bigint>")
+        part = M.class_report(pairs).join(matrix, "class", "left").select(
+            F.lit(name).alias("model"), "class", "precision", "recall", "f1", "support", F.coalesce("called", none).alias("called"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def score_binary(model, df: DataFrame, features: list[str], keep: list[str], out: str = "p_raw") -> DataFrame:
     scored = model.transform(assemble(df, features, keep))
     return scored.select(*keep, vector_to_array("probability")[1].alias(out))

@@ -116,18 +116,29 @@ def pca_variance(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(cells, "component int, explained double, kept boolean")
 
 
-@query("model_comparison")
-def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+def compared_chains(spark: SparkSession, d: str):
+    """Three fitted chains and the test rows they are compared on."""
     from flowguard.operators.split import stratified_split
 
-    parts = stratified_split(docs(spark, d), ["label"], ["doc_id"], test=0.2, val=0.0)
+    parts = write_through(stratified_split(docs(spark, d), ["label"], ["doc_id"], test=0.2, val=0.0), "compared-split")
     train, test = parts.where("split = 'train'"), parts.where("split = 'test'")
     chains = {
         "decision_tree": models.fit_chain(train, DOC_FEATURES, "binary", models.tree_classifier(6), 3, 2),
         "naive_bayes": models.fit_chain(train, DOC_FEATURES, "binary", models.bayes_classifier(), 3, 2),
         "decision_tree_95": models.fit_chain(train, DOC_FEATURES, "binary", models.tree_classifier(6), 4, 0.95),
     }
-    return models.compare(chains, test, "binary")
+    return chains, test
+
+
+@query("model_comparison")
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return models.compare(*compared_chains(spark, d), "binary")
+
+
+@query("model_comparison_reports")
+def model_comparison_reports(spark: SparkSession, d: str) -> DataFrame:
+    reports = models.compare_reports(*compared_chains(spark, d), "binary")
+    return reports.withColumn("called", F.to_json(F.col("called").cast("map<string,bigint>")))
 
 
 @query("cascade_reload_parity", with_views(LABELLED_DOCS) + """select count(*) as n_rows, 0::bigint as n_different,

@@ -11,7 +11,7 @@ from flowguard.operators.calibrate import fit_isotonic
 from flowguard.operators.scale import Scaler, fit_scaler
 from flowguard.operators.selection import correlation_table, k_best, select_features
 from flowguard.plans import training
-from flowguard.plans.model_queries import docs
+from flowguard.plans.model_queries import compared_chains, docs
 from flowguard.sources.tables import DOC_FEATURES, VEC_FEATURES, vec_rows
 
 
@@ -169,3 +169,17 @@ def test_split_evaluation_takes_known_attacks_and_gives_all_fields(spark):
     assert binary("all", "precision_weighted") == pytest.approx((2 * 0.5 + 5 * 0.8) / 7, abs=1e-6)
     assert binary("all", "recall_weighted") == binary("all", "accuracy") == pytest.approx(5 / 7, abs=1e-6)
     assert [binary("1", m) for m in ("precision", "recall", "support")] == [0.8, 0.8, 5]
+
+
+def test_report_and_matrix_per_model(spark, folder):
+    chains, test = compared_chains(spark, folder)
+    got = {(r.model, r["class"]): r for r in models.compare_reports(chains, test, "binary").collect()}
+    for name, chain in chains.items():
+        pairs = [(int(r.binary), int(r.prediction)) for r in chain.transform(test, ["binary"]).collect()]
+        for c in {x for p in pairs for x in p}:
+            row, true, called = got[name, c], [p for t, p in pairs if t == c], [t for t, p in pairs if p == c]
+            hits = true.count(c)
+            assert row.support == len(true) and row.called == {float(x): true.count(x) for x in set(true)}
+            assert abs(row.recall - (hits / len(true) if true else 0)) < 1e-9
+            assert abs(row.precision - (hits / len(called) if called else 0)) < 1e-9
+    assert {m for m, _ in got} == set(chains)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowguard.operators import neighbours
 from flowguard.operators.balance import oversample
 from flowguard.operators.neighbours import nearest_neighbours
 from flowguard.sources.tables import VEC_FEATURES, vec_rows
@@ -40,6 +41,48 @@ def test_neighbours_stay_in_their_group(clustered):
     assert near.count() == 1800
 
 
+def _numbers(spark, n, width, seed):
+    x = np.random.default_rng(seed).normal(size=(n, width))
+    columns = [f"f{j}" for j in range(width)]
+    return spark.createDataFrame([(i, i % 3, *map(float, row)) for i, row in enumerate(x)], ["id", "g", *columns]), columns
+
+
+def test_a_vector_is_written_once_however_many_cells_it_visits(spark, monkeypatch):
+    kept = {}
+
+    def keep(df, purpose):
+        kept[purpose] = write_through(df, purpose)
+        return kept[purpose]
+
+    write_through = neighbours.write_through
+    monkeypatch.setattr(neighbours, "write_through", keep)
+    df, columns = _numbers(spark, 600, 24, 1)
+    got = {(r.id, r.rank, r.neighbour) for r in nearest_neighbours(df, "id", columns, 3, block_rows=50).collect()}
+    assert got == brute(df.toPandas(), columns, 3)
+    assert kept["knn-visits"].count() == 600
+
+
+def test_large_groups_share_their_jobs(spark, monkeypatch):
+    calls = []
+    search = neighbours._pivot_search
+    monkeypatch.setattr(neighbours, "_pivot_search", lambda *a: calls.append(1) or search(*a))
+    df, columns = _numbers(spark, 600, 4, 2)
+    got = {(r.id, r.rank, r.neighbour) for r in nearest_neighbours(df, "id", columns, 3, by="g", block_rows=50).collect()}
+    pdf = df.toPandas()
+    assert got == set().union(*(brute(part, columns, 3) for _, part in pdf.groupby("g")))
+    assert len(calls) == 1
+
+
+def test_values_that_are_not_finite_are_farthest(spark):
+    df, columns = _numbers(spark, 300, 3, 3)
+    odd = df.withColumn("f1", F.when(F.col("id") % 60 == 7, float("nan")).when(F.col("id") == 11, None).otherwise(F.col("f1")))
+    rows = {(r.id, r.rank, r.neighbour) for r in nearest_neighbours(odd, "id", columns, 4, block_rows=40).collect()}
+    far = {7, 11, 67, 127, 187, 247}
+    pdf = df.toPandas()
+    assert {r for r in rows if r[0] not in far} == brute(pdf[~pdf["id"].isin(far)].reset_index(drop=True), columns, 4)
+    assert {r for r in rows if r[0] == 7} == {(7, 1, 0), (7, 2, 1), (7, 3, 2), (7, 4, 3)}
+
+
 def test_few_rows(spark):
     two = spark.createDataFrame([(1, 0.0), (2, 3.0)], "id bigint, x double")
     assert {(r.id, r.neighbour) for r in nearest_neighbours(two, "id", ["x"], 5).collect()} == {(1, 2), (2, 1)}

@@ -9,7 +9,8 @@ the same document or another one.
    reach (its context), have to be compared.
 2. Anchors that occur once are done, and so are those whose contexts are all equal: every string around
    them repeats. What is left are the different contexts of one anchor, one copy of each.
-3. Run-length index. Contexts are collected to blocks of bounded size. A block's suffixes are ordered
+3. Run-length index. Contexts are collected to blocks of bounded size. Those that agree with no other one
+   of their anchor on half of the reach to either side share no such string and go. The suffixes of the rest are ordered
    (by doubling, only within an anchor), the Burrows-Wheeler transform is kept as runs, and of the suffix
    array only the entries at the ends of runs. From these samples each position gets its neighbours in
    suffix order, whose common length is its matching statistic; ``LENGTH`` or more marks a repeat.
@@ -238,6 +239,29 @@ def spans(flags: np.ndarray, before: int) -> list[tuple[int, int]]:
     return [(int(a) - before, int(b) + LENGTH - before) for a, b in zip(at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]])]
 
 
+def hopeful(rows: list[tuple], table: Powers) -> np.ndarray:
+    """Contexts that may share a string with another one of their anchor in the block.
+
+    A string of ``LENGTH`` bytes around an anchor takes in at least ``REACH / 2`` bytes before it or as
+    many behind it, so two contexts that share one agree on either. Contexts of split anchors all stay.
+    """
+    half, n = REACH // 2, len(rows)
+    sizes = np.array([len(r[5]) for r in rows])
+    sums, down = byte_sums(np.frombuffer(b"".join(r[5] for r in rows), np.uint8), table)
+    start = np.cumsum(sizes) - sizes
+    before = np.array([r[4] for r in rows])
+    anchor = np.array([r[0] for r in rows], dtype=np.int64)
+    out = np.array([r[2] > 1 for r in rows])
+    for fits, at in ((before >= half, start + before - half), (before + GRAM + half <= sizes, start + before + GRAM)):
+        on = np.flatnonzero(fits)
+        if len(on):
+            key = run_hash(sums, down, at[on], half)
+            by = np.lexsort((key, anchor[on]))
+            alike = (key[by][1:] == key[by][:-1]) & (anchor[on][by][1:] == anchor[on][by][:-1])
+            out[on[by[np.r_[False, alike] | np.r_[alike, False]]]] = True
+    return out
+
+
 MARKS = "anchor long, ctx long, a int, b int, hash long, salt long"
 
 
@@ -246,6 +270,10 @@ def _block_scan(batches):
     table = Powers()
 
     def close(rows):
+        keep = hopeful(rows, table)
+        rows = [r for r, k in zip(rows, keep.tolist()) if k]
+        if not rows:
+            return None
         groups = np.cumsum(np.r_[0, [x[:2] != y[:2] for x, y in zip(rows, rows[1:])]])
         own_parts = [own_part(r[5], r[4]) for r in rows]
         index = RunLengthIndex(own_parts, groups)
@@ -277,15 +305,16 @@ def _block_scan(batches):
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "salt", "parts", "ctx", "before", "bytes"))):
             if held and row[:2] != held[-1][:2] and size >= BLOCK_BYTES:
-                yield close(held)
+                if (marks := close(held)) is not None:
+                    yield marks
                 held, size = [], 0
             # Copies of a text bring a context more than once; equal ones are neighbours.
             if row[:4] != seen:
                 held.append(row)
                 size += len(row[5])
             seen = row[:4]
-    if held:
-        yield close(held)
+    if held and (marks := close(held)) is not None:
+        yield marks
 
 
 def _pack(batches):

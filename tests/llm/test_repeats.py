@@ -71,3 +71,13 @@ def test_run_length_index_gives_suffix_neighbours():
     for g, s, k, p in at:
         want = len(s) >= 12 and sum(x[0] == g and x[1][:12] == s[:12] and len(x[1]) >= 12 for x in at) > 1
         assert bool(flags[p]) == want
+
+
+def test_contexts_that_share_only_their_anchor_reach_no_index():
+    rng = random.Random(4)
+    make = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    gram, left, right = make(R.GRAM), make(84), make(84)
+    row = lambda anchor, a, b, parts=1: (anchor, 0, parts, rng.random(), len(a), a + gram + b)
+    rows = [row(1, make(168), make(168)), row(1, make(84) + left, make(168)), row(1, left, make(20)), row(1, make(30), right + make(84)),
+            row(1, make(9), right), row(2, make(84) + left, make(168)), row(1, make(40), make(83)), row(3, make(168), make(168), 2)]
+    assert R.hopeful(rows, Powers()).tolist() == [False, True, True, True, True, False, False, True]

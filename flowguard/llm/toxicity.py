@@ -293,10 +293,16 @@ class BlockMaxIndex:
         return scores[top], top
 
 
+def vote(labels: np.ndarray, similarity: np.ndarray, number: np.ndarray) -> float:
+    """Share of the label 1 among neighbours, weighted by nearness."""
+    weight = 1 / (1 - np.minimum(similarity, 1) + SOFT)
+    return float((weight * labels[number]).sum() / weight.sum())
+
+
 class NearestVotes:
     """The fitted scorer: index, labels, calibration."""
 
-    def __init__(self, vocabulary, weight, unknown, ids, labels, examples, share):
+    def __init__(self, spark, vocabulary, weight, unknown, ids, labels, examples, share):
         self.vocabulary, self.weight, self.unknown, self.share = vocabulary, weight, unknown, share
         # Examples of one kind share blocks, which keeps the bounds of the other blocks low.
         order = sorted(range(len(ids)), key=lambda i: (
@@ -307,17 +313,29 @@ class NearestVotes:
         self.index = BlockMaxIndex(own, len(weight))
         self.a, self.b = 0.0, float("-inf")
         if 0 < share < 1 and len(own) > NEIGHBOURS:
-            votes = []
-            for first in range(0, len(own), TOGETHER):
-                part = own[first: first + TOGETHER]
-                for i, (x, product) in enumerate(zip(part, self.index.products(part)), first):
-                    votes.append(self._vote(*self.index.nearest(*x, NEIGHBOURS, i, product)) if len(x[0]) else 0.0)
-            self.index._dense = None
-            self._calibrate(np.array(votes))
-
-    def _vote(self, similarity, number) -> float:
-        weight = 1 / (1 - np.minimum(similarity, 1) + SOFT)
-        return float((weight * self.labels[number]).sum() / weight.sum())
+            self._calibrate(self._own_votes(spark, own))
+
+    def _own_votes(self, spark, own) -> np.ndarray:
+        """Vote on each example by the others, made in tasks: the dense rows are too large for the driver."""
+        cut = np.cumsum([0, *(len(t) for t, _ in own)])
+        shared = spark.sparkContext.broadcast((
+            self.index, self.labels, cut, np.concatenate([t for t, _ in own]).astype(np.int32), np.concatenate([w for _, w in own])))
+
+        def run(batches):
+            index, labels, cut, terms, weights = shared.value
+            for batch in batches:
+                numbers, votes = batch.column("id").to_numpy(), []
+                for first in range(0, len(numbers), TOGETHER):
+                    part = numbers[first: first + TOGETHER].tolist()
+                    texts = [(terms[cut[i]: cut[i + 1]], weights[cut[i]: cut[i + 1]]) for i in part]
+                    for i, x, product in zip(part, texts, index.products(texts)):
+                        votes.append(vote(labels, *index.nearest(*x, NEIGHBOURS, i, product)) if len(x[0]) else 0.0)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(votes, pa.float64())], names=["id", "vote"])
+
+        numbers = spark.range(0, len(own), 1, -(-len(own) // (4 * TOGETHER)))
+        rows = numbers.mapInArrow(run, "id long, vote double").toPandas()
+        shared.destroy()
+        return rows.sort_values("id")["vote"].to_numpy()
 
     def _calibrate(self, votes) -> None:
         pos = self.labels.mean()
@@ -336,7 +354,7 @@ class NearestVotes:
         if not len(terms) or self.b == float("-inf"):
             return self.share, (), ()
         s, e = self.index.nearest(terms, weights, NEIGHBOURS, product=product)
-        return float(1 / (1 + np.exp(-np.clip(self.a * self._vote(s, e) + self.b, -30, 30)))), s, e
+        return float(1 / (1 + np.exp(-np.clip(self.a * vote(self.labels, s, e) + self.b, -30, 30)))), s, e
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> NearestVotes:
@@ -376,7 +394,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
                 for t, c, r in zip(rows["terms"], rows["counts"], rows["rest"])]
     ids, toxic = rows["doc_id"].tolist(), rows["toxic"].tolist()
     del rows
-    return NearestVotes(vocabulary, weight, unknown, ids, toxic, examples, share)
+    return NearestVotes(spark, vocabulary, weight, unknown, ids, toxic, examples, share)
 
 
 EVIDENCE = "array<struct<doc_id: long, similarity: double, label: int>>"

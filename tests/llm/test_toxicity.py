@@ -147,3 +147,16 @@ def test_sample_is_bounded_in_rows_and_bytes(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = T.sample_examples(docs, [(1, 1), (2, 0), (3, 0)], most_bytes=100).collect()
     assert sorted(r.doc_id for r in got) == [1, 3]
+
+
+def test_votes_on_examples_are_made_in_tasks(spark, monkeypatch):
+    """The dense rows of the common terms never stand in the driver's memory."""
+    def refuse(*_):
+        raise AssertionError("multiplied in the driver")
+
+    monkeypatch.setattr(T.BlockMaxIndex, "products", refuse)
+    rows = [(i, "calm words here " * (1 + i % 3) + ("vile slur " if i % 4 == 0 else "kind talk ") + f"w{i}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = T.fit(docs, labels)
+    assert model.a > 0 and np.isfinite(model.b)

@@ -1,9 +1,9 @@
 """N-gram Jaccard self-join with token-combination prefixes.
 
 A text's tokens are its distinct shingles of five words. Tokens are put in one global order: by the
-number of times their rarest word occurs in the corpus, then by hash. Words outside the table of the
-``FREQUENT_WORDS`` most frequent ones count as 0; the table has this fixed largest size and is broadcast.
-A token is *frequent* if its rarest word occurs at least ``FREQUENT_FROM`` times, else *rare*.
+number of times they occur in the corpus, then by hash. Occurrences are counted in ``COUNT_BUCKETS`` hash
+buckets, a table of fixed size that is added up in slices and broadcast; a token counts for what its bucket
+holds. A token is *frequent* if that is ``FREQUENT_FROM`` or more above what hashing alone brings, else *rare*.
 
 Two sets of Jaccard similarity ``t`` share at least ``ceil(t n)`` tokens of either, so their first
 ``n - ceil(t n) + k`` tokens have at least ``k`` in common. Rare tokens are indexed singly. Frequent ones
@@ -14,7 +14,8 @@ the two bands it belongs to. The number of pairs per set stays below its number
 
 Sets with the same signature are first all compared with the smallest one (a star, not all pairs).
 Links give components; only sets of a signature that are still in different components are then
-compared, first with the largest one, then with each other, so no component misses a link. Candidates
+compared, first with the largest one, then with one drawn for each signature, then with each other, so no
+component misses a link. In the last step large signatures are compared inside tasks. Candidates
 whose overlap cannot suffice go early: the tokens of a set are counted in ``BOUND_BUCKETS`` hash buckets,
 and the sum of the smaller counts bounds the overlap of two sets. The rest is decided exactly, on the
 whole texts.
@@ -30,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowguard.llm.components import components
@@ -39,14 +40,19 @@ from flowguard.llm.textbytes import Powers, Words, mix, pieces
 
 SHINGLE = 5
 SIMILARITY_PERCENT = 80
-FREQUENT_WORDS = 1 << 20
+#: Buckets of the shingle counts, and the slices in which they are added up.
+COUNT_BITS, COUNT_SLICES = 22, 64
+COUNT_BUCKETS = 1 << COUNT_BITS
 FREQUENT_FROM = 64
 #: Tokens of a size class per part of its frequent tokens.
 PART_TOKENS = 32
 #: Texts compared with one text in one group of the exact check.
 GROUP_TEXTS = 512
-#: Words that a task counts at once, and candidate texts that it unpacks at once.
-COUNT_WORDS, UNPACK_ROWS = 1 << 20, 256
+#: Shingles that a task counts at once, and candidate texts that it unpacks at once.
+COUNT_TOKENS, UNPACK_ROWS = 1 << 21, 256
+#: Sets of a signature up to which all its pairs are joined; beyond it, sets in a part of a signature, and sets
+#: and pairs that a task compares at once.
+FEW_SETS, TILE_SETS, MEET_SETS, MEET_PAIRS = 16, 2048, 64, 1 << 14
 #: Buckets of the token counts that bound an overlap from above.
 BOUND_BUCKETS = 256
 #: Candidate texts up to this count are found by a broadcast of their ids, beyond it by a shuffle.
@@ -57,43 +63,52 @@ while _BOUNDS[-1] < 1 << 50:
     _BOUNDS.append(_BOUNDS[-1] * 5 // 4 + 1)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, n)``: occurrences of each word hash, added up in parts before the shuffle."""
+def bucket_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
-    def run(batches):
-        table, held, n_held = Powers(), [], 0
 
-        def counted():
-            word, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            for i in range(0, len(word), 1 << 16):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(word[i: i + (1 << 16)].view(np.int64)), pa.array(n[i: i + (1 << 16)].astype(np.int64))], names=["word", "n"])
+def shingle_counts(docs: DataFrame) -> np.ndarray:
+    """Occurrences of all shingles of five words by hash bucket; tasks send slices, which are added up apart."""
+    width = COUNT_BUCKETS // COUNT_SLICES
 
+    def count(batches):
+        powers, held, n_held, codec = Powers(), [], 0, pa.Codec("zstd", compression_level=1)
+        total = np.zeros(COUNT_BUCKETS, dtype=np.uint32)
         for batch in batches:
             for _, _, data, offsets in pieces(batch, "text"):
-                held.append(Words(data, offsets, table).hash)
+                hashes, inside = Words(data, offsets, powers).shingles(SHINGLE)
+                held.append(bucket_of(hashes[inside]))
                 n_held += len(held[-1])
-                if n_held > COUNT_WORDS:
-                    yield from counted()
-                    n_held = 0
+                if n_held > COUNT_TOKENS:
+                    total += np.bincount(np.concatenate(held), minlength=COUNT_BUCKETS).astype(np.uint32)
+                    held, n_held = [], 0
         if held:
-            yield from counted()
+            total += np.bincount(np.concatenate(held), minlength=COUNT_BUCKETS).astype(np.uint32)
+        for i in range(COUNT_SLICES):
+            part = total[i * width: (i + 1) * width]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([codec.compress(part.tobytes(), asbytes=True)], pa.binary())], names=["slice", "counts"])
+
+    def add(batches):
+        codec, sums = pa.Codec("zstd"), {}
+        for batch in batches:
+            for i, raw in zip(batch.column("slice").to_pylist(), batch.column("counts")):
+                part = np.frombuffer(codec.decompress(raw.as_py(), 4 * width, asbytes=True), np.uint32)
+                sums[i] = np.minimum(sums.get(i, 0) + part.astype(np.int64), (1 << 31) - 1)
+        for i, part in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.astype(np.int32).tobytes()], pa.binary())], names=["slice", "counts"])
 
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    out = np.zeros(COUNT_BUCKETS, dtype=np.int32)
+    slices = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(COUNT_SLICES, "slice").mapInArrow(add, "slice int, counts binary").toArrow()
+    for i, part in zip(slices.column("slice").to_pylist(), slices.column("counts")):
+        out[i * width: (i + 1) * width] = np.frombuffer(part.as_buffer(), np.int32)
+    return out
 
 
-def frequent_words(docs: DataFrame, most: int = FREQUENT_WORDS):
-    """Sorted hashes and counts of all words from the least count on that keeps them at ``most``."""
-    counted = written(word_counts(docs).filter("n > 1"), "jaccard-words")
-    least = F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
-    # One row per different count, of which there are few.
-    levels = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("_to", least).filter(F.col("_to") <= most)
-    lowest = levels.agg(F.min("n")).first()[0]
-    rows = counted.filter(F.col("n") >= (lowest if lowest is not None else 1 << 62)).toArrow()
-    word, n = rows.column("word").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    order = np.argsort(word)
-    return word[order], n[order]
+def above_chance(counts: np.ndarray) -> int:
+    """What a bucket holds by hashing alone: the median, and four deviations of as many random hits."""
+    usual = float(np.median(counts))
+    return int(usual + 4 * usual ** 0.5)
 
 
 def size_class(n: int) -> int:
@@ -105,7 +120,7 @@ def prefix_length(n: int, k: int) -> int:
 
 
 def signatures(tokens: np.ndarray, counts: np.ndarray, frequent_from: int = FREQUENT_FROM) -> np.ndarray:
-    """Signatures of one set: its distinct ``tokens`` with the count of each token's rarest word."""
+    """Signatures of one set: its distinct ``tokens`` with the count of each."""
     n = len(tokens)
     g = size_class(n)
     bands = [(b, max(1, _BOUNDS[b] // PART_TOKENS)) for b in ((g - 1, g) if g else (g,))]
@@ -135,32 +150,11 @@ def set_hash(tokens: np.ndarray) -> np.uint64:
     return mix(np.array([mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64))[0]
 
 
-def token_sets(words: Words, table=None):
-    """Per text its distinct tokens and, with a word table, the count of each one's rarest word."""
-    if table is None:
-        yield from ((t, None) for t in words.shingle_sets(SHINGLE))
-        return
-    known, n = table
-    count = np.zeros(len(words.hash), dtype=np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, words.hash), len(known) - 1)
-        count = np.where(known[at] == words.hash, n[at], 0)
-    hashes, _ = words.shingles(SHINGLE)
-    least = count[: len(hashes)].copy()
-    for j in range(1, SHINGLE):
-        np.minimum(least, count[j: j + len(hashes)], out=least)
-    sets = words.shingle_sets(SHINGLE)
-    for tokens, a, b in zip(sets, words.first[:-1].tolist(), words.first[1:].tolist()):
-        if b - a >= SHINGLE:
-            tokens, where = np.unique(hashes[a: b - SHINGLE + 1], return_index=True)
-            yield tokens, least[a: b - SHINGLE + 1][where]
-        else:
-            yield tokens, np.full(len(tokens), count[a:b].min() if b > a else 0)
-
-
 def postings(docs: DataFrame, frequent_from: int = FREQUENT_FROM) -> DataFrame:
     """Rows ``(sig, node, n)`` of all signatures, and one row per document with ``sig`` null and its id."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_words(docs))
+    counted = shingle_counts(docs)
+    frequent_from += above_chance(counted)
+    shared = docs.sparkSession.sparkContext.broadcast(counted)
 
     def run(batches):
         powers = Powers()
@@ -168,8 +162,8 @@ def postings(docs: DataFrame, frequent_from: int = FREQUENT_FROM) -> DataFrame:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False) if not batch.column("doc_id").null_count else batch.column("doc_id").to_pylist()
             for a, b, data, offsets in pieces(batch, "text"):
                 sigs, lengths, nodes, sizes, bounds = [], [], [], [], []
-                for tokens, counts in token_sets(Words(data, offsets, powers), shared.value):
-                    own = np.unique(signatures(tokens, counts, frequent_from)) if len(tokens) else tokens
+                for tokens in Words(data, offsets, powers).shingle_sets(SHINGLE):
+                    own = np.unique(signatures(tokens, shared.value[bucket_of(tokens)], frequent_from)) if len(tokens) else tokens
                     sigs.append(own)
                     lengths.append(len(own))
                     nodes.append(set_hash(tokens))
@@ -232,7 +226,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 a, g, b = (batch.column(c).to_pylist() for c in ("a", "g", "b"))
                 left, right = [], []
                 for lo, _, data, offsets in pieces(_unsqueeze(batch), "text"):
-                    for i, (tokens, _) in enumerate(token_sets(Words(data, offsets, powers)), lo):
+                    for i, tokens in enumerate(Words(data, offsets, powers).shingle_sets(SHINGLE), lo):
                         if (a[i], g[i]) != key:
                             key, own = (a[i], g[i]), None
                         # Rows that share an id bring each other's texts along; the hash tells them apart.
@@ -274,19 +268,22 @@ def near_duplicates(
     links = written(verify(first, nodes, given), "jaccard-links")
     release(spark)
     label = components(links)
-    # What is still apart, against the other end of its signature, then against all others.
-    for against in ("_last", "all"):
+    # What is still apart, against the other end of its signature, then against a drawn set, then against all others.
+    for against in ("last", "drawn", "all"):
         named = written(shared.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-named")
-        ends = named.filter("node = pivot").select("sig", F.col("component").alias("pc"))
-        if against == "_last":
-            last = named.filter("node = _last").select("sig", F.col("component").alias("lc"))
-            more = named.join(last, "sig").filter("component <> lc").select(F.col("_last").alias("a"), F.col("node").alias("b"))
+        # Drawn for each signature, so a set of many signatures meets as many different others.
+        drawn = F.min(F.struct(F.xxhash64("sig", "node").alias("lot"), "node", "component"))
+        groups = named.groupBy("sig").agg(
+            F.count(F.lit(1)).alias("size"), (F.min("component") < F.max("component")).alias("split"),
+            F.max(F.when(F.col("node") == F.col("_last"), F.struct("node", "component"))).alias("last"), drawn.alias("drawn"))
+        apart = named.select("sig", "node", "component").join(groups.filter("split").drop("split"), "sig")
+        if against == "all":
+            more = _apart(apart.select("sig", "node", "component", "size"), nodes)
         else:
-            apart = named.join(ends, "sig").filter("component <> pc").select("sig", F.col("node").alias("x"), F.col("component").alias("xc"))
-            others = named.filter("node <> pivot and node <> _last").select("sig", "node", "component")
-            more = apart.join(others, "sig").filter("component <> xc").select(
-                F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        more = written(_fitting(more.distinct(), nodes), "jaccard-more")
+            other = F.col(f"{against}.node")
+            more = _fitting(apart.filter(F.col("component") != F.col(f"{against}.component")).select(
+                F.least(other, "node").alias("a"), F.greatest(other, "node").alias("b")).distinct(), nodes)
+        more = written(more, "jaccard-more")
         release(spark)
         if not more.isEmpty():
             links = written(links.unionByName(verify(more, nodes, given)), "jaccard-links")
@@ -299,24 +296,89 @@ def near_duplicates(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _fit(x, y, nx, ny) -> np.ndarray:
+    """Whether sets with these bucket counts (last axis) and sizes can reach the similarity; a full counter says nothing."""
+    both = np.minimum(x, y).sum(axis=-1, dtype=np.uint32).astype(np.int64)
+    full = (x == 255).any(axis=-1) | (y == 255).any(axis=-1)
+    total = nx.astype(np.int64) + ny
+    return (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * SIMILARITY_PERCENT) & (full | (100 * both >= SIMILARITY_PERCENT * (total - both)))
+
+
+def _bounds(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def _fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose sizes and bucket counts can reach the similarity at all."""
-    side = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("bound").alias(f"bound{end}"))
+    side = lambda end: nodes.select(F.col("node").alias(end), F.col("n").cast("long").alias(f"n{end}"), F.col("bound").alias(f"bound{end}"))
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY_PERCENT
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("bounda", "boundb"))
-            both = np.minimum(x, y).sum(axis=1, dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
-            # A full counter says nothing.
-            full = (np.maximum(x, y) == 255).any(axis=1) if batch.num_rows else np.zeros(0, bool)
-            total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
-            keep = full | (100 * both >= SIMILARITY_PERCENT * (total - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            if batch.num_rows:
+                x, y = _bounds(batch.column("bounda")), _bounds(batch.column("boundb"))
+                yield batch.select(["a", "b"]).filter(pa.array(_fit(x, y, batch.column("na").to_numpy(), batch.column("nb").to_numpy())))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(fits).mapInArrow(run, "a long, b long")
 
 
+def _apart(rows: DataFrame, nodes: DataFrame, few: int = FEW_SETS, tile: int = TILE_SETS) -> DataFrame:
+    """All pairs of sets of one signature and different components that fit, each once.
+
+    ``rows`` is ``(sig, node, component, size)``, ``size`` the sets of the signature. Signatures of up to ``few`` sets are
+    joined. The sets of larger ones are dealt to parts, and a task holds the bucket counts of two parts of at
+    most about ``tile`` sets against each other, so that only pairs that fit become rows.
+    """
+    some = rows.filter(F.col("size") <= few)
+    other = some.select("sig", F.col("node").alias("b"), F.col("component").alias("bc"))
+    joined = some.join(other, "sig").filter("node < b and component <> bc").select(F.col("node").alias("a"), "b").distinct()
+    known = nodes.select("node", F.col("n").cast("long").alias("n"), "bound")
+    parts = F.ceil(F.col("size") / tile).cast("int")
+    dealt = rows.filter(F.col("size") > few).join(known, "node").withColumn("parts", parts).withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+    # Of two parts the smaller number comes first; a part alone meets itself.
+    one = dealt.filter("parts = 1").withColumn("with", F.lit(0))
+    split = dealt.filter("parts > 1").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = one.unionByName(split).select(
+        "sig", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "node", "component", "n", "bound")
+
+    def meet(sets: pa.Table):
+        node, component, n, part = (sets.column(c).to_numpy() for c in ("node", "component", "n", "part"))
+        bound, within = _bounds(sets.column("bound")), sets.column("i")[0].as_py() == sets.column("j")[0].as_py()
+        values, count = np.unique(component, return_counts=True)
+        # Sets of the most common component meet the others from the other side.
+        lone = component != values[count.argmax()]
+        own = np.flatnonzero(lone)
+        for at in range(0, len(own), MEET_SETS):
+            x = own[at: at + MEET_SETS]
+            i, y = np.nonzero((component[x][:, None] != component) & ~(lone & (node <= node[x][:, None])) & (within | (part[x][:, None] != part)))
+            for lo in range(0, len(i), MEET_PAIRS):
+                p, q = x[i[lo: lo + MEET_PAIRS]], y[lo: lo + MEET_PAIRS]
+                fits = _fit(bound[p], bound[q], n[p], n[q])
+                p, q = node[p[fits]], node[q[fits]]
+                if len(p):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("sig", "i", "j")])
+            cuts = [0, *(1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and tuple(keys[:, lo]) != key:
+                    yield from meet(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                key = tuple(keys[:, lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from meet(pa.Table.from_batches(held).combine_chunks())
+
+    met = placed.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long")
+    return _fitting(joined, nodes).unionByName(met).distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component the document with the smallest id, with all its columns.
 

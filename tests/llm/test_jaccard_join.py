@@ -90,3 +90,44 @@ def test_linked_sets_share_a_signature(frequent_from):
             sig = [set(J.signatures(s, np.array([count.get(int(v), 0) for v in s]), frequent_from).tolist()) for s in (x, y)]
             assert sig[0] & sig[1]
             assert len(sig[0]) <= 2.5 * len(x) + 4
+
+
+def test_shingles_count_for_themselves_not_for_their_words(spark):
+    """A shingle that occurs once is indexed singly, however frequent its words are."""
+    words_of = [f"w{i}" for i in range(12)]
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(words_of) for _ in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    counted = J.shingle_counts(docs)
+    assert counted.sum() == 60 * 36 and counted.dtype == np.int32
+    powers = J.Powers()
+    tokens = [J.Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), powers).shingle_sets(5)[0] for t in texts]
+    every = np.concatenate(tokens)
+    least = np.bincount(J.bucket_of(every), minlength=J.COUNT_BUCKETS)
+    assert (counted[J.bucket_of(every)] >= least[J.bucket_of(every)]).all()
+    index = J.postings(docs).filter("sig is not null").select("sig").toPandas()["sig"].to_numpy().view(np.uint64)
+    assert np.isin(index, every).all()
+
+
+@pytest.mark.parametrize("few, tile", [(100, 7), (4, 7), (1, 1000)])
+def test_what_is_apart_meets_once_in_tasks(spark, few, tile):
+    """Every pair of one signature and two components that fits, whichever way its signature is dealt."""
+    rng = np.random.default_rng(6)
+    bound = rng.poisson(1.0, (50, J.BOUND_BUCKETS)).astype(np.uint8)
+    bound[20:40] = np.maximum(bound[20], bound[20:40] // 3)
+    bound[45, 3] = 255
+    n = np.maximum(bound.sum(axis=1, dtype=np.int64), 1)
+    component = rng.integers(0, 9, 50)
+    members = {s: rng.choice(50, size, replace=False) for s, size in enumerate((2, 3, 20, 45, 50))}
+    rows = [(s, int(v) - 25, int(component[v]), len(m)) for s, m in members.items() for v in m]
+    nodes = spark.createDataFrame([(v - 25, int(n[v]), bytearray(bound[v].tobytes())) for v in range(50)], "node long, n int, bound binary")
+    found = J._apart(spark.createDataFrame(rows, "sig long, node long, component long, size long"), nodes, few, tile).collect()
+    want = set()
+    for m in members.values():
+        for x in m:
+            for y in m:
+                both, total = int(np.minimum(bound[x], bound[y]).sum()), int(n[x] + n[y])
+                fits = min(n[x], n[y]) * 100 >= max(n[x], n[y]) * 80 and (100 * both >= 80 * (total - both) or 45 in (x, y))
+                if x < y and component[x] != component[y] and fits:
+                    want.add((int(x) - 25, int(y) - 25))
+    assert want and sorted((r.a, r.b) for r in found) == sorted(want)

@@ -10,7 +10,8 @@ the same document or another one.
 2. Anchors that occur once are done, and so are those whose contexts are all equal: every string around
    them repeats. What is left are the different contexts of one anchor, one copy of each.
 3. Run-length index. Contexts are collected to blocks of bounded size. Those that agree with no other one
-   of their anchor on half of the reach to either side share no such string and go. The suffixes of the rest are ordered
+   of their anchor on half of the reach to either side share no such string and go; the others keep what they have in common
+   with any other one on either side of the anchor, in which every shared string lies. The suffixes of these are ordered
    (by doubling, only within an anchor), the Burrows-Wheeler transform is kept as runs, and of the suffix
    array only the entries at the ends of runs. From these samples each position gets its neighbours in
    suffix order, whose common length is its matching statistic; ``LENGTH`` or more marks a repeat.
@@ -70,7 +71,13 @@ def anchors(sums: np.ndarray, down: np.ndarray, lo: int, hi: int) -> tuple[np.nd
     is_low = np.zeros(len(value), dtype=bool)
     changes = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
     ends = np.r_[changes[1:], len(low)]
-    for first, end in zip(changes.tolist(), ends.tolist()):
+    # Most values have one place in the text, which needs no search.
+    by = np.argsort(value)
+    ordered = np.r_[value[by], np.uint64(0)]
+    at = np.searchsorted(ordered[:-1], low[changes])
+    alone = (at + 1 == len(value)) | (ordered[at + 1] != ordered[at])
+    is_low[by[at[alone]]] = True
+    for first, end in zip(changes[~alone].tolist(), ends[~alone].tolist()):
         # Windows first .. end - 1 share their smallest value; its places in reach are the candidates.
         spots = first + np.flatnonzero(value[first: end - 1 + width] == low[first])
         if len(spots) == 1:
@@ -157,37 +164,47 @@ class RunLengthIndex:
         self.down_key, self.down_value = self._samples(order, place, tails, 1)
 
     def _suffix_order(self, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes in order, and the place of each in it."""
-        n = len(self.text)
-        value = np.r_[np.where(end, 0, self.text.astype(np.int64) + 1), np.zeros(4, np.int64)]
-        # Four symbols and the group first; unique ends make the ranks of all ends different.
+        """Suffixes in order, and the place of each in it.
+
+        Symbols known to be in order are tripled in each round, or doubled where three places do not fit one key.
+        """
+        n, strings = len(self.text), len(self.first)
+        groups, symbols = int(self.group.max(initial=0)) + 1, 4
+        while groups * 257 ** (symbols + 1) < 1 << 63:
+            symbols += 1
+        value = np.r_[np.where(end, 0, self.text.astype(np.int64) + 1), np.zeros(symbols, np.int64)]
+        # The group and some symbols first; unique ends make the ranks of all ends different.
         key, alive = self.group.astype(np.int64), np.ones(n, dtype=bool)
-        for j in range(4):
+        for j in range(symbols):
             key = key * 257 + np.where(alive, value[j: j + n], 0)
             alive &= value[j: j + n] != 0
         # Symbols up to the string's end; a suffix that is over is told from its like by its string.
         last = np.repeat(self.first + np.bincount(self.owner), np.bincount(self.owner)) - 1 - np.arange(n)
-        rank, active, step = np.zeros(n, dtype=np.int64), np.arange(n), 4
-        own, pair = np.zeros(n, dtype=np.int64), key
+        base = n + strings + 1
+        times = 3 if base ** 3 < 1 << 63 else 2
+        rank, active, step = np.zeros(n, dtype=np.int64), np.arange(n), symbols
+        own = np.zeros(n, dtype=np.int64)
         while True:
-            by = np.argsort(pair)
-            active, own, pair = active[by], own[by], pair[by]
-            new = np.r_[True, pair[1:] != pair[:-1]]
+            by = np.argsort(key)
+            active, own, key = active[by], own[by], key[by]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            count = np.diff(np.r_[start, len(key)])
             # The rank of a suffix is its old one plus its place in the old group.
-            at = np.arange(len(active))
-            group_start = np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]], at, 0))
-            class_start = np.maximum.accumulate(np.where(new, at, 0))
-            rank[active] = own + class_start - group_start
-            single = new & np.r_[new[1:], True]
-            active = active[~single]
+            old = own[start]
+            group_start = np.maximum.accumulate(np.where(np.r_[True, old[1:] != old[:-1]], start, 0))
+            own = np.repeat(old + start - group_start, count)
+            rank[active] = own
+            more = np.repeat(count > 1, count)
+            active, own = active[more], own[more]
             if not len(active):
                 order = np.empty(n, dtype=np.int64)
                 order[rank] = np.arange(n)
                 return order, rank
-            own = rank[active]
-            second = np.where(last[active] < step, self.owner[active] - len(self.first), rank[np.minimum(active + step, n - 1)])
-            pair = own * (2 * n + 2) + second + len(self.first)
-            step *= 2
+            left, over = last[active], self.owner[active]
+            key = own
+            for j in range(1, times):
+                key = key * base + np.where(left < j * step, over, rank[np.minimum(active + j * step, n - 1)] + strings)
+            step *= times
 
     def _samples(self, order, place, rows, side):
         """By text position before the suffix at each run end: the suffix above or below it in order."""
@@ -230,13 +247,59 @@ def own_part(data: bytes, before: int) -> bytes:
     return data if again < 0 else data[: again + GRAM - 1]
 
 
-def spans(flags: np.ndarray, before: int) -> list[tuple[int, int]]:
-    """Covered bytes, counted from the anchor, of the strings that start at ``flags``."""
+def agreement(rows: list[tuple], sides: list[bytes], at: np.ndarray, sums, down, back: bool) -> np.ndarray:
+    """How many bytes from ``at`` on (or back) each context has in common with any other one of its anchor, at most.
+
+    ``sides`` are these bytes, in the order of reading. In their order the most alike ones are neighbours.
+    """
+    order = np.array(sorted(range(len(rows)), key=lambda i: (rows[i][0], rows[i][1], sides[i])), dtype=np.int64)
+    group = np.array([r[:2] for r in rows], dtype=np.int64).reshape(-1, 2)[order]
+    near = np.flatnonzero((group[1:] == group[:-1]).all(axis=1))
+    x, y = order[near], order[near + 1]
+    size = np.array([len(s) for s in sides])
+    most, same, step = np.minimum(size[x], size[y]), np.zeros(len(x), dtype=np.int64), 1 << (LENGTH + REACH).bit_length()
+    while step:
+        size_now = same + step
+        on = np.flatnonzero(size_now <= most)
+        n, p, q = size_now[on], at[x[on]], at[y[on]]
+        if back:
+            p, q = p - n, q - n
+        alike = (sums[p + n] - sums[p]) * down[p] == (sums[q + n] - sums[q]) * down[q]
+        same[on[alike]] += step
+        step //= 2
+    out = np.zeros(len(rows), dtype=np.int64)
+    np.maximum.at(out, x, same)
+    np.maximum.at(out, y, same)
+    return out
+
+
+def shared_parts(rows: list[tuple], table: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of what each context's own part can share with another context of its anchor.
+
+    Equal strings of own parts have their anchor at the same place, so a shared string reaches no further to
+    either side than the context agrees with some other one. Below ``LENGTH`` bytes there is none, and end is first.
+    Contexts of split anchors stay whole.
+    """
+    sizes, before = np.array([len(r[5]) for r in rows]), np.array([r[4] for r in rows])
+    sums, down = byte_sums(np.frombuffer(b"".join(r[5] for r in rows), np.uint8), table)
+    at = np.cumsum(sizes) - sizes + before
+    left = agreement(rows, [r[5][:r[4]][::-1] for r in rows], at, sums, down, True)
+    right = agreement(rows, [r[5][r[4] + GRAM:] for r in rows], at + GRAM, sums, down, False)
+    first, end = before - left, before + GRAM + right
+    end = np.where(end - first < LENGTH, first, end)
+    whole = np.array([r[2] > 1 for r in rows])
+    return np.where(whole, 0, first), np.where(whole, sizes, end)
+
+
+def spans(flags: np.ndarray, owner: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner and covered bytes, counted from its anchor, of the strings that start at ``flags``."""
     at = np.flatnonzero(flags)
     if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > LENGTH)
-    return [(int(a) - before, int(b) + LENGTH - before) for a, b in zip(at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]])]
+        return at, at, at
+    cut = np.flatnonzero((np.diff(at) > LENGTH) | (owner[at[1:]] != owner[at[:-1]]))
+    first, last = at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]]
+    of = owner[first]
+    return of, first - anchor[of], last + LENGTH - anchor[of]
 
 
 def hopeful(rows: list[tuple], table: Powers) -> np.ndarray:
@@ -272,19 +335,21 @@ def _block_scan(batches):
     def close(rows):
         keep = hopeful(rows, table)
         rows = [r for r, k in zip(rows, keep.tolist()) if k]
+        if not rows:
+            return None
+        rows = [(*r[:5], own_part(r[5], r[4])) for r in rows]
+        first, end = shared_parts(rows, table)
+        rows = [(*r[:4], r[4] - f, r[5][f:e]) for r, f, e in zip(rows, first.tolist(), end.tolist()) if f < e]
         if not rows:
             return None
         groups = np.cumsum(np.r_[0, [x[:2] != y[:2] for x, y in zip(rows, rows[1:])]])
-        own_parts = [own_part(r[5], r[4]) for r in rows]
-        index = RunLengthIndex(own_parts, groups)
+        index = RunLengthIndex([r[5] for r in rows], groups)
         flags = index.repeats(LENGTH, table)
-        cols, told = [[] for _ in range(6)], set()
-        for i, ((anchor, salt, parts, ctx, before, _), data) in enumerate(zip(rows, own_parts)):
-            own = flags[index.first[i]: index.first[i] + len(data)]
-            for a, b in spans(own, before):
-                for c, v in zip(cols, (anchor, ctx, a, b, None, None)):
-                    c.append(v)
+        of, a, b = spans(flags, index.owner, index.first + np.array([r[4] for r in rows]))
+        cols, told = [[rows[i][0] for i in of.tolist()], [rows[i][3] for i in of.tolist()], a.tolist(), b.tolist(), [None] * len(of), [None] * len(of)], set()
+        for i, (anchor, salt, parts, ctx, before, data) in enumerate(rows):
             if parts > 1:
+                own = flags[index.first[i]: index.first[i] + len(data)]
                 sums, down = byte_sums(np.frombuffer(data, np.uint8), table)
                 at = np.arange(max(0, len(data) - LENGTH + 1))
                 for a, h in zip(at.tolist(), run_hash(sums, down, at, LENGTH).view(np.int64).tolist()):

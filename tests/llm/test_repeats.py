@@ -81,3 +81,39 @@ def test_contexts_that_share_only_their_anchor_reach_no_index():
     rows = [row(1, make(168), make(168)), row(1, make(84) + left, make(168)), row(1, left, make(20)), row(1, make(30), right + make(84)),
             row(1, make(9), right), row(2, make(84) + left, make(168)), row(1, make(40), make(83)), row(3, make(168), make(168), 2)]
     assert R.hopeful(rows, Powers()).tolist() == [False, True, True, True, True, False, False, True]
+
+
+def test_contexts_keep_what_they_share_with_another_one():
+    rng = random.Random(5)
+    make = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    gram, left, right = make(R.GRAM), make(100), make(90)
+    row = lambda anchor, a, b, parts=1: (anchor, 0, parts, rng.random(), len(a), a + gram + b)
+    rows = [row(1, make(67) + b"x" + left, right + b"x" + make(20)), row(1, make(30) + b"y" + left, make(168)), row(1, make(9), right + b"y"),
+            row(2, make(168), make(168)), row(2, make(168), b"q" + right), row(3, make(168), make(168), 2), row(4, left, right), row(5, left, right)]
+    first, end = R.shared_parts(rows, Powers())
+    assert (end - first).tolist()[:1] == [222] and first[0] == 68
+    assert (first == end).tolist() == [False, True, True, True, True, False, True, True]
+    assert (first[5], end[5]) == (0, 368)
+
+
+def test_known_symbols_are_tripled():
+    """Suffix order is the same however many symbols the first key holds."""
+    rng = random.Random(2)
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.choice([1, 40, 300]))) for _ in range(40)] + [b"ab" * 150] * 3
+    for many in (1, 10**6, 10**9):
+        groups = np.repeat([0, many], [20, 23])
+        index = R.RunLengthIndex(strings, groups)
+        at = sorted((int(groups[k]), strings[k][i:], k, int(index.first[k]) + i) for k in range(43) for i in range(len(strings[k]) + 1))
+        order = [p for *_, p in at]
+        up, down = index.neighbours(np.array(order))
+        assert up.tolist()[1:] == order[:-1] and down.tolist()[:-1] == order[1:]
+
+
+def test_anchors_are_the_last_of_the_smallest_runs():
+    rng = random.Random(8)
+    table = Powers()
+    for text in (b"a" * 700, b"abc" * 300, bytes(rng.choice(b"ab") for _ in range(900)), bytes(rng.choice(b"abcdefgh") for _ in range(500)) * 2):
+        sums, down = R.byte_sums(np.frombuffer(text, np.uint8), table)
+        value = R.run_hash(sums, down, np.arange(len(text) - R.GRAM + 1), R.GRAM).tolist()
+        want = {max(range(w, w + R.REACH + 1), key=lambda p: (-value[p], p)) for w in range(len(text) - R.LENGTH + 1)}
+        assert R.anchors(sums, down, 0, len(text))[0].tolist() == sorted(want)

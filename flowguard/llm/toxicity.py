@@ -136,9 +136,10 @@ def choose_terms(sampled: DataFrame, n_pos: int, n_neg: int) -> Vocabulary:
     counted = sampled.select("text", "toxic").mapInArrow(run, "kind long, term long, pos long, neg long").groupBy("kind", "term").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # A byte run of a single positive example tells nothing by the rule above.
-    rows = counted.filter("kind = 0 or pos > 1").toPandas()
+    # Arrow tables come to the driver without a Python object for each value.
+    rows = counted.filter("kind = 0 or pos > 1").toArrow()
     factor = label_factor(rows["pos"].to_numpy(), rows["neg"].to_numpy(), n_pos, n_neg)
-    kind, term = rows["kind"].to_numpy(), rows["term"].to_numpy().astype(np.int64).view(np.uint64)
+    kind, term = rows["kind"].to_numpy(), rows["term"].to_numpy().view(np.uint64)
     parts = []
     for which in (kind == 0, (kind == 1) & (factor > 0)):
         order = np.argsort(term[which])
@@ -191,8 +192,9 @@ def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.nd
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
 
     out = np.zeros(len(vocabulary) + 1, dtype=np.int64)
-    rows = docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     out[rows["i"].to_numpy()] = rows["n"].to_numpy()
+    shared.destroy()
     return out[:-1], int(out[-1])
 
 
@@ -333,9 +335,9 @@ class NearestVotes:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(votes, pa.float64())], names=["id", "vote"])
 
         numbers = spark.range(0, len(own), 1, -(-len(own) // (4 * TOGETHER)))
-        rows = numbers.mapInArrow(run, "id long, vote double").toPandas()
+        rows = numbers.mapInArrow(run, "id long, vote double").toArrow()
         shared.destroy()
-        return rows.sort_values("id")["vote"].to_numpy()
+        return rows.sort_by("id")["vote"].to_numpy()
 
     def _calibrate(self, votes) -> None:
         pos = self.labels.mean()
@@ -389,10 +391,11 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
                     names=["doc_id", "toxic", "terms", "counts", "rest"])
 
     rows = sampled.select("doc_id", "toxic", "text").mapInArrow(
-        run, "doc_id long, toxic int, terms array<long>, counts array<long>, rest double").toPandas().sort_values(["doc_id", "toxic"])
-    examples = [vectors(np.zeros(len(t), int), np.asarray(t, int), np.asarray(c, int), np.array([r]), weight, unknown)[0]
-                for t, c, r in zip(rows["terms"], rows["counts"], rows["rest"])]
-    ids, toxic = rows["doc_id"].tolist(), rows["toxic"].tolist()
+        run, "doc_id long, toxic int, terms array<long>, counts array<long>, rest double").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    shared.destroy()
+    examples = [vectors(np.zeros(len(t), int), t.values.to_numpy(), c.values.to_numpy(), np.array([r]), weight, unknown)[0]
+                for t, c, r in zip(rows["terms"], rows["counts"], rows["rest"].to_numpy())]
+    ids, toxic = rows["doc_id"].to_pylist(), rows["toxic"].to_pylist()
     del rows
     return NearestVotes(spark, vocabulary, weight, unknown, ids, toxic, examples, share)
 

@@ -15,8 +15,8 @@ the two bands it belongs to. The number of pairs per set stays below its number
 Sets with the same signature are first all compared with the smallest one (a star, not all pairs).
 Links give components; only sets of a signature that are still in different components are then
 compared, first with the largest one, then with one drawn for each signature, then with each other, so no
-component misses a link. In the last step large signatures are compared inside tasks. Candidates
-whose overlap cannot suffice go early: the tokens of a set are counted in ``BOUND_BUCKETS`` hash buckets,
+component misses a link. In the last step the sets of large signatures are compared inside tasks, each pair in the
+smallest signature that both list, and of the largest signatures only links leave the tasks. Candidates whose overlap cannot suffice go early: the tokens of a set are counted in ``BOUND_BUCKETS`` hash buckets,
 and the sum of the smaller counts bounds the overlap of two sets. The rest is decided exactly, on the
 whole texts.
 
@@ -29,13 +29,15 @@ component unless all of its ids are null; no rows give no rows. Extra columns ar
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowguard.llm.components import components
-from flowguard.llm.tables import release, written
+from flowguard.llm.tables import release, small_batches, written
 from flowguard.llm.textbytes import Powers, Words, mix, pieces
 
 SHINGLE = 5
@@ -49,10 +51,13 @@ PART_TOKENS = 32
 #: Texts compared with one text in one group of the exact check.
 GROUP_TEXTS = 512
 #: Shingles that a task counts at once, and candidate texts that it unpacks at once.
-COUNT_TOKENS, UNPACK_ROWS = 1 << 21, 256
-#: Sets of a signature up to which all its pairs are joined; beyond it, sets in a part of a signature, and sets
-#: and pairs that a task compares at once.
-FEW_SETS, TILE_SETS, MEET_SETS, MEET_PAIRS = 16, 2048, 64, 1 << 14
+COUNT_TOKENS, UNPACK_ROWS = 1 << 20, 256
+#: Sets of a signature up to which all its pairs are joined, and up to which its pairs that fit become rows.
+FEW_SETS, SOME_SETS = 16, 64
+#: Sets and tokens in a part of a signature, and sets and pairs that a task compares at once.
+TILE_SETS, TILE_TOKENS, MEET_SETS, MEET_PAIRS = 2048, 1 << 20, 64, 1 << 13
+#: Signatures of a set by which a pair that meets more than once is told.
+FIRST_SIGNATURES = 32
 #: Buckets of the token counts that bound an overlap from above.
 BOUND_BUCKETS = 256
 #: Candidate texts up to this count are found by a broadcast of their ids, beyond it by a shuffle.
@@ -74,16 +79,21 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
     def count(batches):
         powers, held, n_held, codec = Powers(), [], 0, pa.Codec("zstd", compression_level=1)
         total = np.zeros(COUNT_BUCKETS, dtype=np.uint32)
+
+        def flush():
+            bucket, times = np.unique(np.concatenate(held), return_counts=True)
+            total[bucket] += times.astype(np.uint32)
+
         for batch in batches:
             for _, _, data, offsets in pieces(batch, "text"):
                 hashes, inside = Words(data, offsets, powers).shingles(SHINGLE)
-                held.append(bucket_of(hashes[inside]))
+                held.append(bucket_of(hashes[inside]).astype(np.int32))
                 n_held += len(held[-1])
                 if n_held > COUNT_TOKENS:
-                    total += np.bincount(np.concatenate(held), minlength=COUNT_BUCKETS).astype(np.uint32)
+                    flush()
                     held, n_held = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=COUNT_BUCKETS).astype(np.uint32)
+            flush()
         for i in range(COUNT_SLICES):
             part = total[i * width: (i + 1) * width]
             if part.any():
@@ -201,6 +211,13 @@ def _unsqueeze(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string())], names=["text"])
 
 
+def _texts(nodes: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, text`` of the ``wanted`` nodes, compressed."""
+    ids = written(nodes.join(wanted, "node").select("node", F.col("doc_id").alias("_id")), "jaccard-wanted")
+    found = docs.join(_small(ids, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+    return written(found.mapInArrow(_squeeze, "node long, text binary"), "jaccard-texts")
+
+
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The candidate ``pairs`` (``a, b``) of nodes that are linked, decided on their whole texts.
 
@@ -210,10 +227,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).select("a", F.ceil(F.col("_n") / GROUP_TEXTS).cast("int").alias("_groups"))
     dealt = written(pairs.join(many, "a").select(
         "a", "b", F.pmod(F.xxhash64("b"), F.col("_groups").cast("long")).alias("g")), "jaccard-pairs")
-    wanted = dealt.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = written(nodes.join(wanted, "node").select("node", F.col("doc_id").alias("_id")), "jaccard-wanted")
-    found = docs.join(_small(ids, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-    texts = written(found.mapInArrow(_squeeze, "node long, text binary"), "jaccard-texts")
+    texts = _texts(nodes, dealt.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs)
     member = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "g", "b", "text")
     head = dealt.select("a", "g").distinct().join(texts.withColumnRenamed("node", "a"), "a").select(
         "a", "g", F.lit(None).cast("long").alias("b"), "text")
@@ -252,6 +266,11 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent_from: int = FREQUENT_FROM
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row per row of ``docs``."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, id_col, text_col, frequent_from)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, frequent_from: int) -> DataFrame:
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     index = written(postings(given, frequent_from), "jaccard-index")
@@ -278,15 +297,20 @@ def near_duplicates(
             F.max(F.when(F.col("node") == F.col("_last"), F.struct("node", "component"))).alias("last"), drawn.alias("drawn"))
         apart = named.select("sig", "node", "component").join(groups.filter("split").drop("split"), "sig")
         if against == "all":
-            more = _apart(apart.select("sig", "node", "component", "size"), nodes)
+            apart = written(apart.select("sig", "node", "component", "size"), "jaccard-apart")
+            more = _apart(apart.filter(F.col("size") <= SOME_SETS), nodes)
         else:
             other = F.col(f"{against}.node")
             more = _fitting(apart.filter(F.col("component") != F.col(f"{against}.component")).select(
                 F.least(other, "node").alias("a"), F.greatest(other, "node").alias("b")).distinct(), nodes)
         more = written(more, "jaccard-more")
         release(spark)
-        if not more.isEmpty():
-            links = written(links.unionByName(verify(more, nodes, given)), "jaccard-links")
+        found = [verify(more, nodes, given)] if not more.isEmpty() else []
+        if against == "all":
+            crowded = apart.filter(F.col("size") > SOME_SETS)
+            found += [_close(crowded, nodes, given)] if not crowded.isEmpty() else []
+        if found:
+            links = written(reduce(DataFrame.unionByName, [links, *found]), "jaccard-links")
             label = components(links)
             release(spark)
     joined = written(documents.join(label, "node", "left").withColumn("_c", F.coalesce("component", "node")), "jaccard-labelled")
@@ -322,63 +346,163 @@ def _fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(fits).mapInArrow(run, "a long, b long")
 
 
+def _dealt(rows: DataFrame, nodes: DataFrame, tile: int) -> DataFrame:
+    """``rows`` (``sig, node, component, size``) dealt to parts of about ``tile`` sets and ``TILE_TOKENS`` tokens.
+
+    A task is to hold two parts ``i <= j`` of a signature against each other; a set goes to every task of its part.
+    """
+    known = rows.join(nodes.select("node", F.col("n").cast("long").alias("n"), "bound"), "node")
+    parts = F.ceil(F.greatest(F.col("size") / tile, F.col("_tokens") / TILE_TOKENS)).cast("int")
+    tokens = rows.join(nodes.select("node", "n"), "node").groupBy("sig").agg(F.sum("n").alias("_tokens"))
+    first = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, FIRST_SIGNATURES).alias("first"))
+    dealt = known.join(tokens, "sig").join(first, "node").withColumn("parts", parts).withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+    # Of two parts the smaller number comes first; a part alone meets itself.
+    one = dealt.filter("parts = 1").withColumn("with", F.lit(0))
+    split = dealt.filter("parts > 1").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = one.unionByName(split).select(
+        "sig", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "node", "component", "n", "bound", "first")
+    return placed.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+
+def _groups(batches):
+    """The rows of each ``(sig, i, j)`` as one table; they stand together."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("sig", "i", "j")])
+        cuts = [0, *(1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and tuple(keys[:, lo]) != key:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = tuple(keys[:, lo])
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _meet(sets: pa.Table):
+    """Places ``(p, q)`` of the pairs that fit, of different components, in a group of ``_groups``.
+
+    A pair that shares a smaller one of its ``first`` signatures is left to that one.
+    """
+    node, component, n, part = (sets.column(c).to_numpy() for c in ("node", "component", "n", "part"))
+    sig, within = sets.column("sig")[0].as_py(), sets.column("i")[0].as_py() == sets.column("j")[0].as_py()
+    bound = _bounds(sets.column("bound"))
+    lists = sets.column("first").to_pylist()
+    smaller = np.full((len(lists), max(map(len, lists))), sig, np.int64)
+    for row, own in zip(smaller, lists):
+        row[: len(own)] = np.minimum(own, sig)
+    values, count = np.unique(component, return_counts=True)
+    # Sets of the most common component meet the others from the other side.
+    lone = component != values[count.argmax()]
+    own = np.flatnonzero(lone)
+    for at in range(0, len(own), MEET_SETS):
+        x = own[at: at + MEET_SETS]
+        i, y = np.nonzero((component[x][:, None] != component) & ~(lone & (node <= node[x][:, None])) & (within | (part[x][:, None] != part)))
+        for lo in range(0, len(i), MEET_PAIRS):
+            p, q = x[i[lo: lo + MEET_PAIRS]], y[lo: lo + MEET_PAIRS]
+            fits = _fit(bound[p], bound[q], n[p], n[q])
+            p, q = p[fits], q[fits]
+            if len(p):
+                left = smaller[p]
+                met = ((left[:, :, None] == smaller[q][:, None, :]) & (left < sig)[:, :, None]).any(axis=(1, 2))
+                p, q = p[~met], q[~met]
+            if len(p):
+                yield p, q
+
+
 def _apart(rows: DataFrame, nodes: DataFrame, few: int = FEW_SETS, tile: int = TILE_SETS) -> DataFrame:
     """All pairs of sets of one signature and different components that fit, each once.
 
     ``rows`` is ``(sig, node, component, size)``, ``size`` the sets of the signature. Signatures of up to ``few`` sets are
-    joined. The sets of larger ones are dealt to parts, and a task holds the bucket counts of two parts of at
-    most about ``tile`` sets against each other, so that only pairs that fit become rows.
+    joined, the sets of larger ones meet inside tasks, so that only pairs that fit become rows.
     """
     some = rows.filter(F.col("size") <= few)
     other = some.select("sig", F.col("node").alias("b"), F.col("component").alias("bc"))
     joined = some.join(other, "sig").filter("node < b and component <> bc").select(F.col("node").alias("a"), "b").distinct()
-    known = nodes.select("node", F.col("n").cast("long").alias("n"), "bound")
-    parts = F.ceil(F.col("size") / tile).cast("int")
-    dealt = rows.filter(F.col("size") > few).join(known, "node").withColumn("parts", parts).withColumn(
-        "part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
-    # Of two parts the smaller number comes first; a part alone meets itself.
-    one = dealt.filter("parts = 1").withColumn("with", F.lit(0))
-    split = dealt.filter("parts > 1").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = one.unionByName(split).select(
-        "sig", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "node", "component", "n", "bound")
-
-    def meet(sets: pa.Table):
-        node, component, n, part = (sets.column(c).to_numpy() for c in ("node", "component", "n", "part"))
-        bound, within = _bounds(sets.column("bound")), sets.column("i")[0].as_py() == sets.column("j")[0].as_py()
-        values, count = np.unique(component, return_counts=True)
-        # Sets of the most common component meet the others from the other side.
-        lone = component != values[count.argmax()]
-        own = np.flatnonzero(lone)
-        for at in range(0, len(own), MEET_SETS):
-            x = own[at: at + MEET_SETS]
-            i, y = np.nonzero((component[x][:, None] != component) & ~(lone & (node <= node[x][:, None])) & (within | (part[x][:, None] != part)))
-            for lo in range(0, len(i), MEET_PAIRS):
-                p, q = x[i[lo: lo + MEET_PAIRS]], y[lo: lo + MEET_PAIRS]
-                fits = _fit(bound[p], bound[q], n[p], n[q])
-                p, q = node[p[fits]], node[q[fits]]
-                if len(p):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     def run(batches):
-        held, key = [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("sig", "i", "j")])
-            cuts = [0, *(1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if held and tuple(keys[:, lo]) != key:
-                    yield from meet(pa.Table.from_batches(held).combine_chunks())
-                    held = []
-                key = tuple(keys[:, lo])
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from meet(pa.Table.from_batches(held).combine_chunks())
+        for sets in _groups(batches):
+            node = sets.column("node").to_numpy()
+            for p, q in _meet(sets):
+                p, q = node[p], node[q]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
-    met = placed.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long")
+    met = _dealt(rows.filter(F.col("size") > few), nodes, tile).mapInArrow(run, "a long, b long")
     return _fitting(joined, nodes).unionByName(met).distinct()
 
 
+def _close(rows: DataFrame, nodes: DataFrame, docs: DataFrame, tile: int = TILE_SETS) -> DataFrame:
+    """Links ``(a, b)`` that join what the links between sets of one signature join, decided inside tasks.
+
+    ``rows`` is that of ``_apart``. Pairs that fit never become rows: a first pass names the sets that are in
+    such a pair, these get their texts, and a second pass decides the pairs whose ends no link of the task has joined yet. So
+    no pass makes more rows than sets were dealt to it.
+    """
+    fields = ["sig", "i", "j", "part", "node", "component", "n", "bound", "first"]
+    schema = "sig long, i int, j int, part int, node long, component long, n long, bound binary, first array<long>"
+
+    def name(batches):
+        for sets in _groups(batches):
+            found = np.zeros(sets.num_rows, dtype=bool)
+            for p, q in _meet(sets):
+                found[p] = found[q] = True
+            if found.any():
+                yield from sets.filter(pa.array(found)).select(fields).to_batches()
+
+    named = written(_dealt(rows, nodes, tile).mapInArrow(name, schema), "jaccard-meeting")
+    texts = _texts(nodes, named.select("node").distinct(), docs)
+
+    def shingled(batches):
+        powers = Powers()
+        for whole in batches:
+            for batch in (whole.slice(i, UNPACK_ROWS) for i in range(0, whole.num_rows, UNPACK_ROWS)):
+                own = [t for _, _, data, offsets in pieces(_unsqueeze(batch), "text") for t in Words(data, offsets, powers).shingle_sets(SHINGLE)]
+                # Rows that share an id bring each other's texts along; the hash tells them apart.
+                same = np.array([set_hash(t) for t in own], np.uint64).view(np.int64) == batch.column("node").to_numpy()
+                tokens = pa.array([t.tobytes() for t in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), tokens], names=[*fields, "tokens"]).filter(pa.array(same))
+
+    def decide(batches):
+        for sets in _groups(shingled(batches)):
+            sets = sets.take(pa.array(np.unique(sets.column("node").to_numpy(), return_index=True)[1]))
+            links = _joining(sets)
+            if links:
+                a, b = np.array(links, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    meeting = named.join(texts, "node").select(*fields, "text").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return meeting.mapInArrow(decide, "a long, b long").distinct()
+
+
+def _joining(sets: pa.Table) -> list[tuple[int, int]]:
+    """Links between the sets of one group, as few as join all that is linked; sets have their sorted ``tokens``."""
+    node = sets.column("node").to_pylist()
+    own = [np.frombuffer(t.as_buffer(), np.uint64) for t in sets.column("tokens")]
+    cut = np.cumsum([0, *map(len, own)])
+    values, number = np.unique(np.concatenate(own), return_inverse=True)
+    number, held = number.astype(np.int32), np.zeros(len(values), dtype=bool)
+    joined = np.unique(sets.column("component").to_numpy(), return_inverse=True)[1]
+    links = []
+    for p, q in _meet(sets):
+        starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        for x, others in zip(p[starts].tolist(), np.split(q, starts[1:])):
+            mine = number[cut[x]: cut[x + 1]]
+            held[mine] = True
+            for y in others[joined[others] != joined[x]].tolist():
+                if joined[y] == joined[x]:
+                    continue
+                both = int(np.count_nonzero(held[number[cut[y]: cut[y + 1]]]))
+                if both and 100 * both >= SIMILARITY_PERCENT * (len(own[x]) + len(own[y]) - both):
+                    links.append((node[x], node[y]))
+                    joined[joined == joined[y]] = joined[x]
+            held[mine] = False
+    return links
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component the document with the smallest id, with all its columns.
 

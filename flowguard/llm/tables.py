@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from flowguard.session import write_through
 
 #: A word is a run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch where whole texts go to Python and back.
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,3 +38,18 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows in what is written meanwhile.
+
+    A task holds a batch several times over, in the JVM's direct memory and in Python. The setting is put back.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, min(before, rows) if before > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

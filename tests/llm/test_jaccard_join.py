@@ -131,3 +131,74 @@ def test_what_is_apart_meets_once_in_tasks(spark, few, tile):
                 if x < y and component[x] != component[y] and fits:
                     want.add((int(x) - 25, int(y) - 25))
     assert want and sorted((r.a, r.b) for r in found) == sorted(want)
+
+
+@pytest.mark.parametrize("tile, tokens", [(1000, 1 << 20), (7, 1 << 20), (1000, 400)])
+def test_large_signatures_give_links_not_pairs(spark, monkeypatch, tile, tokens):
+    """What is close in large signatures is joined by few rows, though each pair shares many signatures."""
+    monkeypatch.setattr(J, "TILE_TOKENS", tokens)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    texts = {}
+    for _ in range(40):
+        w = list(base)
+        w[0], w[-1] = f"x{rng.randrange(4)}", f"x{rng.randrange(4)}"
+        for _ in range(rng.choice([0, 0, 1, 4])):
+            w[rng.randrange(80)] = f"x{rng.randrange(4)}"
+        texts[" ".join(w)] = sets(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, "another text of the same id")], "doc_id long, text string")
+    index = J.postings(docs)
+    nodes = index.filter("sig is null").select("node", "doc_id", "n", "bound").cache()
+    node_of = {r.doc_id: r.node for r in nodes.filter("n > 1 and (doc_id > 0 or n > 30)").collect()}
+    nodes = nodes.filter(nodes.node.isin(list(node_of.values())))
+    rows = [(s, v, v, len(node_of)) for s in range(25) for v in node_of.values()]
+    rows = spark.createDataFrame(rows, "sig long, node long, component long, size long")
+    got = [(r.a, r.b) for r in J._close(rows, nodes, docs, tile).collect()]
+    own = [(node_of[i], s) for i, s in enumerate(texts.values())]
+    linked = {(min(a, b), max(a, b)) for a, x in own for b, y in own if a != b and 100 * len(x & y) >= 80 * len(x | y)}
+
+    def joined(pairs):
+        label = {v: v for v, _ in own}
+        for a, b in pairs:
+            label = {v: label[a] if c == label[b] else c for v, c in label.items()}
+        return {frozenset(v for v in label if label[v] == c) for c in label.values()}
+
+    assert set(got) <= linked and joined(got) == joined(linked) and len(joined(linked)) < len(own)
+    if tile == 1000 and tokens > 400:
+        assert len(got) < len(own) < len(linked)
+
+
+@pytest.mark.parametrize("seed, frequent_from", [(1, 1), (3, 3)])
+def test_components_with_all_signatures_decided_in_tasks(spark, monkeypatch, seed, frequent_from):
+    monkeypatch.setattr(J, "SOME_SETS", 0)
+    rows = corpus(seed)
+    df = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.near_duplicates(df, frequent_from=frequent_from).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_a_pair_leaves_the_tasks_once(spark):
+    """A pair of many large signatures is made by the smallest of them only."""
+    bound = bytearray(np.full(J.BOUND_BUCKETS, 1, np.uint8).tobytes())
+    nodes = spark.createDataFrame([(v, 256, bound) for v in range(30)], "node long, n int, bound binary")
+    rows = spark.createDataFrame([(s, v, v, 30) for s in (-5, 0, 7, 2**62) for v in range(30)], "sig long, node long, component long, size long")
+    made = [len(p) for sets in J._groups(J._dealt(rows, nodes, 1000).toArrow().sort_by("sig").to_batches()) for p, _ in J._meet(sets)]
+    assert sum(made) == 30 * 29 // 2
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """While the join writes its tables; the session's own setting comes back, also after an error."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    counts = J.shingle_counts
+
+    def looked(docs):
+        seen.append(int(spark.conf.get(key)))
+        return counts(docs)
+
+    monkeypatch.setattr(J, "shingle_counts", looked)
+    assert J.near_duplicates(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).count() == 1
+    assert seen == [J.small_batches.__wrapped__.__defaults__[0]] and spark.conf.get(key) == before
+    with pytest.raises(ValueError), J.small_batches(spark, 5):
+        raise ValueError(spark.conf.get(key))
+    assert spark.conf.get(key) == before

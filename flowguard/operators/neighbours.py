@@ -4,8 +4,9 @@ Rows are collapsed to distinct vectors (copies keep their smallest ids, which is
 list can use) and vectors are assigned to the nearest of a bounded number of pivots. Cells that lie
 together make tiles of bounded size, and a vector goes once to each tile that can hold something
 closer than what it already knows. A tile meets its visitors in bounded parts; a chunk of visitors is
-held against the cells it needs by one matrix product, which leaves out what is too far by more than
-its rounding error, and the rest is measured feature by feature. No pair list is ever written: a tile
+held against the cells it needs by one matrix product in single precision (in double precision where that
+tells too little apart), which leaves out what is too far by more than its rounding error, and the rest
+is measured feature by feature. No pair list is ever written: a tile
 returns one list of at most k+1 entries per visitor. All large groups go through the same jobs.
 
 Vectors that are not finite have a cell of their own, which every vector of their group visits.
@@ -32,6 +33,9 @@ LARGEST = 1e150  # beyond it a square may overflow; such values count as not fin
 TILE_ROWS, TILE_VALUES = 32768, 1 << 21  # vectors of a tile, and their numbers
 PART_ROWS = 16384  # visitors that meet a tile in one task
 CHUNK_ROWS = 128  # visitors that are multiplied with a tile at once
+BLOCK_VECTORS = 2048  # vectors of a tile that are multiplied at once
+SINGLE_ROUNDING = 1.2e-7  # as ROUNDING, for single precision, a feature
+SINGLE_PAIRS = 32  # pairs left of each one wanted, from which on double precision decides
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,7 +170,8 @@ def _visits(cells: _Cells, first: np.ndarray, spread: np.ndarray, width: int, k:
             else:
                 low, far = cells.distances(q, known)
                 if len(x) > k:
-                    limit = np.sqrt(np.partition(squared_distances(q, x), k, axis=1)[:, k])  # index 0 is itself
+                    d2, off = _product_form(q, x)
+                    limit = np.sqrt(np.maximum(np.partition(d2, k, axis=1)[:, k], 0.0) + off)  # index 0 is itself
                 elif len(known) > k:
                     limit = np.partition(far, k, axis=1)[:, k]  # k+1 cells hold as many vectors
                 else:
@@ -208,6 +213,60 @@ def _closest(q: np.ndarray, x: np.ndarray, bound: np.ndarray, k: int, finite: bo
     return np.nonzero(d2 <= limit[:, None])
 
 
+class _Single:
+    """Vectors around a common middle in single precision, for products with any others of that middle and scale.
+
+    Row i holds the vector and its squared length, so that one product gives |x|² − 2 q·x.
+    """
+
+    def __init__(self, x: np.ndarray, middle: np.ndarray, scale: float):
+        self.middle, self.scale = middle, scale
+        x, self.lengths = self.scaled(x)
+        self.rows = np.hstack([x, self.lengths[:, None]]).astype("float32")
+
+    def scaled(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y = (x - self.middle) / self.scale
+        return y, (y * y).sum(axis=1)
+
+    def closest(self, q: np.ndarray, on: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """As ``_closest`` with the vectors ``on``; None where single precision leaves too many pairs."""
+        rows, n, width = self.rows if len(on) == len(self.rows) else self.rows[on], len(on), q.shape[1]
+        q, own = self.scaled(q)
+        off = SINGLE_ROUNDING * (width + 8) * (own + self.lengths[on].max()) + 1e-35
+        q = np.hstack([-2.0 * q, np.ones((len(q), 1))]).astype("float32").T.copy()
+        # Parts of equal size; the smallest of each are different vectors, so k+1 of them bound the wanted distance.
+        step = max(1, min(64, n // (16 * (k + 1))))
+        d2 = np.full((-(-n // step) * step, q.shape[1]), np.inf, dtype="float32")
+        least = np.empty((len(d2) // step, q.shape[1]), dtype="float32")
+        block = step * max(1, BLOCK_VECTORS // step)
+        for at in range(0, n, block):
+            end = min(at + block, n)
+            np.matmul(rows[at:end], q, out=d2[at:end])
+            parts = d2[at:at + block].reshape(-1, step, q.shape[1])
+            np.min(parts, axis=1, out=least[at // step:at // step + len(parts)])
+        limit = (bound / self.scale) ** 2 * (1 + SLACK) - own + off
+        if len(least) > k:
+            limit = np.minimum(limit, np.partition(least, k, axis=0)[k] + 2 * off)
+        with np.errstate(over="ignore"):
+            limit = (limit + np.abs(limit) * 2e-7).astype("float32")
+        part, i = np.nonzero(least <= limit)
+        if len(i) > SINGLE_PAIRS * (k + 1) * len(own):
+            return None
+        hit, j = np.nonzero(d2.reshape(-1, step, q.shape[1])[part, :, i] <= limit[i][:, None])
+        if len(hit) > SINGLE_PAIRS * (k + 1) * len(own):
+            return None
+        i, j = i[hit], part[hit] * step + j
+        real = j < n
+        return i[real], j[real]
+
+
+def _single(x: np.ndarray, q: np.ndarray) -> _Single | None:
+    """``x`` for products with ``q``; None if all are the same."""
+    middle = x.mean(axis=0)
+    scale = np.sqrt(max(((x - middle) ** 2).sum(axis=1).max(), ((q - middle) ** 2).sum(axis=1).max())) if len(q) else 0.0
+    return _Single(x, middle, scale) if 0.0 < scale < np.inf else None
+
+
 def _tile_search(cells: _Cells, width: int, k: int):
     kind = pa.list_(pa.struct([("d2", pa.float64()), ("neighbour", pa.int64())]))
 
@@ -228,6 +287,7 @@ def _tile_search(cells: _Cells, width: int, k: int):
         step = CHUNK_ROWS if finite else CHUNK_ROWS // 4
         chunks = [(a, min(a + step, cut), finite) for a in range(0, cut, step)]
         chunks += [(a, min(a + CHUNK_ROWS // 4, len(q)), False) for a in range(cut, len(q), CHUNK_ROWS // 4)]
+        single = _single(x, q[:cut]) if finite else None
         for a, b, plain in chunks:
             on = np.arange(len(x))
             if plain:
@@ -236,7 +296,8 @@ def _tile_search(cells: _Cells, width: int, k: int):
                     on = np.concatenate([np.arange(i, j) for i, j in zip(begins[need], ends[need])] or [on[:0]])
             if not len(on):
                 continue
-            i, j = _closest(q[a:b], x if len(on) == len(x) else x[on], bound[a:b], k, plain)
+            found = single.closest(q[a:b], on, bound[a:b], k) if plain and single else None
+            i, j = found or _closest(q[a:b], x if len(on) == len(x) else x[on], bound[a:b], k, plain)
             j = on[j]
             d2 = np.zeros(len(i))
             with np.errstate(invalid="ignore", over="ignore"):

@@ -1,6 +1,7 @@
 """Neighbour search against brute force, and oversampling properties."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,40 @@ def test_a_class_of_one_row_is_an_error(spark):
     df = spark.createDataFrame([(1, 0, 1.0), (2, 0, 2.0), (3, 1, 5.0)], "id bigint, y int, x double")
     with pytest.raises(ValueError):
         oversample(df, "y", "id", ["x"])
+
+
+def _tile(x, q, k, bound=np.inf):
+    """Neighbour lists of ``q`` in a tile of one cell that holds ``x``."""
+    cells = neighbours._Cells(x[:1], np.array([0, 1]))
+    cell, reach = cells.assign(0, x)
+    cells.size[0], cells.radius[0] = len(x), max(reach.max(), cells.assign(0, q)[1].max())
+    members = pa.table({"cell": pa.array(cell, pa.int32()), "ids": pa.array([[i] for i in range(len(x))]), "x": pa.array(list(x))})
+    visitors = pa.table({"cell": pa.array(np.zeros(len(q)), pa.int32()), "node": np.arange(len(q)), "x": pa.array(list(q)),
+                         "bound": np.full(len(q), bound)})
+    out = neighbours._tile_search(cells, x.shape[1], k)(visitors, members)
+    return [[(e["d2"], e["neighbour"]) for e in near] for near in out.column("near").to_pylist()]
+
+
+def _nearest(x, q, k):
+    d2 = neighbours.squared_distances(q, x)
+    return [[(d2[i, j], j) for j in np.lexsort((np.arange(len(x)), d2[i]))[: k + 1].tolist()] for i in range(len(q))]
+
+
+@pytest.mark.parametrize("scale, shift", [(1, 0), (1, 1e7), (1e140, 0), (1e-140, 0)])
+def test_a_tile_is_searched_in_single_precision(monkeypatch, scale, shift):
+    x, q = (np.random.default_rng(i).normal(size=(n, 24)) * scale + shift for i, n in ((1, 3000), (2, 200)))
+    wanted = _nearest(x, q, 5)
+    monkeypatch.setattr(neighbours, "_closest", None)  # double precision is not asked
+    assert _tile(x, q, 5) == wanted
+
+
+def test_close_vectors_of_far_clusters_are_told_apart_in_double_precision():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(5, 8))[r.integers(0, 5, 3000)] * 1e4 + r.normal(size=(3000, 8)) * 1e-4
+    assert _tile(x, x[:150], 4) == _nearest(x, x[:150], 4)
+
+
+@pytest.mark.parametrize("n", [1, 5, 6, 97])
+def test_tiles_of_few_vectors(n):
+    x = np.random.default_rng(n).integers(0, 3, size=(n, 2)).astype(float)
+    assert _tile(x, x, 5) == _nearest(x, x, 5)

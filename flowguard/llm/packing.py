@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 ROW_TOKENS = 2048
 CHUNK_TOKENS = 1 << 22
 PAD_ID = 50256
-#: Words that the encoder of a task remembers at most.
-CACHE_WORDS = 400_000
+#: Words after which the encoder of a worker forgets those that it has not met since it last did.
+CACHE_WORDS = 200_000
 
 SCHEMA = ("pack_id long, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, "
           "doc_ids array<long>, doc_rows array<long>, doc_starts array<long>")
@@ -49,7 +49,8 @@ class WordCachedEncoder:
 
     The split pattern starts a new piece at every single space between two other characters, so the
     ids of a text are those of its first word and of each further word with its space. Texts with
-    other blanks next to a space are encoded as one.
+    other blanks next to a space are encoded as one. The words of a text that are not known yet are
+    encoded in one go and cut at their spaces. Pickled, it is its arguments: broadcast, each worker builds it once.
     """
 
     def __init__(self, ranks_path: str, dtype: str = "<u2"):
@@ -59,27 +60,48 @@ class WordCachedEncoder:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.dtype, self.known = dtype, {}
+        self.made_of = ranks_path, dtype
+        self.dtype, self.known, self.before = np.dtype(dtype), {}, {}
+        self.sizes = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int64)
+        self.sizes[list(ranks.values())] = [len(token) for token in ranks]
+
+    def __reduce__(self):
+        return type(self), self.made_of
+
+    def _numbers(self, text: str) -> np.ndarray:
+        ids = self.encoding.encode_to_numpy(text, disallowed_special=())
+        if ids.max(initial=0) > np.iinfo(self.dtype).max:
+            raise OverflowError("ids do not fit the bytes of an id")
+        return ids
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype=self.dtype).tobytes()
+        return self._numbers(text).astype(self.dtype).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        text = " " + " ".join(words)
+        ids, width = self._numbers(text), self.dtype.itemsize
+        raw, ends = ids.astype(self.dtype).tobytes(), np.cumsum(self.sizes[ids])
+        # Words hold no space, so each begins at one.
+        spaces = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)
+        cuts = [*(np.searchsorted(ends, spaces, side="right") * width).tolist(), len(raw)]
+        self.known.update((w, raw[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
 
     def encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         known = self.known
         if not first or first[-1].isspace():
             return self._ids(text)
-        try:
-            parts = [known[w] for w in rest]
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            for w in rest:
-                if w not in known:
-                    if not w or w[0].isspace() or w[-1].isspace():
-                        return self._ids(text)
-                    known[w] = self._ids(" " + w)
-            parts = [known[w] for w in rest]
+        new = set(rest).difference(known)
+        if new:
+            known.update((w, self.before[w]) for w in new if w in self.before)
+            new = list(new.difference(known))
+            if any(not w or w[0].isspace() or w[-1].isspace() for w in new):
+                return self._ids(text)
+            if new:
+                self._learn(new)
+        parts = list(map(known.__getitem__, rest))
+        if len(known) > CACHE_WORDS:
+            self.known, self.before = {}, known
         return self._ids(first) + b"".join(parts)
 
 
@@ -154,11 +176,12 @@ def pack_documents(
         raise ValueError("positions are written with two bytes")
     ranks_path = ranks_path or default_ranks()
     dtype, pad = f"<u{id_bytes}", int(pad_id).to_bytes(id_bytes, "little")
+    shared = docs.sparkSession.sparkContext.broadcast(WordCachedEncoder(ranks_path, dtype))
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, wide = WordCachedEncoder(ranks_path, dtype), row_tokens * id_bytes
+        encoder, wide = shared.value, row_tokens * id_bytes
         number = made = TaskContext.get().partitionId() << 40
         held, pieces = 0, []
 

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import tiktoken
+from pyspark import cloudpickle
 
 from flowguard.llm.packing import RoomTree, WordCachedEncoder, best_fit_decreasing, default_ranks, pack_documents
 from flowguard.llm.tables import table
@@ -75,3 +76,22 @@ def test_best_fit_against_a_plain_search():
         assert sorted(i for r in rows for i in r) == list(range(120))
         assert sorted(40 - sum(lengths[i] for i in r) for r in rows) == sorted(room)
     assert RoomTree(8).take(3) is None
+
+
+def test_unknown_words_of_a_text_are_encoded_in_one_go(monkeypatch):
+    encoder, asked = WordCachedEncoder(default_ranks()), []
+    numbers = encoder._numbers
+    monkeypatch.setattr(encoder, "_numbers", lambda text: asked.append(text) or numbers(text))
+    text = "One tödd\nx 12345 don't! один 二 三 a'b zzqqxx one tödd\nx"
+    assert encoder.encode(text) == np.array(encoder.encoding.encode_ordinary(text), "<u2").tobytes()
+    assert len(asked) == 2
+    encoder.encode(text)
+    assert asked[2:] == ["One"]
+
+
+def test_an_encoder_forgets_and_travels_without_changing_ids(monkeypatch):
+    monkeypatch.setattr("flowguard.llm.packing.CACHE_WORDS", 5)
+    encoder, lot = cloudpickle.loads(cloudpickle.dumps(WordCachedEncoder(default_ranks()))), random.Random(4)
+    for _ in range(200):
+        text = " ".join(lot.choice(["", "a", "bb", "c\nd", "e\t", "é", "ff,", "1234567", "'s", "  "]) for _ in range(lot.randrange(12)))
+        assert encoder.encode(text) == np.array(encoder.encoding.encode_ordinary(text), "<u2").tobytes()
